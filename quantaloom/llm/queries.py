@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, url_filter
+from . import chat_format, ngram_jaccard, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -74,3 +74,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     return chat_format.format_digests(rows.unionByName(probe))
+
+
+# ---------------------------------------------------------------- 10 n-gram Jaccard join
+
+@query("op10_ngram_jaccard")
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
