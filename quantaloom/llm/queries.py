@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, ngram_jaccard, url_filter
+from . import bpe, chat_format, ngram_jaccard, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -76,6 +76,19 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digests(rows.unionByName(probe))
 
 
+# ---------------------------------------------------------------- 8 BPE
+
+def word_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op8_bpe")
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), word_bpe_path())
+
+
 # ---------------------------------------------------------------- 10 n-gram Jaccard join
 
 @query("op10_ngram_jaccard")
