@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat_format, ngram_jaccard, url_filter
+from . import bpe, chat_format, mixing, ngram_jaccard, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -76,6 +77,15 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digests(rows.unionByName(probe))
 
 
+# ---------------------------------------------------------------- 6 mixing
+
+@query("op6_mixing")
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken, sources = mixing.mix(table(spark, sf_dir, "documents"))
+    rows = taken.withColumn("source_", F.col("sources")[0]).join(F.broadcast(sources), F.col("source_").eqNullSafe(F.col("source")))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
 # ---------------------------------------------------------------- 8 BPE
 
 def word_bpe_path() -> str:
