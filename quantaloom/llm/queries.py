@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, mixing, ngram_jaccard, url_filter
+from . import bpe, chat_format, mixing, ngram_jaccard, secret_scan, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -86,6 +86,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+# ---------------------------------------------------------------- 7 secret scans
+
+@query("op7_secret_scan")
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_digests(table(spark, sf_dir, "documents"))
+
+
 # ---------------------------------------------------------------- 8 BPE
 
 def word_bpe_path() -> str:
