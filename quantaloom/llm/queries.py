@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, mixing, ngram_jaccard, secret_scan, url_filter
+from . import bpe, chat_format, mixing, ngram_jaccard, permutation_index, secret_scan, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -77,6 +77,14 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digests(rows.unionByName(probe))
 
 
+# ---------------------------------------------------------------- 4 permutation index
+
+@query("op4_permutation_index")
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return permutation_index.search(rows, rows.where("vec_id % 20 = 0"))
+
+
 # ---------------------------------------------------------------- 6 mixing
 
 @query("op6_mixing")
