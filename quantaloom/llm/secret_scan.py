@@ -47,8 +47,9 @@ for _, _a in ENCODINGS:
     _INDEX.append(_t)
 #: Shortest candidate; length classes start here. Below 20 symbols prose and random strings overlap too much.
 LEAST, LENGTH_CLASSES = 20, (20, 28, 40, 64, 128)
-#: Sum of squared and cubed letter frequencies of prose; the share of false discoveries; two-sided level of the tests.
-PROSE_2, PROSE_3 = 0.066, 0.0055
+#: Sums of squared and cubed letter frequencies of prose, and of its letters a to f only (for hex).
+PROSE, PROSE_HEX = (0.066, 0.0055), (0.26, 0.085)
+#: The share of false discoveries; the two-sided level of the tests.
 FALSE_SHARE, LEVEL_Z = 0.01, 3.3
 #: p-values are kept as -log10 in steps of 1 / STEPS, up to MOST_BIN.
 STEPS, MOST_BIN = 4, 400
@@ -67,8 +68,9 @@ def battery(token: bytes) -> tuple[int, float, float, float, float]:
     counts = np.bincount(x, minlength=k).astype(float)
     chi = k / n * float((counts**2).sum()) - n
     uniform = (chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
-    prose_mean = k + k * (n - 1) * PROSE_2 - n
-    prose_sd = k * math.sqrt(2 * PROSE_2**2 + 4 * (PROSE_3 - PROSE_2**2) * (n - 1))
+    two, three = PROSE_HEX if k == 16 else PROSE
+    prose_mean = k + k * (n - 1) * two - n
+    prose_sd = k * math.sqrt(2 * two**2 + 4 * (three - two**2) * (n - 1))
     p = _normal_tail((prose_mean - chi) / prose_sd)
     high = x >= k / 2
     ones = int(high.sum())
