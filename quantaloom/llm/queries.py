@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, mixing, ngram_jaccard, permutation_index, secret_scan, url_filter
+from . import bpe, chat_format, mixing, near_vectors, ngram_jaccard, permutation_index, secret_scan, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -77,6 +77,13 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digests(rows.unionByName(probe))
 
 
+# ---------------------------------------------------------------- 3 near vectors
+
+@query("op3_near_vectors")
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 # ---------------------------------------------------------------- 4 permutation index
 
 @query("op4_permutation_index")
