@@ -6,14 +6,16 @@ at least the threshold. The steps:
 1. Sets. Each whole text becomes its set (64-bit hashes). Documents with equal sets form a class, which one document
    stands for; classes carry their size, a bitmap with one bit for each token's hash, and their SKETCH lowest hashes.
 2. Routes. A class goes to one route for each sketch token; tokens of one class only are dropped. Two sets of similarity
-   s share none of their 24 lowest hashes with a chance below (1 - s) ** 24 (4e-15 at 0.75), which is of the order of a
-   collision of the hashes themselves; nothing else here is left to chance. Routes of many classes are split into
+   s share none of their 16 lowest hashes with a chance below (1 - s) ** 16 (2e-10 at 0.75); like a collision of the
+   hashes, that is the only thing here that is left to chance. Routes of many classes are split into
    blocks, and each pair of blocks is a route of its own: no task gets a group of unbounded size.
 3. Signature trees. In a route, classes are sorted by size and put under nodes that hold OR-combined bitmaps, size
    ranges and the least number of bits that a member needs. Two trees (or one with itself) are traversed together; a
    pair of nodes is pruned if their sizes can't fit or their common bits are fewer than any linked pair must have.
-   Since |A xor B| <= (|A| + |B|)(1 - t)/(1 + t) for linked sets, and bitmaps differ in no more bits than sets do,
-   no linked pair is pruned.
+   |A xor B| <= (|A| + |B|)(1 - t)/(1 + t) for linked sets, and bitmaps differ in no more bits than sets do, so no
+   linked pair is pruned. Lest bitmaps of large sets be full, those take the tokens whose hashes end in r zero bits,
+   where r grows with the logarithm of the size; the bound is then widened by 7 standard deviations (5 for each of the two). A class has bitmaps
+   for its own r and the next one, so that sets on both sides of a step can be compared.
 4. Verification. Surviving pairs meet both whole sets in joins, and are counted exactly.
 5. Components. Verified links are united. A first pass takes a few leaders of each route, so dense groups of near
    copies join up by a number of pairs in proportion to their size. Later passes run the full traversal, prune nodes
@@ -41,13 +43,39 @@ from .common import cut, small_batches
 from .components import components
 from .shingles import shingle_sets
 
-SKETCH = 24
-#: Bits of a bitmap, members of a leaf, children of a node.
-BITS, FAN = 2048, 8
+SKETCH = 16
+#: Bits of each of a class's two bitmaps; children of a node.
+BITS, FAN = 1024, 8
+#: Sets of up to twice this size are taken whole by the first bitmap.
+FULL = 350
 #: Classes in a block of a large route; leaders that the first pass takes in each route.
-BLOCK, LEADERS = 1500, 8
+BLOCK, LEADERS = 4000, 8
 #: Node pairs that are compared at a time.
 FRONTIER = 4096
+#: Pairs that the first full pass tests for two components in a route; 16 times more in each pass after it.
+FIRST_CAP = 1024
+#: Ids that are broadcast, at most (8 bytes each), to pick texts; more are met in a shuffled join.
+BROADCAST_IDS = 1_000_000
+
+
+def rate_of(n: np.ndarray) -> np.ndarray:
+    """r of a set's own bitmap."""
+    return np.maximum(0, np.floor(np.log2(np.maximum(n, 1) / FULL))).astype(np.int64)
+
+
+def bitmaps(s: np.ndarray) -> bytes:
+    """The bitmap of even r, then that of odd r."""
+    bits, own = np.zeros((2, BITS), bool), int(rate_of(np.array(len(s))))
+    for r in (own, own + 1):
+        kept = s[(s & np.uint64((1 << r) - 1)) == 0] if r else s
+        bits[r & 1, (kept >> np.uint64(40)) & np.uint64(BITS - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
+def slack_of(n: np.ndarray, r, t: float) -> np.ndarray:
+    """Bits by which a set of size n may differ from a linked one, its half of the bound."""
+    mean = n * (1 - t) / (1 + t) / 2.0**r
+    return mean + np.where(np.asarray(r) > 0, 5 * np.sqrt(mean) + 2, 0)
 
 
 def _class_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -57,9 +85,7 @@ def _class_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
             n.append(len(s))
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             sketch.append(s[:SKETCH].view(np.int64))
-            bits = np.zeros(BITS, bool)
-            bits[(s >> np.uint64(17)) & np.uint64(BITS - 1)] = True
-            bitmap.append(np.packbits(bits).tobytes() if len(s) else None)
+            bitmap.append(bitmaps(s) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int64())), pa.array(bitmap, pa.binary())],
             ["id", "n", "digest", "sketch", "bitmap"],
@@ -80,8 +106,8 @@ def _set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 class Tree:
     """Levels of nodes over classes sorted by size: level 0 are the classes themselves."""
 
-    def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, slack: float):
-        self.levels = [(n, n, bits, np.bitwise_count(bits).sum(1) - slack * n, comp)]
+    def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, slack: np.ndarray):
+        self.levels = [(n, n, bits, np.bitwise_count(bits).sum(1) - slack, comp)]
         while len(self.levels[-1][0]) > 1:
             low, high, b, need, c = self.levels[-1]
             at = np.arange(0, len(low), FAN)
@@ -125,25 +151,34 @@ def traverse(x: Tree, y: Tree, t: float) -> Iterator[tuple[np.ndarray, np.ndarra
         stack.append((a, b, i[fit], j[fit]))
 
 
-def _sides(route: dict, slack: float) -> tuple[Tree, Tree, np.ndarray, np.ndarray]:
+def _searched(route: dict, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the route's pairs that may link: trees for each r, over the classes that have a bitmap for it."""
     order = np.argsort(route["n"], kind="stable")
-    left = order[route["side"][order] == 0]
-    right = order[route["side"][order] == 1]
-    grow = lambda k: Tree(route["n"][k], route["bits"][k], route["comp"][k], slack)
-    x = grow(left)
-    return (x, grow(right), left, right) if len(right) else (x, x, left, left)
+    own, two = rate_of(route["n"]), route["side"].any()
+    for r in np.unique(own).tolist():
+        has = order[(own[order] == r) | (own[order] == r - 1)]
+        sides = [has[route["side"][has] == k] for k in (0, 1)] if two else [has]
+        if not all(map(len, sides)):
+            continue
+        trees = [Tree(route["n"][k], route["bits"][k, r & 1], route["comp"][k], slack_of(route["n"][k], r, t)) for k in sides]
+        for i, j in traverse(trees[0], trees[-1], t):
+            i, j = sides[0][i], sides[-1][j]
+            mine = np.maximum(own[i], own[j]) == r  # pairs of two smaller sets come with the r before
+            yield i[mine], j[mine]
 
 
-def _leaders(route: dict, t: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
+def _leaders(route: dict, t: float) -> tuple[np.ndarray, np.ndarray]:
     """Star edges from the first few leaders to all that may link with them."""
     n, bits = route["n"], route["bits"]
-    need = np.bitwise_count(bits).sum(1) - slack * n
+    own = rate_of(n)
     left, out = np.argsort(route["id"], kind="stable"), []
     for _ in range(LEADERS):
         if len(left) < 2:
             break
         a, rest = left[0], left[1:]
-        fit = (n[rest] * t <= n[a]) & (n[a] * t <= n[rest]) & (2 * np.bitwise_count(bits[rest] & bits[a]).sum(1) >= need[rest] + need[a])
+        r = np.maximum(own[a], own[rest])
+        differ = np.bitwise_count(bits[rest, r & 1] ^ bits[a, r & 1]).sum(1)
+        fit = (np.abs(own[rest] - own[a]) < 2) & (n[rest] * t <= n[a] + 1e-9) & (n[a] * t <= n[rest] + 1e-9) & (differ <= slack_of(n[rest], r, t) + slack_of(n[a], r, t) + 1e-6)
         out.append((np.full(fit.sum(), a), rest[fit]))
         left = rest[~fit]
     if not out:
@@ -177,8 +212,7 @@ def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         if not batch.num_rows:
             continue
         col = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "pair", "side", "id", "n", "comp")}
-        raw = batch.column("bitmap")
-        col["bits"] = np.frombuffer(raw.buffers()[2], np.uint64, count=len(raw) * BITS // 64, offset=raw.offset * BITS // 8 + np.frombuffer(raw.buffers()[1], np.int32)[0]).reshape(len(raw), -1) if raw.offset == 0 else np.array([np.frombuffer(v, np.uint64) for v in raw.to_pylist()])
+        col["bits"] = np.frombuffer(b"".join(batch.column("bitmap").to_pylist()), np.uint64).reshape(batch.num_rows, 2, BITS // 64)
         edge = np.flatnonzero((col["token"][1:] != col["token"][:-1]) | (col["pair"][1:] != col["pair"][:-1])) + 1
         for a, b in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows], strict=True):
             part = {k: v[a:b] for k, v in col.items()}
@@ -194,7 +228,7 @@ def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], t: float, cap: int) -> Iterator[pa.RecordBatch]:
-    slack, out_a, out_b, out_more, held = (1 - t) / (1 + t), [], [], [], 0
+    out_a, out_b, out_more, held = [], [], [], 0
 
     def flush():
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b)), pa.array(np.concatenate(out_more))], ["a", "b", "more"])
@@ -203,10 +237,9 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: float, cap: int) -> Iterat
         if len(route["id"]) < 2 or (cap and route["comp"].min() == route["comp"].max()):
             continue
         if not cap:
-            i, j, more = *_leaders(route, t, slack), False
+            i, j, more = *_leaders(route, t), False
         else:
-            x, y, left, right = _sides(route, slack)
-            i, j, more = _capped(route, ((left[i], right[j]) for i, j in traverse(x, y, t)), cap)
+            i, j, more = _capped(route, _searched(route, t), cap)
         if len(i):
             a, b = route["id"][i], route["id"][j]
             out_a.append(np.minimum(a, b))
@@ -240,11 +273,9 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, width: in
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     rows = cut(texts.mapInArrow(lambda it: _class_rows(it, width), "id long, n long, digest binary, sketch array<long>, bitmap binary"))
     member = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("class"))
-    classes = cut(
-        rows.where("n > 0 and id is not null").groupBy("digest", "n", "sketch", "bitmap").agg(F.min("id").alias("id"))
-    )
-
-    tokens = classes.select("id", F.explode("sketch").alias("token"))
+    full = rows.where("n > 0 and id is not null").groupBy("digest").agg(F.min_by(F.struct("id", "n", "bitmap", "sketch"), "id").alias("r")).select("digest", "r.*")
+    tokens = full.select("id", F.explode("sketch").alias("token"))
+    classes = cut(full.drop("sketch"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     sizes = F.ceil(F.col("c") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -254,30 +285,38 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, width: in
     routed = cut(
         tokens.join(shared, "token").withColumn("blocks", sizes).withColumn("mine", mine).select("id", "token", F.explode(block_pairs).alias("p")).select("id", "token", "p.pair", "p.side")
     )
-    wanted = routed.select("id").distinct()
-    sets = cut(
-        texts.join(classes.join(wanted, "id").select("id", "digest"), "id").select("id", "text", "digest").mapInArrow(lambda it: _set_rows(it, width), "id long, tokens binary").dropDuplicates(["id"])
-    )
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The whole sets of the classes in these pairs, from their texts."""
+        ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "digest"), "id"))
+        few = ids.count() <= BROADCAST_IDS
+        rows = texts.join(F.broadcast(ids) if few else ids, "id").select("id", "text", "digest")
+        return cut(rows.mapInArrow(lambda it: _set_rows(it, width), "id long, tokens binary"))
 
     links, comp, tested, cap = None, None, None, 0
     while True:
-        known = classes.select("id", "n", "bitmap")
-        known = known.withColumn("comp", F.col("id")) if comp is None else known.join(comp.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        grouped = routed.join(known, "id").repartition("token", "pair").sortWithinPartitions("token", "pair")
+        if comp is None:
+            open_routes = routed.withColumn("comp", F.col("id"))
+        else:  # routes whose classes are all in one component have nothing to add; they are left out before bitmaps join
+            now = routed.join(comp.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            mixed = now.groupBy("token", "pair").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token", "pair")
+            open_routes = now.join(mixed, ["token", "pair"])
+        grouped = open_routes.join(classes.select("id", "n", "bitmap"), "id").repartition("token", "pair").sortWithinPartitions("token", "pair")
         found = grouped.mapInArrow(lambda it, cap=cap: _candidates(it, t, cap), "a long, b long, more boolean")
         found = cut(found.groupBy("a", "b").agg(F.max("more").alias("more")))
         more = bool(found.agg(F.max("more")).first()[0])
         pairs = found.select("a", "b") if tested is None else cut(found.select("a", "b").join(tested, ["a", "b"], "left_anti"))
         untested = not pairs.isEmpty()
         if untested:
-            both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+            sets = sets_of(pairs)
+            both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")  # a repeated id repeats pairs, no more
             good = cut(both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _verify(it, num, den), "a long, b long"))
             links = good if links is None else links.union(good)
             tested = pairs if tested is None else tested.union(pairs)
             comp = cut(components(links))
         if cap and not more:  # every pair between components has been tested
             break
-        cap = 64 if not cap else cap * 16
+        cap = FIRST_CAP if not cap else cap * 16
 
     result = rows.select("id", "n", "digest").join(member, "digest", "left")
     if comp is not None:
