@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, mixing, near_vectors, ngram_jaccard, permutation_index, secret_scan, url_filter
+from . import bpe, chat_format, mixing, near_vectors, ngram_jaccard, permutation_index, secret_scan, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -92,6 +92,23 @@ def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(rows, rows.where("vec_id % 20 = 0"))
 
 
+# ---------------------------------------------------------------- 5 toxicity
+
+def held_out(id):
+    return F.coalesce(F.crc32(id.cast("string")) % 4 == 2, F.lit(False))
+
+
+def toxicity_network(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("id")))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_network(spark, docs, sf_dir))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 # ---------------------------------------------------------------- 6 mixing
 
 @query("op6_mixing")

@@ -56,10 +56,13 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         i = j
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word its hash, start and end byte; and where each text's words begin (one more entry than texts)."""
+def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word its hash, start and end byte; and where each text's words begin (one more entry than texts).
+
+    ``space`` tells which bytes part words.
+    """
     n = len(raw)
-    solid = ~_SPACE[raw]
+    solid = ~space[raw]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)
