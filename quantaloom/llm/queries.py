@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, mixing, near_vectors, ngram_jaccard, permutation_index, secret_scan, toxicity, url_filter
+from . import bpe, chat_format, mixing, near_vectors, ngram_jaccard, permutation_index, pii, secret_scan, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -138,6 +138,14 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+# ---------------------------------------------------------------- 9 personal data
+
+@query("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_digests(docs, pii.fit(docs))
+
+
 # ---------------------------------------------------------------- 10 n-gram Jaccard join
 
 @query("op10_ngram_jaccard")
