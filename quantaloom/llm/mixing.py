@@ -115,52 +115,64 @@ def cycling_weights(sources: list) -> dict:
     return {s: 1 + i % 3 for i, s in enumerate(sorted(sources, key=lambda s: (s is None, s or "")))}
 
 
-def mix(docs: DataFrame, sources=None, id: str = "doc_id", text: str = "text", weights: Callable[[list], dict] = cycling_weights, most: int = 3, seed: int = 7, keep: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, source table). Rows: id, size, sources, taken, and ``keep`` (name to column). Sources: source, source_size, target."""
-    spark = docs.sparkSession
-    sources = F.array("source") if sources is None else sources
+def _measured(docs: DataFrame, sources, id: str, text: str, seed: int) -> DataFrame:
+    """``docs`` as a struct, with size, sources and the seeded hash."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id).alias("id"), size.alias("size"), F.array_sort(F.array_distinct(sources)).alias("sources"), *(c.alias(f"keep_{k}") for k, c in (keep or {}).items()))
-    rows = cut(rows.withColumn("h", F.xxhash64(F.lit(seed), "id", "size")))
-    patterns = rows.groupBy("sources").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id).alias("id"), size.alias("size"), F.array_sort(F.array_distinct(sources)).alias("sources"))
+    return rows.withColumn("h", F.xxhash64(F.lit(seed), "id", "size"))
+
+
+def _decided(docs: DataFrame, sources, id: str, text: str, weights: Callable[[list], dict], most: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(row, size, sources, taken) of every row of ``docs``, and the source table."""
+    spark = docs.sparkSession
+    full = _measured(docs, sources, id, text, seed)
+    narrow = cut(full.drop("row"))
+    patterns = narrow.groupBy("sources").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     names = sorted({s for p in patterns for s in p["sources"]}, key=lambda s: (s is None, s or ""))
     sizes = {s: sum(p["size"] for p in patterns if s in p["sources"]) for s in names}
-    shares = weights(names)
     # Overlapping sources hold some words twice; the words to share out are those there are.
-    total = sum(p["size"] for p in patterns)
-    scale = total / sum(sizes.values()) if sum(sizes.values()) else 1.0
-    target = quotas({s: v * scale for s, v in sizes.items()}, shares, most / scale) if scale != 1.0 else quotas(sizes, shares, most)
+    total, held = sum(p["size"] for p in patterns), sum(sizes.values())
+    scale = total / held if held else 1.0
+    target = quotas({s: v * scale for s, v in sizes.items()}, weights(names), most / scale)
     whole = whole_numbers(target)
     index = {s: i for i, s in enumerate(names)}
     flow = min_cost_flow([p["size"] for p in patterns], [[index[s] for s in p["sources"]] for p in patterns], [whole[s] for s in names], most)
 
-    plan = []
-    for p, sent in zip(patterns, flow, strict=True):
-        words = sum(sent)
-        passes, rest = divmod(words, p["size"]) if p["size"] else (0, 0)
-        plan.append((p["sources"], passes, rest))
+    plan = [(p["sources"], *(divmod(sum(sent), p["size"]) if p["size"] else (0, 0))) for p, sent in zip(patterns, flow, strict=True)]
     largest = max([p["rows"] for p in patterns], default=0)
     buckets = 1 << max(10, (largest // BUCKET_ROWS).bit_length())
-    plan_schema = T.StructType([T.StructField("sources_", T.ArrayType(T.StringType())), T.StructField("passes", T.LongType()), T.StructField("rest", T.LongType())])
-    plan_df = F.broadcast(spark.createDataFrame(plan, plan_schema))
-    rows = rows.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets)))
-    planned = rows.join(plan_df, F.col("sources").eqNullSafe(F.col("sources_"))).drop("sources_")
+    names_of = T.StructField("sources_", T.ArrayType(T.StringType()))
+    numbers = lambda *n: [T.StructField(k, T.LongType()) for k in n]
+    match = F.col("sources").eqNullSafe(F.col("sources_"))
+    # One row for each pattern: as many as the driver has just held.
+    planned = F.broadcast(spark.createDataFrame(plan, T.StructType([names_of, *numbers("passes", "rest")])))
+
+    def with_plan(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets))).join(planned, match).drop("sources_")
 
     # Where each pattern's share ends: the bucket in which the running sum passes ``rest``.
-    upto = Window.partitionBy("sources").orderBy("bucket")
-    sums = planned.groupBy("sources", "rest", "bucket").agg(F.sum("size").alias("words"))
-    edge = sums.withColumn("upto", F.sum("words").over(upto)).where("upto > rest and upto - words <= rest")
+    sums = with_plan(narrow).groupBy("sources", "rest", "bucket").agg(F.sum("size").alias("words"))
+    edge = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("sources").orderBy("bucket"))).where("upto > rest and upto - words <= rest")
     edges = [(r["sources"], r["bucket"], r["before"]) for r in edge.select("sources", "bucket", (F.col("upto") - F.col("words")).alias("before")).collect()]
-    edge_schema = T.StructType([T.StructField("sources_", T.ArrayType(T.StringType())), T.StructField("edge", T.LongType()), T.StructField("before", T.LongType())])
-    planned = planned.join(F.broadcast(spark.createDataFrame(edges, edge_schema)), F.col("sources").eqNullSafe(F.col("sources_")), "left").drop("sources_")
-    more = F.when(F.col("edge").isNull(), 0).when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(0)
-    outside = planned.where("edge is null or bucket <> edge").withColumn("more", more)
-    inside = planned.where("bucket = edge").withColumn(
-        "past", F.col("before") + F.sum("size").over(Window.partitionBy("sources", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1))
-    )
-    inside = inside.withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.coalesce("past", "before")))).drop("past")
-    taken = outside.unionByName(inside).select(
-        F.col("id").alias(id), "size", "sources", (F.col("passes") * F.col("size") + F.col("more")).cast("long").alias("taken"), *(F.col(f"keep_{k}").alias(k) for k in keep or {})
-    )
-    table = spark.createDataFrame([(s, sizes[s], target[s]) for s in names], "source string, source_size long, target double")
-    return taken, table
+    ends = F.broadcast(spark.createDataFrame(edges, T.StructType([names_of, *numbers("edge", "before")])))
+    rows = with_plan(full).join(ends, match, "left").drop("sources_")
+    outside = rows.where("edge is null or bucket <> edge").withColumn("more", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(0))
+    inside = rows.where("bucket = edge").withColumn("past", F.sum("size").over(Window.partitionBy("sources", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)))
+    inside = inside.withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.coalesce("past", F.lit(0))))).drop("past")
+    taken = outside.unionByName(inside).select("row", "size", "sources", (F.col("passes") * F.col("size") + F.col("more")).cast("long").alias("taken"))
+    return taken, spark.createDataFrame([(s, sizes[s], target[s]) for s in names], "source string, source_size long, target double")
+
+
+def mix(docs: DataFrame, sources=None, id: str = "doc_id", text: str = "text", weights: Callable[[list], dict] = cycling_weights, most: int = 3, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """((id, size, sources, taken) of every row, (source, source_size, target))."""
+    sources = F.array("source") if sources is None else sources
+    narrow = docs.select(F.col(id).alias(id), F.col(text).alias(text), sources.alias("sources_of"))
+    taken, table = _decided(narrow, F.col("sources_of"), id, text, weights, most, seed)
+    return taken.select(F.col("row")[id].alias(id), "size", "sources", "taken"), table
+
+
+def mixed(docs: DataFrame, sources=None, id: str = "doc_id", text: str = "text", weights: Callable[[list], dict] = cycling_weights, most: int = 3, seed: int = 7) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, to the nearest whole number of times."""
+    taken, _ = _decided(docs, F.array("source") if sources is None else sources, id, text, weights, most, seed)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    return taken.where(times > 0).select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")

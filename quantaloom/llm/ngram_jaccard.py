@@ -324,3 +324,19 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, width: in
     else:
         result = result.withColumn("component", F.lit(None).cast("long"))
     return result.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "class", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **names) -> DataFrame:
+    """``docs`` without those that another document of their component stands for (the one with the least id).
+
+    Rows without words or id stay. Rows that repeat an id and a text count as one document.
+    """
+    found = cut(jaccard_components(docs, id=id, text=text, **names).select(F.col(id).alias("id_"), (F.col("component_id") == F.col(id)).alias("kept")))
+    gone = found.where("not kept").select("id_").distinct()
+    twice = found.where("kept").groupBy("id_").count().where("count > 1").select("id_")
+    near = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    left = docs.join(near(gone), F.col(id) == F.col("id_"), "left_anti")
+    if twice.isEmpty():
+        return left
+    again = near(twice)
+    return left.join(again, F.col(id) == F.col("id_"), "left_anti").unionByName(left.join(again, F.col(id) == F.col("id_"), "left_semi").dropDuplicates([id, text]))

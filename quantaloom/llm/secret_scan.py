@@ -199,13 +199,13 @@ def blank(text: str, spans: list[tuple[int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", share: float = FALSE_SHARE) -> DataFrame:
-    """``docs`` with a mark for each span; other columns and clean texts stay as they are.
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", share: float = FALSE_SHARE, length: str | None = None) -> DataFrame:
+    """``docs`` with a mark for each span; clean rows stay as they are. ``length``: a column that holds the text's length.
 
     Thresholds come from a first pass over all texts; the second scans again and rewrites, so nothing is joined.
     """
     limits = limits_of(_scanned(docs, F.lit(0), text), share)
-    place = docs.columns.index(text)
+    place, counted = docs.columns.index(text), docs.columns.index(length) if length else -1
 
     def run(batches):
         for batch in batches:
@@ -214,11 +214,15 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", share: f
                 yield batch
                 continue
             texts = batch.column(place).to_pylist()
+            sizes = batch.column(counted).to_pylist() if length else []
             for i, (base, tried) in enumerate(zip(found.column(1).to_pylist(), found.column(2).to_pylist(), strict=True)):
                 spans = [(s["start"], s["end"]) for s in base] + [(t["start"], t["end"]) for t in tried if t["level"] and t["level"] >= limits.get(t["stratum"], MOST_BIN + 1)]
                 if spans:
                     texts[i] = blank(texts[i], spans, mark)
+                    sizes[i:i + 1] = [len(texts[i])] if length else []
             columns = list(batch.columns)
+            if length:
+                columns[counted] = pa.array(sizes, batch.schema.field(counted).type)
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
