@@ -8,7 +8,7 @@ length reach the driver, where the optimizer steps.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pandas as pd
@@ -49,6 +49,16 @@ class Settings:
         if self.optimizer not in ("adam", "sgd"):
             raise ValueError("optimizer is adam or sgd")
 
+    @classmethod
+    def from_conf(cls, spark, prefix: str = "spark.quantaloom.") -> Settings:
+        """Settings from the session: ``<prefix><field>``, as text; fields that aren't set keep their defaults."""
+        found = {}
+        for name, default in ((f.name, f.default) for f in fields(cls)):
+            value = spark.conf.get(prefix + name, None)
+            if value is not None:
+                found[name] = value.lower() == "true" if isinstance(default, bool) else type(default)(value)
+        return cls(**found)
+
     @property
     def batches(self) -> int:
         return int(np.ceil(1 / self.batch_ratio))

@@ -1,7 +1,7 @@
 """Exact ranks without a global sort in one task.
 
 Equal values are counted first (with map-side combine), then dealt to buckets by approximate quantiles of the distinct
-values; only bucket totals, of a fixed number, are summed in one place. Running sums within buckets are windows that run
+values; only bucket totals, of a fixed number, reach the driver. Running sums within buckets are windows that run
 side by side. A value that a third of all rows have is one row here.
 """
 
@@ -22,12 +22,14 @@ def cumulative(df: DataFrame, value: str, sums: dict[str, Column] | None = None,
     edges = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
     placed = counted.withColumn("bucket", F.size(F.filter(edges, lambda c: c <= F.col("v").cast("double"))))
     names = ["n", *sums]
-    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``buckets`` rows
-    totals = placed.groupBy("bucket").agg(*(F.sum(k).alias(k) for k in names))
-    totals = totals.select("bucket", *(F.coalesce(F.sum(k).over(upto), F.lit(0)).alias(f"{k}_offset") for k in names), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
+    totals = {r["bucket"]: r for r in placed.groupBy("bucket").agg(*(F.sum(k).alias(k) for k in names)).collect()}  # at most ``buckets`` rows
+    offsets = {k: [0] * (len(cuts) + 2) for k in names}
+    for k in names:
+        for b in range(len(cuts) + 1):
+            offsets[k][b + 1] = offsets[k][b] + ((totals[b][k] or 0) if b in totals else 0)
     inside = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    joined = placed.join(F.broadcast(totals), "bucket")
-    return joined.select("v", "n", *sums, *((F.col(f"{k}_offset") + F.coalesce(F.sum(k).over(inside), F.lit(0))).alias("before" if k == "n" else f"{k}_before") for k in names), "total")
+    before = [(F.get(F.array(*map(F.lit, offsets[k])), F.col("bucket")) + F.coalesce(F.sum(k).over(inside), F.lit(0))).alias("before" if k == "n" else f"{k}_before") for k in names]
+    return placed.select("v", "n", *sums, *before, F.lit(offsets["n"][-1]).cast("long").alias("total")).withColumn("before", F.col("before").cast("long"))
 
 
 def at_ranks(ranked: DataFrame, parts: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import codecs, minmax, order, quantiles, quantize, ranks
+from ..operators import codecs, compressors, minmax, order, quantiles, quantize, ranks
 from .registry import query, table
 
 # ---------------------------------------------------------------- vectors
@@ -291,6 +291,16 @@ def error_quantiles(spark, d):
     return quantiles.even_quantiles(coded, "e", 100)
 
 
+@query("dense_compressor", _split_sql("customer", "c_acctbal", 64) + "SELECT c_custkey AS key, round(mid * 2, 6) AS value FROM customer JOIN eb ON eb.bin = (SELECT count(*) FROM sp WHERE sp.v <= c_acctbal)")
+def dense_compressor(spark, d):
+    return compressors.compress_dense(_balances(spark, d), bins=64).times(2.0).decompress().select("key", F.round("value", 6).alias("value"))
+
+
+@query("sparse_compressor", _sketch_sql() + "SELECT keyed.key, round(eb.mid, 6) AS value FROM keyed JOIN back ON back.key = keyed.key AND back.o = 1 JOIN eb ON eb.bin = back.bin")
+def sparse_compressor(spark, d):
+    return compressors.compress_sparse(_balances(spark, d), bins=64).decompress().select("key", F.round("value", 6).alias("value"))
+
+
 # ---------------------------------------------------------------- order
 
 @query("kth_smallest", "SELECT o_totalprice AS value FROM orders ORDER BY 1 LIMIT 1 OFFSET 99")

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quantaloom.functions import bits, hashes, losses, vectors
-from quantaloom.operators import codecs, delta, glm, huffman, metrics, minmax, order, quantiles, quantize, ranks
+from quantaloom.operators import codecs, compressors, delta, glm, huffman, metrics, minmax, order, quantiles, quantize, ranks
 from quantaloom.sources import text
 from quantaloom.streaming.windows import read_stream, window_sketches
 
@@ -256,3 +256,30 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, window_sketches(events).drop("sketch").collect()))
+
+
+def test_compressors(spark):
+    rng = np.random.default_rng(5)
+    keys = np.sort(rng.choice(100_000, 600, replace=False))
+    df = spark.createDataFrame([(int(k), float(v)) for k, v in zip(keys, rng.normal(size=600), strict=True)], "key long, value double")
+    dense = compressors.compress_dense(df, "uniform", 64)
+    assert {r.key for r in dense.times(2.0).decompress().collect()} == set(keys.tolist())
+    assert dense.memory_bytes() < 12 * 600
+    sparse = compressors.compress_sparse(df, bins=64)
+    back = {r.key: r.value for r in sparse.decompress().collect()}
+    was = {r.key: r.value for r in df.collect()}
+    assert back.keys() == was.keys()
+    zero = sparse.quantizer.values[sparse.quantizer.zero]
+    assert np.mean([abs(back[k] - zero) <= abs(was[k] - zero) + 0.5 for k in was]) > 0.95
+    assert sparse.decompress_dense(100_000).count() == 100_000
+    with pytest.raises(ValueError):
+        sparse.times(-1.0)
+
+
+def test_settings_from_the_session(spark):
+    spark.conf.set("spark.quantaloom.algo", "hinge")
+    spark.conf.set("spark.quantaloom.epochs", "3")
+    s = glm.Settings.from_conf(spark)
+    assert (s.algo, s.epochs, s.learn_rate) == ("hinge", 3, 0.1)
+    spark.conf.unset("spark.quantaloom.algo")
+    spark.conf.unset("spark.quantaloom.epochs")
