@@ -122,8 +122,8 @@ def _measured(docs: DataFrame, sources, id: str, text: str, seed: int) -> DataFr
     return rows.withColumn("h", F.xxhash64(F.lit(seed), "id", "size"))
 
 
-def _decided(docs: DataFrame, sources, id: str, text: str, weights: Callable[[list], dict], most: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(row, size, sources, taken) of every row of ``docs``, and the source table."""
+def _decided(docs: DataFrame, sources, id: str, text: str, weights: Callable[[list], dict], most: int, seed: int, whole_rows: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, size, sources, taken) of every row of ``docs``, or (row, ..) with the whole row, and the source table."""
     spark = docs.sparkSession
     full = _measured(docs, sources, id, text, seed)
     narrow = cut(full.drop("row"))
@@ -155,24 +155,23 @@ def _decided(docs: DataFrame, sources, id: str, text: str, weights: Callable[[li
     edge = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("sources").orderBy("bucket"))).where("upto > rest and upto - words <= rest")
     edges = [(r["sources"], r["bucket"], r["before"]) for r in edge.select("sources", "bucket", (F.col("upto") - F.col("words")).alias("before")).collect()]
     ends = F.broadcast(spark.createDataFrame(edges, T.StructType([names_of, *numbers("edge", "before")])))
-    rows = with_plan(full).join(ends, match, "left").drop("sources_")
+    rows = with_plan(full if whole_rows else narrow).join(ends, match, "left").drop("sources_")
     outside = rows.where("edge is null or bucket <> edge").withColumn("more", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(0))
     inside = rows.where("bucket = edge").withColumn("past", F.sum("size").over(Window.partitionBy("sources", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)))
     inside = inside.withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.coalesce("past", F.lit(0))))).drop("past")
-    taken = outside.unionByName(inside).select("row", "size", "sources", (F.col("passes") * F.col("size") + F.col("more")).cast("long").alias("taken"))
+    taken = outside.unionByName(inside).select("row" if whole_rows else "id", "size", "sources", (F.col("passes") * F.col("size") + F.col("more")).cast("long").alias("taken"))
     return taken, spark.createDataFrame([(s, sizes[s], target[s]) for s in names], "source string, source_size long, target double")
 
 
 def mix(docs: DataFrame, sources=None, id: str = "doc_id", text: str = "text", weights: Callable[[list], dict] = cycling_weights, most: int = 3, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """((id, size, sources, taken) of every row, (source, source_size, target))."""
     sources = F.array("source") if sources is None else sources
-    narrow = docs.select(F.col(id).alias(id), F.col(text).alias(text), sources.alias("sources_of"))
-    taken, table = _decided(narrow, F.col("sources_of"), id, text, weights, most, seed)
-    return taken.select(F.col("row")[id].alias(id), "size", "sources", "taken"), table
+    taken, table = _decided(docs, sources, id, text, weights, most, seed, False)
+    return taken.withColumnRenamed("id", id), table
 
 
 def mixed(docs: DataFrame, sources=None, id: str = "doc_id", text: str = "text", weights: Callable[[list], dict] = cycling_weights, most: int = 3, seed: int = 7) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, to the nearest whole number of times."""
-    taken, _ = _decided(docs, F.array("source") if sources is None else sources, id, text, weights, most, seed)
+    taken, _ = _decided(docs, F.array("source") if sources is None else sources, id, text, weights, most, seed, True)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
     return taken.where(times > 0).select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
