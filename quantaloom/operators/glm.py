@@ -1,6 +1,6 @@
 """Generalized linear models by mini-batches over workers, with coded gradients.
 
-Rows are (worker, pos, y, x array<double>). A batch is a circular range of positions in each worker. Scores are array
+Rows are (worker, pos, y, x array<double>), or with idx array<int> the entries x of a sparse vector. A batch is a circular range of positions in each worker. Scores are array
 expressions against weights in the plan (a model is as long as a row), gradients are sums by (worker, key) with partial
 aggregation; each worker's gradient goes through the codec and the sums are summed. Only gradients of the model's
 length reach the driver, where the optimizer steps.
@@ -115,15 +115,34 @@ def split(df: DataFrame, id: str, ratio: float) -> tuple[DataFrame, DataFrame]:
 # ---------------------------------------------------------------- one step
 
 def scored(rows: DataFrame, weights) -> DataFrame:
-    return rows.withColumn("score", dot(F.col("x"), constant(weights)))
+    held = constant(weights)
+    if "idx" in rows.columns:
+        held = F.transform("idx", lambda i: F.get(constant(weights), i))
+    return rows.withColumn("score", dot(F.col("x"), held))
 
 
 def worker_gradients(rows: DataFrame, weights, algo: str) -> DataFrame:
     """(worker, key, g, batch): sums of minus the pull times x, divided by the worker's rows."""
     pull = LOSSES[algo][1]
     rows = scored(rows, weights).withColumn("pull", pull(F.col("score"), F.col("y")))
-    long = rows.select("worker", F.posexplode(F.transform("x", lambda v: -F.col("pull") * v)).alias("key", "v"))
-    return long.groupBy("worker", "key").agg((F.sum("v") / F.count("*")).alias("g"), F.count("*").alias("batch"))
+    if "idx" not in rows.columns:
+        long = rows.select("worker", F.posexplode(F.transform("x", lambda v: -F.col("pull") * v)).alias("key", "v"))
+        return long.groupBy("worker", "key").agg((F.sum("v") / F.count("*")).alias("g"), F.count("*").alias("batch"))
+    # A key occurs in some rows only: rows are counted apart, by worker.
+    size = rows.groupBy("worker").agg(F.count("*").alias("batch"))
+    long = rows.select("worker", F.explode(F.arrays_zip("idx", F.transform("x", lambda v: -F.col("pull") * v).alias("v"))).alias("p")).select("worker", F.col("p.idx").alias("key"), F.col("p.v").alias("v"))
+    sums = long.groupBy("worker", "key").agg(F.sum("v").alias("g"))
+    return active(sums, len(weights)).join(F.broadcast(size), "worker").select("worker", "key", (F.col("g") / F.col("batch")).alias("g"), "batch")
+
+
+def active(sums: DataFrame, dim: int) -> DataFrame:
+    """Sums of each worker without negligible ones, if at most two thirds of the keys are left; else all keys, 0 where there is none."""
+    kept = sums.groupBy("worker").agg(F.count_if(F.abs("g") > EPS).alias("nnz"))
+    marked = sums.join(F.broadcast(kept), "worker")  # one row for each worker
+    full = F.col("nnz") > dim * 2 // 3
+    keys = F.sequence(F.lit(0), F.lit(dim - 1))
+    missing = kept.where(full).select("worker", F.explode(keys).alias("key")).join(sums.select("worker", "key"), ["worker", "key"], "left_anti").select("worker", "key", F.lit(0.0).alias("g"))
+    return marked.where(full | (F.abs("g") > EPS)).select("worker", "key", "g").unionByName(missing)
 
 
 def with_l2(gradients: DataFrame, weights, l2: float) -> DataFrame:
@@ -177,14 +196,14 @@ def truncated(w: np.ndarray, alpha: float) -> np.ndarray:
     return np.sign(w) * np.maximum(0.0, np.abs(w) - alpha)
 
 
-def fit(df: DataFrame, s: Settings, id: str = "id") -> tuple[np.ndarray, list[tuple]]:
-    """(weights, (epoch, train loss, valid loss, accuracy) of each epoch) for rows (id, y, x)."""
+def fit(df: DataFrame, s: Settings, id: str = "id", dim: int | None = None) -> tuple[np.ndarray, list[tuple]]:
+    """(weights, (epoch, train loss, valid loss, accuracy) of each epoch) for rows (id, y, x), or sparse ones (id, y, idx, x) of ``dim`` places."""
     train, valid = split(df, id, s.valid_ratio)
     train = dealt(train, id, s.workers).persist()
     first = train.select(F.size("x").alias("d")).first()
     if first is None:
         raise ValueError("no rows to learn from")
-    state, history, loss = State(np.zeros(first["d"])), [], LOSSES[s.algo][0]
+    state, history, loss = State(np.zeros(dim or first["d"])), [], LOSSES[s.algo][0]
     for epoch in range(s.epochs):
         losses = []
         for b in range(s.batches):

@@ -144,6 +144,22 @@ for _codec in ("float", "fixed_point", "quantile", "uniform"):
     _codec_query(_codec)
 
 
+_SPARSE = (
+    "WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE -1.0 END AS y, o_custkey % 40 AS k1, 40 + o_orderkey % 5 AS k2, o_totalprice / 1e6 AS v2 FROM orders WHERE o_custkey % 40 < 20), "
+    + _W + "x AS (SELECT id, y, k1 AS key, 1.0::DOUBLE AS x FROM r UNION ALL SELECT id, y, k2, v2 FROM r), s AS (SELECT id, y, sum(x * w) AS score FROM x JOIN w USING (key) GROUP BY 1, 2), "
+    f"p AS (SELECT id, {PULL_SQL['logistic']} AS pull FROM s), g AS (SELECT key, sum(-pull * x) AS g FROM x JOIN p USING (id) GROUP BY key) "
+)
+
+
+@query("sparse_gradient_step", _SPARSE + "SELECT key, round(g / (SELECT count(*) FROM r) + 0.1::DOUBLE * w, 9) AS g FROM g JOIN w USING (key) WHERE abs(g) > 1e-8")
+def sparse_gradient_step(spark, d):
+    orders = table(spark, d, "orders").where("o_custkey % 40 < 20")
+    idx = F.array((F.col("o_custkey") % 40).cast("int"), (40 + F.col("o_orderkey") % 5).cast("int"))
+    rows = orders.select(F.lit(0).alias("worker"), F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(-1.0).alias("y"), idx.alias("idx"), F.array(F.lit(1.0), F.col("o_totalprice") / 1e6).alias("x"))
+    g = glm.with_l2(glm.worker_gradients(rows, WEIGHTS, "logistic"), WEIGHTS, L2)
+    return g.select(F.col("key").cast("long").alias("key"), F.round("g", 9).alias("g"))
+
+
 # ---------------------------------------------------------------- optimizer steps
 
 @query("sgd_step", _grad_sql("logistic") + "SELECT key, round(w - 0.1::DOUBLE / sqrt(1 + 0.9::DOUBLE * 2) * g, 9) AS w FROM g JOIN w USING (key)")

@@ -283,3 +283,16 @@ def test_settings_from_the_session(spark):
     assert (s.algo, s.epochs, s.learn_rate) == ("hinge", 3, 0.1)
     spark.conf.unset("spark.quantaloom.algo")
     spark.conf.unset("spark.quantaloom.epochs")
+
+
+def test_sparse_training(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(300):
+        k = int(rng.integers(0, 9))
+        rows.append((i, 1.0 if k < 4 else -1.0, [k, 9], [1.0, 0.1]))
+    df = spark.createDataFrame(rows, "id long, y double, idx array<int>, x array<double>")
+    w, history = glm.fit(df, glm.Settings(epochs=2, batch_ratio=0.5, reg_l2=0.0, workers=2, learn_rate=0.3), dim=40)
+    assert history[-1][3] > 0.95 and (w[:4] > 0).all() and (w[4:9] < 0).all() and (w[10:] == 0).all()
+    dense = spark.createDataFrame([(0, k, 1.0) for k in range(3)], "worker int, key int, g double")
+    assert glm.active(dense, 4).count() == 4 and glm.active(dense, 9).count() == 3
