@@ -16,8 +16,8 @@ from .shingles import text_chunks, words
 
 #: Words of a window and between the starts of windows, which overlap by half.
 WINDOW, STRIDE = 32, 16
-#: Sizes: word and character embeddings, states of each direction; windows at a time.
-WORD_DIM, CHAR_DIM, STATE, TOGETHER = 12, 6, 8, 4096
+#: Sizes: word and character embeddings, states of each direction; windows and bytes of text at a time.
+WORD_DIM, CHAR_DIM, STATE, TOGETHER, BYTES = 12, 6, 8, 2048, 1 << 19
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -140,7 +140,7 @@ class Network:
 
     def scores(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Scores of texts, chunk by chunk: the calibrated logit of each text's strongest window."""
-        for _, raw, offsets in text_chunks(column):
+        for _, raw, offsets in text_chunks(column, BYTES):
             h, starts, ends, first = words(raw, offsets, PARTS)
             row, at, end = windows_of(first)
             logits = self.logits(self.inputs(raw, h, starts, ends), at, end)

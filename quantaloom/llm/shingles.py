@@ -46,12 +46,12 @@ def as_strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def text_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of consecutive rows of about CHUNK bytes."""
+def text_chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of consecutive rows of about so many bytes."""
     raw, at = as_strings(column)
     i, n = 0, len(at) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
         yield i, raw[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 

@@ -100,7 +100,9 @@ def _gates(net: Network, ids: np.ndarray, shares: np.ndarray) -> tuple[np.ndarra
 
 def _best(net: Network, sample: _Sample, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The strongest logit of each text and all windows' logits; ids: the network's word for each kind."""
-    g = np.concatenate([_gates(net, ids, sample.shares)[1], np.zeros((1, 6 * STATE), np.float32)])
+    g = np.zeros((len(ids) + 1, 6 * STATE), np.float32)
+    for k in range(0, len(ids), 20_000):
+        g[k : min(k + 20_000, len(ids))] = _gates(net, ids[k : k + 20_000], sample.shares[k : k + 20_000])[1]
     logits = net.logits(g, sample.at, sample.end, sample.kind)
     return np.maximum.reduceat(logits, sample.begin[:-1]), logits
 

@@ -90,3 +90,10 @@ def test_conversations(spark):
     assert [chat_format.unguard(full[1].formatted[s.start : s.end]) for s in spans] == ["", "a\\<s>"]
     assert chat_format.format_digests(df.where("false")).count() == 0
     assert probe not in full[1].formatted
+
+
+def test_many_rules_meet_in_a_shuffle(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    near = sorted(map(tuple, url_filter.url_filter(pages, url_filter.rules_frame(spark, RULES)).collect()))
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", 0)
+    assert near == sorted(map(tuple, url_filter.url_filter(pages, url_filter.rules_frame(spark, RULES)).collect()))
