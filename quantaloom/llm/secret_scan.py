@@ -1,18 +1,22 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with length-aware false-discovery control.
 
-Every whole text is scanned once. Base spans come from three fixed patterns. Further candidates are long runs of
-letters, digits and + / _ -; of each the encoding is inferred (hex, base32, base36, base62, base64), and tests are run
+Every whole text is scanned once. Base spans come from three fixed patterns. Further candidates are runs of at least
+LEAST letters, digits and + / _ -, or what base spans leave of them; of each the encoding is inferred (hex, base32,
+base36, base62, base64, or, without letters or without digits, what these can still hold), and tests are run
 under it: chi-squared uniformity over the alphabet, Wald-Wolfowitz runs about the middle of the alphabet, and lag-one
 serial correlation. A candidate that uniformity, runs and correlation don't speak against still has to be unlike
 ordinary words: its p-value is the chance of so even a spread of symbols in a string of its length and encoding whose
-letters have the frequencies of prose. Benjamini-Hochberg thresholds over all candidates of the corpus, one for each
-encoding and class of lengths, bound the share of ordinary strings among the spans that are added.
+letters have the frequencies of prose (digits alone: those of leading digits). Benjamini-Hochberg thresholds over all
+candidates of the corpus, one for each encoding and class of lengths, bound the share of ordinary strings among the
+spans that are added.
 
 The corpus-wide part is a histogram of p-values of fixed size; texts and candidates never leave the executors.
 
 Defined results
   null or empty text: no spans, the digest of nothing. Repeated rows and ids: a row each. Null id: kept as null.
-  Added spans never overlap base spans. Empty table: no rows. Extra columns: ignored. Very long texts: whole.
+  Added spans never overlap base spans; parts of a run beside them that are shorter than LEAST aren't tested.
+  Digits alone are tested and counted, but up to 31 of them can hardly be told from plain numbers (32 are a base span);
+  letters of one case alone need about 80. Empty table: no rows. Extra columns: ignored. Very long texts: whole.
 """
 
 from __future__ import annotations
@@ -38,17 +42,21 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 
 DIGITS, LOWER, UPPER = b"0123456789", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (("hex", DIGITS + b"abcdef"), ("HEX", DIGITS + b"ABCDEF"), ("base32", UPPER + b"234567"), ("base36", DIGITS + LOWER), ("BASE36", DIGITS + UPPER), ("base62", DIGITS + UPPER + LOWER), ("base64", UPPER + LOWER + DIGITS + b"+/"), ("base64url", UPPER + LOWER + DIGITS + b"-_"))
+#: Of runs without letters or without digits, which have strata of their own: ordinary words don't dilute those of the above.
+ALONE = (("digits", DIGITS), ("digits and signs", DIGITS + b"+/-_"), ("a to f", b"abcdef"), ("A to F", b"ABCDEF"), ("lower", LOWER), ("UPPER", UPPER), ("letters", UPPER + LOWER), ("letters64", UPPER + LOWER + b"+/"), ("letters64url", UPPER + LOWER + b"-_"), ("letters and signs", UPPER + LOWER + b"+/-_"))
 HEX_CLASS, TOKEN_CLASS = byte_class(DIGITS + b"abcdef"), byte_class(DIGITS + LOWER + UPPER + b"+/_-")
-_ALPHABETS = [byte_class(a) for _, a in ENCODINGS]
+_ALPHABETS = [byte_class(a) for _, a in ENCODINGS + ALONE]
 _INDEX = []
-for _, _a in ENCODINGS:
+for _, _a in ENCODINGS + ALONE:
     _t = np.zeros(256, np.int64)
     _t[list(_a)] = np.arange(len(_a))
     _INDEX.append(_t)
 #: Shortest candidate; length classes start here. Below 20 symbols prose and random strings overlap too much.
 LEAST, LENGTH_CLASSES = 20, (20, 28, 40, 64, 128)
-#: Sums of squared and cubed letter frequencies of prose, and of its letters a to f only (for hex).
-PROSE, PROSE_HEX = (0.066, 0.0055), (0.26, 0.085)
+#: Sums of squared and cubed letter frequencies of prose, and of its letters a to f only (for hex); of leading digits by
+#: Benford's law (for digits alone).
+PROSE, PROSE_HEX, LEADING = (0.066, 0.0055), (0.26, 0.085), (0.165, 0.037)
+_ORDINARY = [PROSE_HEX if len(a) in (6, 16) else LEADING if a in (DIGITS, DIGITS + b"+/-_") else PROSE for _, a in ENCODINGS + ALONE]
 #: The share of false discoveries; the two-sided level of the tests.
 FALSE_SHARE, LEVEL_Z = 0.01, 3.3
 #: p-values are kept as -log10 in steps of 1 / STEPS, up to MOST_BIN.
@@ -62,13 +70,14 @@ def _normal_tail(z: float) -> float:
 def battery(token: bytes) -> tuple[int, float, float, float, float]:
     """(encoding, z of chi-squared under uniformity, z of runs, z of serial correlation, p-value under prose)."""
     raw = np.frombuffer(token, np.uint8)
-    enc = next((i for i, a in enumerate(_ALPHABETS) if a[raw].all()), len(ENCODINGS) - 1)
-    k, n = len(ENCODINGS[enc][1]), len(raw)
+    places = range(len(ENCODINGS)) if _mixed(token) else range(len(ENCODINGS), len(_ALPHABETS))
+    enc = next((i for i in places if _ALPHABETS[i][raw].all()), places[-1])
+    k, n = int(_ALPHABETS[enc].sum()), len(raw)
     x = _INDEX[enc][raw]
     counts = np.bincount(x, minlength=k).astype(float)
     chi = k / n * float((counts**2).sum()) - n
     uniform = (chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
-    two, three = PROSE_HEX if k == 16 else PROSE
+    two, three = _ORDINARY[enc]
     prose_mean = k + k * (n - 1) * two - n
     prose_sd = k * math.sqrt(2 * two**2 + 4 * (three - two**2) * (n - 1))
     p = _normal_tail((prose_mean - chi) / prose_sd)
@@ -88,10 +97,18 @@ def battery(token: bytes) -> tuple[int, float, float, float, float]:
 
 
 def _mixed(token: bytes) -> bool:
-    """Letters and digits both: a string of one kind only is no encoding of random bytes."""
+    """Letters (or _) and digits both."""
     return any(48 <= c < 58 for c in token) and any(c >= 65 for c in token)
 
 
+def _outside(a: int, b: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a run that lie outside base spans and are long enough to be tested."""
+    for s, e in [*sorted((s, e) for _, s, e in base if s < b and a < e), (b, b)]:
+        if s - a >= LEAST:
+            yield a, s
+        a = max(a, e)
+
+
 def scan_text(raw: np.ndarray, at: int, end: int, base_hex: list[tuple[int, int]], tokens: list[tuple[int, int]]) -> tuple[list, list]:
     """(base spans, candidates) of one text in bytes from its start: (kind, start, end), (start, end, stratum, bin)."""
     base, found = [(2, a, b) for a, b in base_hex], []
@@ -100,13 +117,8 @@ def scan_text(raw: np.ndarray, at: int, end: int, base_hex: list[tuple[int, int]
         base += [(0, m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
     if b"AKIA" in text:
         base += [(1, m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
-    for a, b in tokens:
-        if any(s < b and a < e for _, s, e in base):
-            continue
-        token = text[a:b]
-        if not _mixed(token):
-            continue
-        enc, uniform, run_z, serial, p = battery(token)
+    for a, b in (part for run in tokens for part in _outside(*run, base)):
+        enc, uniform, run_z, serial, p = battery(text[a:b])
         passes = abs(run_z) <= LEVEL_Z and abs(serial) <= LEVEL_Z and uniform <= LEVEL_Z
         length = sum(b - a >= x for x in LENGTH_CLASSES) - 1
         level = min(MOST_BIN, int(-math.log10(max(p, 1e-300)) * STEPS))

@@ -138,6 +138,37 @@ def test_random_strings_are_found(spark):
     assert not any(got[i] for i in range(60, 120))
 
 
+def test_random_strings_of_one_kind_are_found(spark):
+    """Runs without digits are tested too; words, paths and plain numbers stay."""
+    rng = random.Random(6)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for letters, n in ((upper, 80), (upper.lower(), 80), (upper + upper.lower(), 40), (upper + upper.lower() + "+/", 40), (upper + upper.lower() + "-_", 40)):
+        found = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(60)]
+        plain = ["donaudampfschifffahrtsgesellschaft", "some/path/to/the/file/in/the/index/of/things", "the-notes-from-the-meeting-in-the-small-room", "the_notes_from_the_meeting_in_the_small_room", "10000000000000000000000000100", "z" * 60, "-" * 80, "InternationalizationOfTheApplicationSettings"]
+        df = spark.createDataFrame([(i, f"so {t} ends") for i, t in enumerate(found + plain * 8)], "doc_id long, text string")
+        got = {r.doc_id: r.spans for r in secret_scan.scan_digests(df).collect()}
+        assert sum(got[i] == f"random:3:{3 + n}" for i in range(60)) >= 50, letters
+        assert not any(got[i] for i in range(60, len(got))), letters
+
+
+def test_digits_alone_are_counted():
+    """Too short to be told from plain numbers, but tested, and in the histogram; from 32 digits on they are base spans."""
+    raw = np.frombuffer(b"so 8301947265830194726519 ends", np.uint8)
+    (start, end, stratum, level), = secret_scan.scan_text(raw, 0, len(raw), [], [(3, 25)])[1]
+    assert (start, end, level > 0) == (3, 25, True) and stratum // len(secret_scan.LENGTH_CLASSES) == len(secret_scan.ENCODINGS)
+
+
+def test_random_rest_beside_base_spans(spark):
+    """What a base span leaves of a longer run is tested on its own."""
+    rng = random.Random(7)
+    letters = "GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789"
+    rest = ["g" + "".join(rng.choice(letters) for _ in range(38)) + "g" for _ in range(60)]
+    df = spark.createDataFrame([(i, f"so {x}{HEX}{y} ends", 0) for i, (x, y) in enumerate(zip(rest, reversed(rest), strict=True))], "doc_id long, text string, n_chars long")
+    got = [r.spans for r in secret_scan.scan_digests(df).collect()]
+    assert sum(s == "random:3:43,hex:43:75,random:75:115" for s in got) >= 45
+    assert sum(r.text == "so [SECRET][SECRET][SECRET] ends" and r.n_chars == len(r.text) for r in secret_scan.redact(df, length="n_chars").collect()) >= 45
+
+
 def test_redact(spark, docs, empty):
     df = docs.select("doc_id", "text", "n_chars", "size").unionByName(spark.createDataFrame([(200, "é token=abcdefgh12 end", 22, "s")], docs.select("doc_id", "text", "n_chars", "size").schema))
     got = {(r.doc_id, r.text): r for r in secret_scan.redact(df, length="n_chars").collect()}
