@@ -25,7 +25,8 @@ at least the threshold. The steps:
 Defined results
   null or empty text, or no words: n_shingles 0, linked with nothing, component its own id.
   fewer words than the width: the whole sequence is the one shingle. Copies: one class, one component.
-  null id: the row stays and gets the component of its class, null if it has none. Repeated ids: a row each.
+  null id: the row stays and gets the component of its class, null if it has none. Repeated ids: a row each; texts of
+  one id that aren't near each other belong to components of their own, which may have the same least id.
   empty table: no rows. Extra columns: ignored. Very long texts: whole, one at a time.
 """
 
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
@@ -87,16 +88,16 @@ def _class_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
             sketch.append(s[:SKETCH].view(np.int64))
             bitmap.append(bitmaps(s) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int64())), pa.array(bitmap, pa.binary())],
-            ["id", "n", "digest", "sketch", "bitmap"],
+            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int64())), pa.array(bitmap, pa.binary())],
+            ["id", "key", "n", "digest", "sketch", "bitmap"],
         )
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(id, set) for rows whose text has the wanted digest."""
+    """(id, set) of classes (text, digest, id), for rows whose text has the wanted digest."""
     for batch in batches:
         ids, sets = [], []
-        for i, d, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(1), width), strict=True):
+        for i, d, s in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(0), width), strict=True):
             if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d:
                 ids.append(i)
                 sets.append(s.tobytes())
@@ -268,14 +269,25 @@ def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
 
 def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``; linked: den * |A and B| >= num * |A or B|."""
+    found = _grouped(docs, num, den, width, id, text, F.lit(None).cast("string"))
+    return found.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, num: int, den: int, width: int, id: str, text: str, key: Column) -> DataFrame:
+    """(id, key, n, group, component_id) for every row: the number of its component, and the least id in it.
+
+    Classes go by numbers of their own, not by ids: an id that is repeated with other texts links nothing.
+    """
     small_batches(docs.sparkSession)
     t = num / den
-    texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = cut(texts.mapInArrow(lambda it: _class_rows(it, width), "id long, n long, digest binary, sketch array<long>, bitmap binary"))
-    member = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("class"))
-    full = rows.where("n > 0 and id is not null").groupBy("digest").agg(F.min_by(F.struct("id", "n", "bitmap", "sketch"), "id").alias("r")).select("digest", "r.*")
+    texts = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
+    keyed = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), key.alias("key"))
+    rows = cut(keyed.mapInArrow(lambda it: _class_rows(it, width), "id long, key string, n long, digest binary, sketch array<long>, bitmap binary"))
+    full = rows.where("n > 0 and id is not null").groupBy("digest").agg(F.min_by(F.struct(F.col("id").alias("doc"), "n", "bitmap", "sketch"), "id").alias("r")).select("digest", "r.*")
+    # Numbers grow with ids, so leaders are the documents of the least ids; they stay from here on.
+    full = cut(full.repartitionByRange("doc", "digest").sortWithinPartitions("doc", "digest").withColumn("id", F.monotonically_increasing_id()))
     tokens = full.select("id", F.explode("sketch").alias("token"))
-    classes = cut(full.drop("sketch"))
+    classes = full.drop("sketch")
     shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     sizes = F.ceil(F.col("c") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -288,9 +300,9 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, width: in
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         """The whole sets of the classes in these pairs, from their texts."""
-        ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "digest"), "id"))
+        ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "doc", "digest"), "id"))
         few = ids.count() <= BROADCAST_IDS
-        rows = texts.join(F.broadcast(ids) if few else ids, "id").select("id", "text", "digest")
+        rows = texts.join(F.broadcast(ids) if few else ids, "doc").select("text", "digest", "id")
         return cut(rows.mapInArrow(lambda it: _set_rows(it, width), "id long, tokens binary"))
 
     links, comp, tested, cap = None, None, None, 0
@@ -318,25 +330,36 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, width: in
             break
         cap = FIRST_CAP if not cap else cap * 16
 
-    result = rows.select("id", "n", "digest").join(member, "digest", "left")
+    known = classes.select("digest", "id", "doc")
     if comp is not None:
-        result = result.join(comp.withColumnRenamed("id", "class"), "class", "left")
+        joined = known.join(comp, "id")
+        least = joined.groupBy("component").agg(F.min("doc").alias("least"))
+        linked = joined.join(least, "component").select("id", F.col("component").alias("group"), F.col("least").alias("component_id"))
+        known = known.join(linked, "id", "left")
     else:
-        result = result.withColumn("component", F.lit(None).cast("long"))
-    return result.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "class", "id").alias("component_id"))
+        known = known.withColumns({"group": F.lit(None).cast("long"), "component_id": F.lit(None).cast("long")})
+    known = known.select("digest", F.coalesce("group", "id").alias("group"), F.coalesce("component_id", "doc").alias("component_id"))
+    return rows.select("id", "key", "n", "digest").join(known, "digest", "left").select("id", "key", "n", "group", "component_id")
 
 
-def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **names) -> DataFrame:
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", num: int = 75, den: int = 100, width: int = 5) -> DataFrame:
     """``docs`` without those that another document of their component stands for (the one with the least id).
 
-    Rows without words or id stay. Rows that repeat an id and a text count as one document.
+    Rows without words or id stay. Rows that repeat an id and a text count as one document. An id that is repeated with
+    other texts is a document with each of them: such rows are decided one by one, and of several texts of the least id
+    the one with the least digest stands for their component.
     """
-    found = cut(jaccard_components(docs, id=id, text=text, **names).select(F.col(id).alias("id_"), (F.col("component_id") == F.col(id)).alias("kept")))
-    gone = found.where("not kept").select("id_").distinct()
-    twice = found.where("kept").groupBy("id_").count().where("count > 1").select("id_")
+    digest = F.coalesce(F.md5(F.col(text).cast("binary")), F.lit(""))
+    found = cut(_grouped(docs, num, den, width, id, text, digest).where("id is not null").select(F.col("id").alias("id_"), F.col("key").alias("key_"), "n", "group", "component_id"))
     near = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    left = docs.join(near(gone), F.col(id) == F.col("id_"), "left_anti")
-    if twice.isEmpty():
-        return left
-    again = near(twice)
-    return left.join(again, F.col(id) == F.col("id_"), "left_anti").unionByName(left.join(again, F.col(id) == F.col("id_"), "left_semi").dropDuplicates([id, text]))
+    gone = found.where("n > 0 and id_ <> component_id").select("id_").distinct()
+    again = found.groupBy("id_").count().where("count > 1").select("id_")
+    if again.isEmpty():
+        return docs.join(near(gone), F.col(id) == F.col("id_"), "left_anti")
+    again = near(cut(again))
+    once = docs.join(again, F.col(id) == F.col("id_"), "left_anti").join(near(gone), F.col(id) == F.col("id_"), "left_anti")
+    rows = found.join(again, "id_", "left_semi")
+    first = rows.where("n > 0 and id_ = component_id").groupBy("group", "id_").agg(F.min("key_").alias("key_")).select("id_", "key_")
+    stay = rows.where("n = 0").select("id_", "key_").union(first).distinct()
+    more = docs.join(again, F.col(id) == F.col("id_"), "left_semi").join(stay, (F.col(id) == F.col("id_")) & (digest == F.col("key_")), "left_semi")
+    return once.unionByName(more.dropDuplicates([id, text]))

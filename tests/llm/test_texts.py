@@ -66,6 +66,20 @@ def test_jaccard_query_and_one_of_each(spark, docs, empty):
     assert kept[0].__fields__ == docs.columns and any(r.doc_id is None for r in kept)
 
 
+def test_repeated_ids_with_other_texts(spark):
+    """Rows are decided one by one: an id's other text neither takes a group away nor links two groups."""
+    rng = random.Random(12)
+    one, two, three = ([str(rng.randrange(10**6)) for _ in range(60)] for _ in range(3))
+    text = lambda w, end="": " ".join([*w, end]).strip()
+    rows = [(5, text(one)), (7, text(one, "x")), (5, text(two)), (3, text(two)), (9, text(two, "y")), (7, ""), (7, None), (8, text(three)), (8, text(three, "z")), (8, text(three)), (None, text(one))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_jaccard.jaccard_components(df)
+    assert sorted((r.doc_id, r.component_id) for r in got.where("n_shingles > 0 and doc_id is not null").collect()) == [(3, 3), (5, 3), (5, 5), (7, 5), (8, 8), (8, 8), (8, 8), (9, 3)]
+    kept = [(r.doc_id, r.text) for r in ngram_jaccard.one_of_each(df).collect()]
+    third = min((text(three), text(three, "z")), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert sorted(kept, key=str) == sorted([(5, text(one)), (3, text(two)), (7, ""), (7, None), (8, third), (None, text(one))], key=str)
+
+
 # ---------------------------------------------------------------- 8
 
 def test_bpe_equals_the_library(spark, docs, empty):
