@@ -33,8 +33,10 @@ def sparse(df: DataFrame, eps: float = EPS) -> DataFrame:
     return df.where(F.abs("value") > eps)
 
 
-def dense(df: DataFrame, dim: int, eps: float = EPS) -> DataFrame:
-    """One row for each place in [0, dim); absent and negligible values are 0."""
+def dense(df: DataFrame, dim: int | None = None, eps: float = EPS) -> DataFrame:
+    """One row for each place in [0, dim), by default up to the greatest key; absent and negligible values are 0."""
+    if dim is None:
+        dim = df.agg(F.coalesce(F.max("key") + 1, F.lit(0))).first()[0]
     places = df.sparkSession.range(dim).select(F.col("id").alias("key"))
     return places.join(sparse(df, eps), "key", "left").select("key", F.coalesce("value", F.lit(0.0)).alias("value"))
 

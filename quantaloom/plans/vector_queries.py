@@ -52,6 +52,12 @@ def sparse_to_dense(spark, d):
     return vectors.dense(_discounts(spark, d), 5000)
 
 
+@query("sparse_to_dense_whole", "SELECT g.i AS key, coalesce(v.value, 0.0::DOUBLE) AS value FROM (SELECT unnest(range(0, (SELECT max(l_orderkey) + 1 FROM lineitem)))::BIGINT AS i) g LEFT JOIN (SELECT l_orderkey AS key, min(l_discount) AS value FROM lineitem GROUP BY 1 HAVING abs(min(l_discount)) > 1e-8) v ON v.key = g.i")
+def sparse_to_dense_whole(spark, d):
+    """All keys; ``sparse_to_dense`` gives the first 5000 places, as its SQL does."""
+    return vectors.dense(_discounts(spark, d))
+
+
 @query("auto_format", _DISC + "SELECT count(*) FILTER (abs(value) > 1e-8) AS nnz, max(key) + 1 AS dim, CASE WHEN count(*) FILTER (abs(value) > 1e-8) > ((max(key) + 1) * 2) // 3 THEN 'dense' ELSE 'sparse' END AS format FROM v")
 def auto_format(spark, d):
     v = _discounts(spark, d)

@@ -285,6 +285,13 @@ def test_settings_from_the_session(spark):
     spark.conf.unset("spark.quantaloom.epochs")
 
 
+def test_dense_takes_its_length_from_the_data(spark):
+    df = spark.createDataFrame([(3, 1.5), (7000, 0.0)], "key long, value double")
+    got = {r.key: r.value for r in vectors.dense(df).collect()}
+    assert got == {k: 1.5 if k == 3 else 0.0 for k in range(7001)}
+    assert vectors.dense(df.where("false")).count() == 0
+
+
 def test_sparse_training(spark):
     rng = np.random.default_rng(7)
     rows = []
