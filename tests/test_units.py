@@ -292,6 +292,22 @@ def test_dense_takes_its_length_from_the_data(spark):
     assert vectors.dense(df.where("false")).count() == 0
 
 
+def test_whole_gradient_takes_every_row(spark, tmp_path):
+    from quantaloom.plans.model_queries import L2, WEIGHTS
+    from quantaloom.plans.registry import QUERIES
+
+    rows = [(1, 25, "F", 1e6), (2, 39, "O", 2e6), (3, 3, "F", 5e5)]  # customers 25 and 39 lie outside the old filter
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    want = {}
+    for order, customer, status, price in rows:
+        y, x = 1.0 if status == "F" else -1.0, {customer % 20: 1.0, 40 + order % 5: price / 1e6}
+        pull = y / (math.exp(y * sum(WEIGHTS[k] * v for k, v in x.items())) + 1)
+        for k, v in x.items():
+            want[k] = want.get(k, 0.0) - pull * v / len(rows)
+    got = {r.key: r.g for r in QUERIES["sparse_gradient_step_whole"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({k: v + L2 * WEIGHTS[k] for k, v in want.items()}, abs=1e-8)
+
+
 def test_sparse_training(spark):
     rng = np.random.default_rng(7)
     rows = []
