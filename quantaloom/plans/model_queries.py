@@ -211,10 +211,20 @@ query("adam_3_steps", _adam_sql(3))(_adam(3))
 
 @query("adam_sparse_step", "WITH g AS (SELECT l_linenumber AS key, avg(l_discount) - 0.05::DOUBLE AS g FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1) SELECT k AS key, round(CASE WHEN g IS NULL THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - 0.1::DOUBLE * sqrt(1 - 0.999::DOUBLE) * (0.1::DOUBLE * g) / ((1 - 0.9::DOUBLE) * (sqrt(0.001::DOUBLE * g * g) + 1e-8::DOUBLE)) END, 6) AS w FROM (SELECT unnest(range(0, 8)) AS k) LEFT JOIN g ON g.key = k")
 def adam_sparse_step(spark, d):
+    return _adam_from_ones(spark, table(spark, d, "lineitem").where("l_linenumber % 2 = 1"), F.col("l_linenumber"), 8)
+
+
+@query("adam_sparse_step_whole", "WITH g AS (SELECT 2 * l_linenumber AS key, avg(l_discount) - 0.05::DOUBLE AS g FROM lineitem GROUP BY 1) SELECT k AS key, round(CASE WHEN g IS NULL THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - 0.1::DOUBLE * sqrt(1 - 0.999::DOUBLE) * (0.1::DOUBLE * g) / ((1 - 0.9::DOUBLE) * (sqrt(0.001::DOUBLE * g * g) + 1e-8::DOUBLE)) END, 6) AS w FROM (SELECT unnest(range(0, 16)) AS k) LEFT JOIN g ON g.key = k")
+def adam_sparse_step_whole(spark, d):
+    """All rows; ``adam_sparse_step`` takes those of odd line numbers, as its SQL does. Odd keys are absent."""
+    return _adam_from_ones(spark, table(spark, d, "lineitem"), 2 * F.col("l_linenumber"), 16)
+
+
+def _adam_from_ones(spark, items, key, dim):
     import numpy as np
 
-    g = table(spark, d, "lineitem").where("l_linenumber % 2 = 1").groupBy(F.col("l_linenumber").alias("key")).agg((F.avg("l_discount") - 0.05).alias("g")).toPandas()
-    state = glm.State(np.ones(8))
+    g = items.groupBy(key.alias("key")).agg((F.avg("l_discount") - 0.05).alias("g")).toPandas()
+    state = glm.State(np.ones(dim))
     state.adam(g["key"].to_numpy(), g["g"].to_numpy(float), glm.Settings(), False)
     return spark.createDataFrame([(k, float(w)) for k, w in enumerate(state.w)], "key long, w double").select("key", F.round("w", 6).alias("w"))
 

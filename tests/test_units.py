@@ -308,6 +308,14 @@ def test_whole_gradient_takes_every_row(spark, tmp_path):
     assert got == pytest.approx({k: v + L2 * WEIGHTS[k] for k, v in want.items()}, abs=1e-8)
 
 
+def test_whole_adam_step_takes_every_line(spark, tmp_path):
+    from quantaloom.plans.registry import QUERIES
+
+    spark.createDataFrame([(1, 0.0), (2, 0.1), (2, 0.1), (4, 0.0)], "l_linenumber int, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.key: r.w for r in QUERIES["adam_sparse_step_whole"](spark, str(tmp_path)).collect()}
+    assert len(got) == 16 and {k: math.copysign(1, 1 - w) for k, w in got.items() if w != 1} == {2: -1.0, 4: 1.0, 8: -1.0}
+
+
 def test_sparse_training(spark):
     rng = np.random.default_rng(7)
     rows = []
