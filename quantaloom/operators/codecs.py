@@ -88,7 +88,7 @@ def payload_bytes(name: str, n: int, bins: int = 256, cells: int = 0, key_bits:
     }[name]
 
 
-def report(df: DataFrame, names: tuple[str, ...] = ("none", "float", "fixed_point", "uniform", "quantile", "least_squares")) -> DataFrame:
+def report(df: DataFrame, names: tuple[str, ...] = ("none", "float", "fixed_point", "uniform", "quantile", "least_squares", "sketch")) -> DataFrame:
     """One row for each codec: rows, distances between values and what comes back, root mean square error."""
     out = None
     for name in names:

@@ -2,7 +2,8 @@
 
 Rows are (worker, pos, y, x array<double>), or with idx array<int> the entries x of a sparse vector. A batch is a circular range of positions in each worker. Scores are array
 expressions against weights in the plan (a model is as long as a row), gradients are sums by (worker, key) with partial
-aggregation; each worker's gradient goes through the codec and the sums are summed. Only gradients of the model's
+aggregation; each worker's gradient goes through the codec (least_squares and sketch: as jobs of their own for each worker)
+and the sums are summed. Only gradients of the model's
 length reach the driver, where the optimizer steps.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions.losses import EPS, LOSSES
 from ..functions.vectors import constant, dot
-from . import metrics
+from . import codecs, metrics
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,9 @@ class Settings:
     codec: str = "none"
     bins: int = 256
     bits: int = 8
+    groups: int = 8
+    rows: int = 2
+    ratio: float = 0.3
     optimizer: str = "adam"
     per_step_powers: bool = False
     seed: int = 7
@@ -44,8 +48,8 @@ class Settings:
     def __post_init__(self):
         if self.algo not in LOSSES:
             raise ValueError(f"algo is one of {sorted(LOSSES)}")
-        if self.codec not in KERNELS:
-            raise ValueError(f"codec is one of {sorted(KERNELS)}")
+        if self.codec not in {**KERNELS, **JOBS}:
+            raise ValueError(f"codec is one of {sorted({**KERNELS, **JOBS})}")
         if self.optimizer not in ("adam", "sgd"):
             raise ValueError("optimizer is adam or sgd")
 
@@ -92,6 +96,15 @@ def _fixed(g: np.ndarray, s: Settings) -> np.ndarray:
 KERNELS = {"none": lambda g, s: g, "float": lambda g, s: g.astype(np.float32).astype(float), "fixed_point": _fixed, "quantile": _quantile, "uniform": _uniform}
 
 
+def _sketch(df: DataFrame, s: Settings, dense: bool) -> DataFrame:
+    """A dense gradient keeps its quantile bins as they are, a sparse one puts them into a grouped min-max sketch."""
+    return codecs.quantized(df, "quantile", s.bins) if dense else codecs.sketched(df, "quantile", s.bins, s.groups, s.rows, s.ratio)
+
+
+#: Codecs over (key, value) of one worker that are jobs, not functions of an array.
+JOBS = {"least_squares": lambda df, s, dense: codecs.quantized(df, "least_squares", s.bins), "sketch": _sketch}
+
+
 # ---------------------------------------------------------------- data
 
 def dealt(df: DataFrame, id: str, workers: int) -> DataFrame:
@@ -150,10 +163,22 @@ def with_l2(gradients: DataFrame, weights, l2: float) -> DataFrame:
     return gradients.withColumn("g", F.col("g") + F.lit(l2) * F.element_at(constant(weights), F.col("key") + 1)) if l2 > EPS else gradients
 
 
-def coded(gradients: DataFrame, s: Settings) -> DataFrame:
-    """Each worker's gradient after coding and decoding; a group is one gradient, as long as a row."""
+def coded(gradients: DataFrame, s: Settings, dim: int | None = None) -> DataFrame:
+    """Each worker's gradient after coding and decoding; a group is one gradient, as long as a row.
+
+    A gradient with all ``dim`` keys is dense; by default there are as many as the greatest key asks for.
+    """
     if s.codec == "none":
         return gradients.select("worker", "key", "g")
+    if s.codec in JOBS:
+        held = gradients.select("worker", "key", F.col("g").cast("double").alias("value")).localCheckpoint()  # read by several jobs for each worker
+        found = held.groupBy("worker").agg(F.count("*").alias("n"), F.max("key").alias("last")).orderBy("worker").collect()
+        dim = dim or max((r["last"] + 1 for r in found), default=0)
+        out = held.select("worker", "key", F.col("value").alias("g")).where("false")
+        for r in found:
+            back = JOBS[s.codec](held.where(F.col("worker") == r["worker"]).select("key", "value"), s, r["n"] == dim)
+            out = out.unionByName(back.select(F.lit(r["worker"]).alias("worker"), "key", F.col("decoded").alias("g")))
+        return out
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
@@ -212,7 +237,7 @@ def fit(df: DataFrame, s: Settings, id: str = "id", dim: int | None = None) -> t
             if not head["n"]:
                 continue
             losses.append(head["l"] + (s.reg_l2 * float(np.sqrt((state.w**2).sum())) if s.reg_l2 > EPS else 0.0))
-            g = summed(coded(with_l2(worker_gradients(rows, state.w, s.algo), state.w, s.reg_l2), s), s.workers).orderBy("key").toPandas()
+            g = summed(coded(with_l2(worker_gradients(rows, state.w, s.algo), state.w, s.reg_l2), s, len(state.w)), s.workers).orderBy("key").toPandas()
             keys, values = g["key"].to_numpy(), g["g"].to_numpy(float)
             if s.optimizer == "sgd":
                 state.sgd(keys, values, s, epoch + (b == s.batches - 1))

@@ -140,7 +140,7 @@ def _codec_query(codec):
     return run
 
 
-for _codec in ("float", "fixed_point", "quantile", "uniform"):
+for _codec in ("float", "fixed_point", "quantile", "uniform", "least_squares", "sketch"):
     _codec_query(_codec)
 
 

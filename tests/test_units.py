@@ -170,6 +170,36 @@ def test_codecs_and_report(spark):
         codecs.run("other", df)
 
 
+def test_report_has_every_codec(spark):
+    found = {r.codec: r for r in codecs.report(vector(spark, np.random.default_rng(2).normal(size=400))).collect()}
+    assert set(found) == set(codecs.CODECS)
+    assert found["sketch"].n == 400 and found["quantile"].rmse <= found["sketch"].rmse < 1
+
+
+@pytest.mark.parametrize("codec", ["least_squares", "sketch"])
+def test_gradients_by_codecs_that_are_jobs(spark, codec):
+    """Worker by worker the same as the column codec; a dense gradient keeps its quantile bins, a sparse one is sketched."""
+    rng, s = np.random.default_rng(4), glm.Settings(codec=codec, bins=16)
+    held = {0: {k: float(rng.normal()) for k in range(90)}, 1: {k: float(rng.normal()) for k in range(0, 90, 3)}}
+    df = spark.createDataFrame([(w, k, v) for w, g in held.items() for k, v in g.items()], "worker int, key int, g double")
+    got = {(r.worker, r.key): r.g for r in glm.coded(df, s, 90).collect()}
+    for w, g in held.items():
+        one = spark.createDataFrame(list(g.items()), "key int, value double")
+        want = codecs.quantized(one, "least_squares", 16) if codec == "least_squares" else codecs.quantized(one, "quantile", 16) if w == 0 else codecs.sketched(one, "quantile", 16)
+        assert {k: v for (u, k), v in got.items() if u == w} == {r.key: r.decoded for r in want.collect()}
+    assert glm.coded(df.where("false"), s).count() == 0
+
+
+@pytest.mark.parametrize("codec", ["least_squares", "sketch"])
+def test_training_with_codecs_that_are_jobs(spark, codec):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 5))
+    y = np.sign(x @ np.array([1.0, -2.0, 0.5, 0.0, 1.0]))
+    df = spark.createDataFrame([(i, float(y[i]), [float(v) for v in x[i]]) for i in range(200)], "id long, y double, x array<double>")
+    w, history = glm.fit(df, glm.Settings(codec=codec, epochs=2, batch_ratio=0.5, reg_l2=0.001, workers=2))
+    assert len(w) == 5 and history[-1][1] < history[0][1]
+
+
 def test_losses(spark):
     at = lambda f, z: spark.range(1).select(f(F.lit(float(z)), F.lit(1.0))).first()[0]
     assert at(losses.log_loss, 20) == pytest.approx(math.exp(-20)) and at(losses.log_loss, -20) == 20 and at(losses.log_loss, 0) == pytest.approx(math.log(2))
