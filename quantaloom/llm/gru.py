@@ -1,7 +1,8 @@
 """A bidirectional gated recurrent network with attention pooling over windows of words, in numpy.
 
-The input of a word is an embedding of the word itself (0 for words outside the vocabulary) and the mean of embeddings
-of its characters. Two recurrent layers read a window forwards and backwards; attention weighs their states, and one
+The input of a word is an embedding of the word itself and one of its spelling: the mean over its character n-grams
+plus the mean over those that it begins with. Words and n-grams go by hashes into tables of fixed size, so nothing is
+out of vocabulary. Two recurrent layers read a window forwards and backwards; attention weighs their states, and one
 logit comes out.
 """
 
@@ -12,23 +13,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .shingles import text_chunks, words
+from .shingles import gram_hashes, text_chunks, words
 
 #: Words of a window and between the starts of windows, which overlap by half.
 WINDOW, STRIDE = 32, 16
-#: Sizes: word and character embeddings, states of each direction; windows and bytes of text at a time.
-WORD_DIM, CHAR_DIM, STATE, TOGETHER, BYTES = 12, 6, 8, 2048, 1 << 19
+#: Sizes: word and spelling embeddings, states of each direction; windows and bytes of text at a time.
+WORD_DIM, CHAR_DIM, STATE, TOGETHER, BYTES = 12, 12, 8, 2048, 1 << 19
+#: Rows of the two tables (a power of two each); bytes of n-grams inside and at the start of a word.
+WORDS, GRAMS = 1 << 15, 1 << 16
+INNER, START = (2, 3, 4, 5), (2, 3, 4, 5, 6, 7)
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 PARTS = ~_LETTER
-#: Character classes: a letter whatever its case, digits, and other bytes by their low bits; and one for capitals.
-CLASSES = 44
-CLASS = np.full(256, 26, np.int64)
-CLASS[65:91] = CLASS[97:123] = np.arange(26)
-CLASS[128:] = 27 + (np.arange(128, 256) & 15)
-CAPITAL = np.zeros(256, bool)
-CAPITAL[65:91] = True
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -44,37 +41,77 @@ def windows_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first[row] + step * STRIDE, first[row + 1]
 
 
+class Spelling:
+    """Table rows of the n-grams of some words, laid out by bytes; absent ones have a last row, which is zeros."""
+
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        size = ends - starts
+        self.first = np.concatenate([[0], np.cumsum(size)])
+        word = np.repeat(np.arange(len(size)), size)
+        own = raw[np.arange(len(word)) - self.first[word] + starts[word]] if len(word) else np.zeros(0, np.uint8)
+        left = self.first[word + 1] - np.arange(len(word))  # bytes up to the word's end
+        self.inner = np.full((len(word), len(INNER)), GRAMS, np.int32)
+        self.start = np.full((len(size), len(START)), GRAMS, np.int32)
+        for n in sorted({*INNER, *START}):
+            h = gram_hashes(own, n)
+            if n in INNER:
+                at = np.flatnonzero(left >= n)
+                self.inner[at, INNER.index(n)] = h[at] & np.uint64(GRAMS - 1)
+            if n in START:
+                at = np.flatnonzero(size >= n)
+                self.start[at, START.index(n)] = (h[self.first[at]] >> np.uint64(32)) & np.uint64(GRAMS - 1)
+        share = lambda count: (1 / np.maximum(1, count)).astype(np.float32)
+        self.per_inner, self.per_start = share(sum(np.maximum(0, size - n + 1) for n in INNER)), share(sum((size >= n).astype(np.int64) for n in START))
+
+    def __getitem__(self, k: np.ndarray) -> Spelling:
+        """The words at these places."""
+        some, size = object.__new__(Spelling), np.diff(self.first)[k]
+        some.first = np.concatenate([[0], np.cumsum(size)])
+        some.inner = self.inner[np.arange(some.first[-1]) - np.repeat(some.first[:-1] - self.first[k], size)]
+        some.start, some.per_inner, some.per_start = self.start[k], self.per_inner[k], self.per_start[k]
+        return some
+
+    def vectors(self, g: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.start), g.shape[1]), np.float32)
+        if len(self.start):
+            inner = g[self.inner[:, 0]]
+            for k in range(1, len(INNER)):
+                inner += g[self.inner[:, k]]
+            out += np.add.reduceat(inner, self.first[:-1], axis=0) * self.per_inner[:, None]
+            for k in range(len(START)):
+                out += g[self.start[:, k]] * self.per_start[:, None]
+        return out
+
+    def gradient(self, d: np.ndarray) -> np.ndarray:
+        """Gradient of the table for d, that of the vectors."""
+        inner, start = np.repeat(d * self.per_inner[:, None], np.diff(self.first), axis=0), d * self.per_start[:, None]
+        rows = np.concatenate([*self.inner.T, *self.start.T])
+        d_g = np.stack([np.bincount(rows, np.concatenate([*[inner[:, j]] * len(INNER), *[start[:, j]] * len(START)]), GRAMS + 1) for j in range(d.shape[1])], axis=1).astype(np.float32)
+        d_g[GRAMS] = 0
+        return d_g
+
+
+def word_rows(h: np.ndarray) -> np.ndarray:
+    """Table rows of words with these hashes; row 0 stands for a hidden word."""
+    return 1 + (h & np.uint64(WORDS - 1)).astype(np.int64)
+
+
 class Network:
-    def __init__(self, vocabulary: np.ndarray, seed: int = 3):
-        """``vocabulary``: hashes of words."""
+    def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
         small = lambda *shape: (rng.standard_normal(shape) * 0.3 / np.sqrt(shape[0])).astype(np.float32)
-        self.vocabulary = np.sort(vocabulary)
         self.p = {
-            "E": (rng.standard_normal((len(vocabulary) + 1, WORD_DIM)) * 0.05).astype(np.float32), "C": small(CLASSES, CHAR_DIM) * 5,
+            "E": (rng.standard_normal((WORDS + 1, WORD_DIM)) * 0.02).astype(np.float32), "G": (rng.standard_normal((GRAMS + 1, CHAR_DIM)) * 0.02).astype(np.float32),
             "b": np.zeros(6 * STATE, np.float32), "W": small(WORD_DIM + CHAR_DIM, 6 * STATE) * 3, "Uf": small(STATE, 3 * STATE) * 2, "Ub": small(STATE, 3 * STATE) * 2,
             "a": small(2 * STATE, 1), "o": small(2 * STATE, 1), "c": np.zeros(1, np.float32),
         }
+        self.p["E"][0] = self.p["G"][GRAMS] = 0
         self.scale, self.shift = 1.0, 0.0
 
-    def word_ids(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == h, at + 1, 0)
-
-    def inputs(self, raw: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Gate inputs of each word, and a last row of zeros for places behind a text's end."""
-        p = self.p
-        out = np.zeros((len(h) + 1, 6 * STATE), np.float32)
-        if len(h):
-            by_char = p["C"][CLASS[raw]] + CAPITAL[raw][:, None] * p["C"][CLASSES - 1]
-            edges = np.empty(2 * len(h), np.int64)
-            edges[::2], edges[1::2] = starts, ends
-            by_char = np.concatenate([by_char, np.zeros((1, CHAR_DIM), np.float32)])
-            mean = np.add.reduceat(by_char, edges, axis=0)[::2] / (ends - starts)[:, None]
-            out[:-1] = (p["E"] @ p["W"][:WORD_DIM])[self.word_ids(h)] + mean.astype(np.float32) @ p["W"][WORD_DIM:] + p["b"]
-        return out
+    def gates(self, rows: np.ndarray, spelling: Spelling) -> tuple[np.ndarray, np.ndarray]:
+        """(inputs, gate inputs) of words by their table rows."""
+        x = np.concatenate([self.p["E"][rows], spelling.vectors(self.p["G"])], axis=1)
+        return x, x @ self.p["W"] + self.p["b"]
 
     def _direction(self, g: np.ndarray, mask: np.ndarray, u: np.ndarray, back: bool, keep: list | None) -> np.ndarray:
         """States (window, place, STATE); g: (window, place, gates)."""
@@ -128,13 +165,13 @@ class Network:
             grad[name] = d_u
         return grad, d_g
 
-    def logits(self, g: np.ndarray, first_word: np.ndarray, end: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
-        """Logits of windows; ``kinds`` has the row of ``g`` of each word, if that isn't its place. The last row is zeros."""
+    def logits(self, g: np.ndarray, first_word: np.ndarray, end: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Logits of windows; ``kinds`` has the row of ``g`` of each word. The last row is zeros, for places behind the end."""
         out = np.empty(len(first_word), np.float32)
         for k in range(0, len(out), TOGETHER):
             at = first_word[k : k + TOGETHER, None] + np.arange(WINDOW)
             inside = at < end[k : k + TOGETHER, None]
-            at = np.where(inside, at if kinds is None else kinds[np.minimum(at, len(kinds) - 1)], len(g) - 1)
+            at = np.where(inside, kinds[np.minimum(at, len(kinds) - 1)] if len(kinds) else 0, len(g) - 1)
             out[k : k + TOGETHER] = self.forward(g[at], inside.astype(np.float32))
         return out
 
@@ -143,6 +180,8 @@ class Network:
         for _, raw, offsets in text_chunks(column, BYTES):
             h, starts, ends, first = words(raw, offsets, PARTS)
             row, at, end = windows_of(first)
-            logits = self.logits(self.inputs(raw, h, starts, ends), at, end)
-            best = np.maximum.reduceat(logits, np.searchsorted(row, np.arange(len(offsets) - 1)))
+            found, place, kinds = np.unique(h, return_index=True, return_inverse=True)
+            g = np.zeros((len(found) + 1, 6 * STATE), np.float32)
+            g[:-1] = self.gates(word_rows(found), Spelling(raw, starts[place], ends[place]))[1]
+            best = np.maximum.reduceat(self.logits(g, at, end, kinds), np.searchsorted(row, np.arange(len(offsets) - 1)))
             yield sigmoid(self.scale * best.astype(np.float64) + self.shift)

@@ -80,6 +80,17 @@ def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> t
     return mix(h + (ends - starts).astype(np.uint64)), starts, ends, np.searchsorted(starts, offsets)
 
 
+def gram_hashes(raw: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n bytes from each place on (0 where fewer are left)."""
+    power, inverse = _tables(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * power[: len(raw)], out=total[1:])
+    out = np.zeros(len(raw), np.uint64)
+    k = max(0, len(raw) - n + 1)
+    out[:k] = mix((total[n : n + k] - total[:k]) * inverse[:k] + np.uint64(n))
+    return out
+
+
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     """For each row the sorted distinct shingle hashes of its text."""
     for _, raw, offsets in text_chunks(column):

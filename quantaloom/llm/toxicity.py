@@ -1,15 +1,18 @@
 """Toxicity scores of whole texts by a recurrent network over all overlapping windows.
 
 The network (see gru.py) is trained on the driver, in numpy, from a bounded sample of labelled texts: the SAMPLE rows
-with the smallest seeded hashes of their ids. Labels are of whole texts, so training goes by turns: the present network
-picks the strongest windows of each toxic text, and learns from those and from windows of the other texts. A part of
-the sample is held back to choose the best turn; a last fit maps the strongest logit of a text to a probability.
+with the smallest seeded hashes of their ids, or as many first ones of these as have SAMPLE_BYTES of text in all.
+Labels are of whole texts, so training goes by turns: the present network picks the strongest windows of each toxic
+text, and learns from those and from windows of the other texts. The first choice goes by the words and beginnings of
+words that toxic texts hold more often. A part of the sample is held back to choose the turn that finds most toxic texts
+where 0.9 and 0.99 of the others are left alone; a last fit maps the strongest logit of a text to a probability.
 
-Scoring covers every window of every text, in tasks; the network (about a megabyte) is broadcast.
+Scoring covers every window of every text, in tasks; the network (a few megabytes, whatever the input) is broadcast.
 
 Defined results
   null or empty text, or no words: one empty window is scored. Several labels for an id: the largest counts. No labels
-  at all: score 0. Only one class: its smoothed share. Repeated and null ids: a row each. Empty table: no rows.
+  at all: score 0. Only one class: its smoothed share. Repeated and null ids: a row each; an id that is repeated in
+  the sample with several texts is learned from by the least of them. Empty table: no rows.
   Extra columns: ignored.
 """
 
@@ -19,15 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .gru import CAPITAL, CHAR_DIM, CLASS, CLASSES, PARTS, STATE, WINDOW, WORD_DIM, Network, sigmoid, windows_of
+from .gru import GRAMS, PARTS, STATE, WINDOW, WORD_DIM, WORDS, Network, Spelling, sigmoid, windows_of, word_rows
 from .shingles import text_chunks, words
 
-#: Labelled texts that training uses at most, words of the vocabulary at most, turns.
-SAMPLE, VOCABULARY, TURNS = 3000, 20_000, 9
+#: Labelled texts, and bytes of them, that training uses at most; turns.
+SAMPLE, SAMPLE_BYTES, TURNS = 3000, 64 << 20, 9
 #: Share of words hidden in training; pull of parameters towards zero.
 HIDDEN, PULL = 0.2, 1e-3
 #: Windows that a turn learns from, at least.
@@ -39,31 +42,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, most: i
     """(texts, labels) of at most ``most`` labelled rows for whose id ``allowed`` holds."""
     known = labels.select(F.col(id).alias("id"), F.col(label).alias("y")).where("id is not null and y is not null").where(allowed).groupBy("id").agg(F.max("y").alias("y"))
     picked = known.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(most)  # bounded, so it may be broadcast
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id").dropDuplicates(["id"]).toPandas().sort_values("id")
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    so_far = F.sum(F.coalesce(F.octet_length("text").cast("long"), F.lit(0))).over(Window.orderBy(F.xxhash64(F.lit(seed), "id"), "id"))  # of SAMPLE rows at most
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).select("id", "text", "y").toPandas().sort_values("id")
     return pa.array(rows["text"].tolist(), pa.string()), rows["y"].to_numpy().astype(np.float32)
 
 
 class _Sample:
-    """Words and windows of the training texts. Words of one spelling are one kind, with one row of character shares."""
+    """Words and windows of the training texts. Words of one spelling are one kind."""
 
     def __init__(self, texts: pa.Array):
         h_all, first_all, n_words = [], [np.zeros(1, np.int64)], 0
-        kinds, shares = np.zeros(0, np.uint64), np.zeros((0, CLASSES), np.float32)
+        kinds, spelt = np.zeros(0, np.uint64), []
         for _, raw, offsets in text_chunks(texts):
             h, starts, ends, first = words(raw, offsets, PARTS)
             new, place = np.unique(h, return_index=True)
             fresh = ~np.isin(new, kinds)
-            starts, size = starts[place[fresh]], (ends - starts)[place[fresh]]
-            word = np.repeat(np.arange(len(size)), size)
-            at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts, size)
-            freq = np.bincount(word * CLASSES + CLASS[raw[at]], minlength=len(size) * CLASSES) + np.bincount(word * CLASSES + CLASSES - 1, CAPITAL[raw[at]], len(size) * CLASSES)
             kinds = np.concatenate([kinds, new[fresh]])
-            shares = np.concatenate([shares, (freq.reshape(len(size), CLASSES) / size[:, None]).astype(np.float32)])
+            spelt += [raw[a:b] for a, b in zip(starts[place[fresh]].tolist(), ends[place[fresh]].tolist(), strict=True)]
             h_all.append(h)
             first_all.append(first[1:] + n_words)
             n_words += len(h)
         order = np.argsort(kinds)
-        self.kinds, self.shares = kinds[order], shares[order]
+        self.kinds = kinds[order]
+        edges = np.concatenate([[0], np.cumsum([len(spelt[k]) for k in order.tolist()])]).astype(np.int64)
+        self.spelling = Spelling(np.concatenate([np.zeros(0, np.uint8), *(spelt[k] for k in order.tolist())]), edges[:-1], edges[1:])
+        self.rows = word_rows(self.kinds)
         self.kind, self.first = np.searchsorted(self.kinds, np.concatenate(h_all)).astype(np.int32), np.concatenate(first_all)
         self.row, self.at, self.end = windows_of(self.first)
         self.begin = np.searchsorted(self.row, np.arange(len(self.first)))  # windows of each text
@@ -75,58 +79,63 @@ class _Sample:
         both = np.unique(self.kind.astype(np.int64) * n + text)
         return both // n, both % n
 
-    def vocabulary(self, most: int) -> np.ndarray:
-        """Words of at least three texts and one text in 200, the most frequent first: rarer ones would only be learned by
-        heart, and go by their characters."""
-        count = np.bincount(self.spread()[0], minlength=len(self.kinds))
-        best = np.argsort(-count, kind="stable")[:most]
-        return self.kinds[best[count[best] >= max(3, (len(self.first) - 1) // 200)]]
-
-    def evidence(self, y: np.ndarray) -> np.ndarray:
-        """Signed root of the likelihood ratio of each kind's texts being toxic as often as all; 0 where as much would come up
-        by chance among so many kinds."""
-        kind, text = self.spread()
-        with_, toxic = np.bincount(kind, minlength=len(self.kinds)), np.bincount(kind, y[text], len(self.kinds))
-        share = y.mean()
-        part = lambda k, e: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0)
-        ratio = np.sqrt(np.maximum(0, 2 * (part(toxic, with_ * share) + part(with_ - toxic, with_ * (1 - share)))))
-        return np.where(ratio >= np.sqrt(2 * np.log(max(2, (with_ >= 3).sum()))), np.sign(toxic - with_ * share) * ratio, 0.0)
-
-
-def _gates(net: Network, ids: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = np.concatenate([net.p["E"][ids], shares @ net.p["C"]], axis=-1)
-    return x, x @ net.p["W"] + net.p["b"]
-
-
-def _best(net: Network, sample: _Sample, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The strongest logit of each text and all windows' logits; ids: the network's word for each kind."""
-    g = np.zeros((len(ids) + 1, 6 * STATE), np.float32)
-    for k in range(0, len(ids), 20_000):
-        g[k : min(k + 20_000, len(ids))] = _gates(net, ids[k : k + 20_000], sample.shares[k : k + 20_000])[1]
+
+def _evidence(rows: np.ndarray, text: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Signed root of the likelihood ratio of each table row's texts being toxic as often as all; 0 where as much would
+    come up by chance among so many rows. (rows, text): what each text holds."""
+    both = np.unique(rows.astype(np.int64) * len(y) + text)
+    rows, text = both // len(y), both % len(y)
+    with_, toxic, share = np.bincount(rows, minlength=n), np.bincount(rows, y[text], n), y.mean()
+    part = lambda k, e: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0)
+    ratio = np.sqrt(np.maximum(0, 2 * (part(toxic, with_ * share) + part(with_ - toxic, with_ * (1 - share)))))
+    return np.where(ratio >= np.sqrt(2 * np.log(max(2, (with_ >= 3).sum()))), np.sign(toxic - with_ * share) * ratio, 0.0)
+
+
+def word_evidence(sample: _Sample, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(of each row of the word table, of the n-gram table as beginnings of words, of each kind)."""
+    kind, text = sample.spread()
+    start = sample.spelling.start
+    by_word, by_gram = _evidence(sample.rows[kind], text, y, WORDS + 1), np.zeros(GRAMS + 1)
+    found = [_evidence(start[kind, k], text, y, GRAMS + 1) for k in range(start.shape[1])]
+    for one in found:
+        one[GRAMS] = 0
+        by_gram = np.where(np.abs(one) > np.abs(by_gram), one, by_gram)
+    return by_word, by_gram, np.maximum(by_word[sample.rows], by_gram[start].max(1))
+
+
+def _best(net: Network, sample: _Sample) -> tuple[np.ndarray, np.ndarray]:
+    """The strongest logit of each text and all windows' logits."""
+    n = len(sample.kinds)
+    g = np.zeros((n + 1, 6 * STATE), np.float32)
+    for k in range(0, n, 20_000):
+        some = np.arange(k, min(k + 20_000, n))
+        g[some] = net.gates(sample.rows[some], sample.spelling[some])[1]
     logits = net.logits(g, sample.at, sample.end, sample.kind)
     return np.maximum.reduceat(logits, sample.begin[:-1]), logits
 
 
-def _learn(net: Network, sample: _Sample, ids: np.ndarray, windows: np.ndarray, y: np.ndarray, rng, moments: dict, rate: float, batch: int = 256) -> None:
+def _learn(net: Network, sample: _Sample, windows: np.ndarray, y: np.ndarray, rng, moments: dict, rate: float, batch: int = 256) -> None:
     order = rng.permutation(len(windows))
     for k in range(0, len(order), batch):
         w, target = windows[order[k : k + batch]], y[order[k : k + batch]]
         at = sample.at[w, None] + np.arange(WINDOW)
         mask = (at < sample.end[w, None]).astype(np.float32)
-        kind = sample.kind[np.minimum(at, len(sample.kind) - 1)]
-        word = np.where(rng.random(at.shape) < HIDDEN, 0, ids[kind])  # some words are hidden, so characters count too
-        shares = sample.shares[kind]
-        x, g = _gates(net, word, shares)
+        kinds, kind = np.unique(sample.kind[np.minimum(at, len(sample.kind) - 1)], return_inverse=True)
+        kind = kind.reshape(at.shape)
+        spelling = sample.spelling[kinds]
+        word = np.where(rng.random(at.shape) < HIDDEN, 0, sample.rows[kinds][kind])  # some words are hidden, so spelling counts too
+        x = np.concatenate([net.p["E"][word], spelling.vectors(net.p["G"])[kind]], axis=2)
+        g = x @ net.p["W"] + net.p["b"]
         keep: dict = {}
         d = (sigmoid(net.forward(g * mask[:, :, None], mask, keep)) - target).astype(np.float32) / len(w)
         grad, d_g = net.backward(d, mask, keep)
         d_g *= mask[:, :, None]
-        flat, d_flat = x.reshape(-1, WORD_DIM + CHAR_DIM), d_g.reshape(-1, 6 * STATE)
+        flat, d_flat = x.reshape(-1, x.shape[2]), d_g.reshape(-1, 6 * STATE)
         grad["W"], grad["b"] = flat.T @ d_flat, d_flat.sum(0)
         d_x = d_flat @ net.p["W"].T
-        grad["C"] = shares.reshape(-1, CLASSES).T @ d_x[:, WORD_DIM:]
-        flat_word = word.ravel()
-        grad["E"] = np.stack([np.bincount(flat_word, d_x[:, j], len(net.p["E"])) for j in range(WORD_DIM)], axis=1).astype(np.float32)
+        by = lambda rows, v, n: np.stack([np.bincount(rows, v[:, j], n) for j in range(v.shape[1])], axis=1).astype(np.float32)
+        grad["G"] = spelling.gradient(by(kind.ravel(), d_x[:, WORD_DIM:], len(kinds)))
+        grad["E"] = by(word.ravel(), d_x[:, :WORD_DIM], len(net.p["E"]))
         grad["E"][0] = 0
         moments["t"] += 1
         for name, v in grad.items():
@@ -137,6 +146,11 @@ def _learn(net: Network, sample: _Sample, ids: np.ndarray, windows: np.ndarray,
             net.p[name] -= (rate * m / (1 - 0.9 ** moments["t"]) / (np.sqrt(s / (1 - 0.99 ** moments["t"])) + 1e-7)).astype(np.float32)
 
 
+def caught(strength: np.ndarray, y: np.ndarray, alone: float) -> float:
+    """Share of the toxic texts that are stronger than this share of the others."""
+    return float((strength[y == 1] > np.quantile(strength[y == 0], alone)).mean())
+
+
 def _calibrate(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """(scale, shift) of a logistic fit with a light pull towards (1, 0)."""
     s, b = 1.0, 0.0
@@ -150,54 +164,48 @@ def _calibrate(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(s, 0.05), b
 
 
-def train(texts: pa.Array, y: np.ndarray, turns: int = TURNS, vocabulary: int = VOCABULARY, seed: int = 3) -> Network:
+def train(texts: pa.Array, y: np.ndarray, turns: int = TURNS, seed: int = 3) -> Network:
     """A network for these texts and their labels (0 or 1)."""
     rng = np.random.default_rng(seed)
+    net = Network(seed)
     if len(y) == 0 or y.min() == y.max():
-        net = Network(np.zeros(0, np.uint64), seed)
         share = (y.sum() + 0.5) / (len(y) + 1.0) if len(y) else 0.0
         net.scale, net.shift = 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
         return net
     sample = _Sample(texts)
-    net = Network(sample.vocabulary(vocabulary), seed)
     if not len(sample.kind):  # no words at all
         return train(texts, np.full(1, y.mean()), turns)
-    ids = net.word_ids(sample.kinds)
     tested = rng.random(len(y)) < 0.2 if len(y) >= 200 else np.zeros(len(y), bool)
-    learned = np.flatnonzero(~tested)
-    positive, negative = learned[y[learned] == 1], learned[y[learned] == 0]
-    if not len(positive) or not len(negative):
-        learned = np.arange(len(y))
-        positive, negative = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    if not (tested & (y == 1)).any() or not (tested & (y == 0)).any() or not (~tested & (y == 1)).any() or not (~tested & (y == 0)).any():
+        tested[:] = False
+    seen = tested if tested.any() else ~tested
+    positive, negative = np.flatnonzero(~tested & (y == 1)), np.flatnonzero(~tested & (y == 0))
     net.p["c"][0] = -1.0
     moments: dict = {"t": 0}
     repeat = max(1, LEAST_WINDOWS // (3 * len(positive) + 2 * len(negative)))  # few texts are gone over more often
-    best, saved = np.inf, None
+    best, saved = (-1.0, -np.inf), None
     # The first embeddings carry the evidence of counts, and the first choice of windows goes by it.
-    known = np.isin(sample.kinds, net.vocabulary)
-    evidence = np.where(known, sample.evidence(np.where(tested, y.mean(), y)), 0.0)
-    net.p["E"][ids[known], 0] += np.clip(evidence[known] / 3, -2, 2).astype(np.float32)
+    by_word, by_gram, evidence = word_evidence(sample, np.where(tested, y.mean(), y))
+    net.p["E"][:, 0] += np.clip(by_word / 3, -2, 2).astype(np.float32)
+    net.p["G"][:, 0] += np.clip(by_gram / 3, -2, 2).astype(np.float32)
     summed = np.concatenate([[0.0], np.cumsum(np.maximum(0, evidence)[sample.kind])])
     logits = (summed[np.minimum(sample.at + WINDOW, sample.end)] - summed[sample.at]).astype(np.float32)
-    strongest = np.maximum.reduceat(logits, sample.begin[:-1])
     for turn in range(turns):
         some = lambda texts, k: np.concatenate([rng.integers(sample.begin[i], sample.begin[i + 1], k) for i in texts])
         top = lambda texts: np.array([sample.begin[i] + np.argmax(logits[sample.begin[i] : sample.begin[i + 1]]) for i in texts])
-        # Toxic texts of which no window stands out from the other texts' windows are likely mislabelled: left out.
-        stands = strongest[positive] > np.quantile(strongest[negative], 0.99)
-        good = np.repeat(top(positive[stands] if stands.mean() >= 0.2 else positive), 3 * repeat)
+        good = np.repeat(top(positive), 3 * repeat)
         bad = np.concatenate([some(negative, repeat), np.repeat(top(negative), repeat)])
         windows, target = np.concatenate([good, bad]), np.concatenate([np.ones(len(good)), np.zeros(len(bad))]).astype(np.float32)
-        _learn(net, sample, ids, windows, target, rng, moments, 0.02 if turn < turns // 2 else 0.007)
-        strongest, logits = _best(net, sample, ids)
-        seen = tested if tested.any() else ~tested
-        scale, shift = _calibrate(strongest[seen].astype(np.float64), y[seen])
-        p = np.clip(sigmoid(scale * strongest[seen] + shift), 1e-6, 1 - 1e-6)
-        loss = -float(np.mean(y[seen] * np.log(p) + (1 - y[seen]) * np.log(1 - p)))
-        if turn >= 3 and loss < best - 1e-4:
-            best, saved = loss, ({k: v.copy() for k, v in net.p.items()}, scale, shift)
-    if saved:
-        net.p, net.scale, net.shift = saved
+        _learn(net, sample, windows, target, rng, moments, 0.02 if turn < turns // 2 else 0.007)
+        strongest, logits = _best(net, sample)
+        strength, truth = strongest[seen].astype(np.float64), y[seen]
+        scale, shift = _calibrate(strength, truth)
+        p = np.clip(sigmoid(scale * strength + shift), 1e-6, 1 - 1e-6)
+        loss = -float(np.mean(truth * np.log(p) + (1 - truth) * np.log(1 - p)))
+        mark = caught(strength, truth, 0.9) + caught(strength, truth, 0.99), -loss
+        if turn >= min(3, turns - 1) and mark > best:
+            best, saved = mark, ({k: v.copy() for k, v in net.p.items()}, scale, shift)
+    net.p, net.scale, net.shift = saved
     return net
 
 

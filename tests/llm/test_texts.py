@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,8 @@ from brute_force import jaccard_truth
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quantaloom.llm import bpe, mixing, ngram_jaccard, pii, queries, secret_scan, toxicity
+from quantaloom.llm import bpe, gru, mixing, ngram_jaccard, pii, queries, secret_scan, toxicity
+from quantaloom.llm.shingles import words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -305,6 +307,80 @@ def test_long_texts_count_to_the_end(spark):
     assert got[0] < 0.3 <= got[1] and got[2] == got[3]
 
 
+def plain_score(net, text):
+    """One word, one window, one step at a time."""
+    p, n = net.p, gru.STATE
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    found = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())
+    best = -np.inf
+    for a in range(0, max(1, len(found) - gru.WINDOW + gru.STRIDE), gru.STRIDE):
+        inputs = []
+        for w in found[a : a + gru.WINDOW]:
+            raw = np.frombuffer(w, np.uint8)
+            h = int(words(raw, np.array([0, len(raw)]))[0][0])
+            grams = {k: gru.gram_hashes(raw, k).tolist() for k in range(2, 8)}
+            inner = [p["G"][grams[k][i] % gru.GRAMS] for k in gru.INNER for i in range(len(w) - k + 1)]
+            start = [p["G"][(grams[k][0] >> 32) % gru.GRAMS] for k in gru.START if len(w) >= k]
+            spelt = (np.mean(inner, axis=0) if inner else 0) + (np.mean(start, axis=0) if start else np.zeros(gru.CHAR_DIM))
+            inputs.append(np.concatenate([p["E"][1 + h % gru.WORDS], spelt]) @ p["W"] + p["b"])
+        states = np.zeros((len(inputs), 2 * n))
+        for side, u in enumerate((p["Uf"], p["Ub"])):
+            h = np.zeros(n)
+            for t in range(len(inputs)) if side == 0 else reversed(range(len(inputs))):
+                g, hu = inputs[t][side * 3 * n : (side + 1) * 3 * n], h @ u
+                z, r = sig(g[:n] + hu[:n]), sig(g[n : 2 * n] + hu[n : 2 * n])
+                h = (1 - z) * np.tanh(g[2 * n :] + r * hu[2 * n :]) + z * h
+                states[t, side * n : (side + 1) * n] = h
+        if inputs:
+            weight = np.exp(states @ p["a"][:, 0])
+            logit = float((weight / weight.sum()) @ states @ p["o"][:, 0] + p["c"][0])
+        else:
+            logit = float(p["c"][0])
+        best = max(best, logit)
+    return float(sig(net.scale * best + net.shift))
+
+
+def test_scores_equal_a_plain_loop(spark, docs):
+    rows, labels = toxic_rows()
+    net = toxicity.train(pa.array([t for _, t in rows]), np.array([y for _, y in labels], np.float32), turns=2)
+    texts = [(r.doc_id, r.text) for r in docs.collect() if len(r.text or "") < 3000] + rows[:8]
+    got = list(np.concatenate(list(net.scores(pa.array([t for _, t in texts], pa.string())))))
+    assert got == pytest.approx([plain_score(net, t) for _, t in texts], abs=1e-4)
+
+
+def test_toxicity_query_by_language(spark):
+    """Held-out recall of the registered query by language, beside that of the counts the network starts from."""
+    d = "/root/testdata/sf0.1"
+    out = queries.QUERIES["op5_toxicity"](spark, d)
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"]
+    docs, known = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = out.join(docs.select("doc_id", "lang"), "doc_id").join(known.select("doc_id", "toxic"), "doc_id", "left").toPandas()
+    assert len(rows) == docs.count() and ((rows.held_out) == [zlib.crc32(str(i).encode()) % 4 == 2 for i in rows.doc_id]).all()
+    assert rows.score.between(0, 1).all() and ((rows.score >= 0.3) == (rows.predicted == 1)).all()
+    held = rows[rows.held_out & rows.toxic.notna()]
+    y, s = held.toxic.to_numpy(), held.score.to_numpy()
+    assert toxicity.caught(s, y, 0.9) >= 0.93 and toxicity.caught(s, y, 0.99) >= 0.88
+    assert (held[held.toxic == 0].predicted == 0).mean() >= 0.98
+    recall = held[held.toxic == 1].groupby("lang").predicted.mean()
+    assert (recall >= 0.7).all(), recall
+
+    texts, labels = toxicity.labelled_sample(docs, known, ~queries.held_out(F.col("id")))
+    sample = toxicity._Sample(texts)
+    by_word = toxicity.word_evidence(sample, labels)[0]
+    whole = docs.select("doc_id", "text").toPandas().set_index("doc_id").text[held.doc_id]
+    other = toxicity._Sample(pa.array(whole.tolist(), pa.string()))
+    counts = np.maximum.reduceat(np.maximum(0, by_word[other.rows])[other.kind], other.first[:-1])  # the strongest word of each text
+    assert toxicity.caught(s, y, 0.99) > toxicity.caught(counts, y, 0.99)
+
+
+def test_labelled_sample_awkward(spark):
+    rows = [(1, None), (2, ""), (3, "a b"), (3, "a a"), (4, "x " * 3000), (None, "n"), (5, "left out by the other side")]
+    df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4)] + [(3, 0), (9, 1), (None, 1)], "doc_id long, toxic int")
+    texts, y = toxicity.labelled_sample(df, known, F.lit(True))
+    assert texts.to_pylist() == [None, "", "a a", "x " * 3000] and y.tolist() == [1, 0, 1, 0]
+    assert 0 < len(toxicity.labelled_sample(df, known, F.lit(True), most=2)[1]) <= 2
+
+
 # ---------------------------------------------------------------- 6
 
 def test_mix(spark, docs, empty):
