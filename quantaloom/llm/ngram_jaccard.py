@@ -7,8 +7,8 @@ at least the threshold. The steps:
    stands for; classes carry their size, a bitmap with one bit for each token's hash, and their SKETCH lowest hashes.
 2. Routes. A class goes to one route for each sketch token; tokens of one class only are dropped. Two sets of similarity
    s share none of their 16 lowest hashes with a chance below (1 - s) ** 16 (2e-10 at 0.75); like a collision of the
-   hashes, that is the only thing here that is left to chance. Routes of many classes are split into
-   blocks, and each pair of blocks is a route of its own: no task gets a group of unbounded size.
+   hashes, that and the like in step 5 is all here that is left to chance. Each row carries its class's smaller tokens,
+   and two classes are compared in the route of the smallest token they share, and in no other one.
 3. Signature trees. In a route, classes are sorted by size and put under nodes that hold OR-combined bitmaps, size
    ranges and the least number of bits that a member needs. Two trees (or one with itself) are traversed together; a
    pair of nodes is pruned if their sizes can't fit or their common bits are fewer than any linked pair must have.
@@ -16,11 +16,19 @@ at least the threshold. The steps:
    linked pair is pruned. Lest bitmaps of large sets be full, those take the tokens whose hashes end in r zero bits,
    where r grows with the logarithm of the size; the bound is then widened by 7 standard deviations (5 for each of the two). A class has bitmaps
    for its own r and the next one, so that sets on both sides of a step can be compared.
-4. Verification. Surviving pairs meet both whole sets in joins, and are counted exactly.
-5. Components. Verified links are united. A first pass takes a few leaders of each route, so dense groups of near
-   copies join up by a number of pairs in proportion to their size. Later passes run the full traversal, prune nodes
-   whose members are in one component already, and test what is left, with a growing number of pairs for each pair of
-   components, until no untested pair is left between components.
+4. Verification. What leaves the traversal is not pairs but the classes that have any pair left, so no more rows than
+   came in. Their whole sets meet in the route once more; the same traversal gives the pairs, each is counted exactly
+   unless its ends are in one component of the route already, and only edges that join two components go on: fewer than
+   the route has classes.
+5. Hot tokens, those of more than BLOCK classes. Classes with such a token among their 16 go by their 48 lowest hashes as
+   well, since a pair that shares a rarer token is compared there. Whoever has at most a third hot tokens among the 48
+   needs no more: a linked pair shares 17 or more of the 48 lowest of its union but with a chance below 1e-9. The rest,
+   mostly copies of one passage or one large group of near copies, meets in hot routes: by bands of size (linked sets
+   are of one band or of neighbours), and in blocks of BLOCK classes. First each block is compared with itself; blocks
+   are drawn anew for each of two tokens, so a dense group of any size becomes one component by work in proportion to
+   it. Only then blocks meet blocks, where a route still has several components; its largest one is not compared with
+   itself.
+6. Components. Edges are united in Spark.
 
 Defined results
   null or empty text, or no words: n_shingles 0, linked with nothing, component its own id.
@@ -44,17 +52,16 @@ from .common import cut, small_batches
 from .components import components
 from .shingles import shingle_sets
 
-SKETCH = 16
+#: Lowest hashes of a set that make its routes; and those of a class with hot tokens.
+SKETCH, DEEP = 16, 48
 #: Bits of each of a class's two bitmaps; children of a node.
 BITS, FAN = 1024, 8
 #: Sets of up to twice this size are taken whole by the first bitmap.
 FULL = 350
-#: Classes in a block of a large route; leaders that the first pass takes in each route.
-BLOCK, LEADERS = 4000, 8
-#: Node pairs that are compared at a time.
-FRONTIER = 4096
-#: Pairs that the first full pass tests for two components in a route; 16 times more in each pass after it.
-FIRST_CAP = 1024
+#: Classes of a route, or of a block of a hot one; hot routes of a class before blocks meet blocks.
+BLOCK, FIRST_ROUTES = 512, 2
+#: Node pairs that are compared at a time; rows, and bytes of sets, of whole routes that are held at a time.
+FRONTIER, ROWS, SET_BYTES = 4096, 8192, 32 << 20
 #: Ids that are broadcast, at most (8 bytes each), to pick texts; more are met in a shuffled join.
 BROADCAST_IDS = 1_000_000
 
@@ -85,7 +92,7 @@ def _class_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
         for s in shingle_sets(batch.column(1), width):
             n.append(len(s))
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            sketch.append(s[:SKETCH].view(np.int64))
+            sketch.append(s[:DEEP].view(np.int64))
             bitmap.append(bitmaps(s) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int64())), pa.array(bitmap, pa.binary())],
@@ -168,103 +175,153 @@ def _searched(route: dict, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield i[mine], j[mine]
 
 
-def _leaders(route: dict, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges from the first few leaders to all that may link with them."""
-    n, bits = route["n"], route["bits"]
-    own = rate_of(n)
-    left, out = np.argsort(route["id"], kind="stable"), []
-    for _ in range(LEADERS):
-        if len(left) < 2:
-            break
-        a, rest = left[0], left[1:]
-        r = np.maximum(own[a], own[rest])
-        differ = np.bitwise_count(bits[rest, r & 1] ^ bits[a, r & 1]).sum(1)
-        fit = (np.abs(own[rest] - own[a]) < 2) & (n[rest] * t <= n[a] + 1e-9) & (n[a] * t <= n[rest] + 1e-9) & (differ <= slack_of(n[rest], r, t) + slack_of(n[a], r, t) + 1e-6)
-        out.append((np.full(fit.sum(), a), rest[fit]))
-        left = rest[~fit]
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
-
-
-def _capped(route: dict, pairs: Iterator[tuple[np.ndarray, np.ndarray]], cap: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """At most ``cap`` pairs for each pair of components, and whether some were left for a later pass."""
-    seen: dict[tuple[int, int], int] = {}
-    more, out_a, out_b = False, [], []
-    for i, j in pairs:
-        keep = np.zeros(len(i), bool)
-        ca, cb = route["comp"][i], route["comp"][j]
-        for k, key in enumerate(zip(np.minimum(ca, cb).tolist(), np.maximum(ca, cb).tolist(), strict=True)):
-            had = seen.get(key, 0)
-            keep[k] = had < cap
-            more |= had >= cap
-            seen[key] = had + 1
-        out_a.append(i[keep])
-        out_b.append(j[keep])
-    if not out_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), more
-    return np.concatenate(out_a), np.concatenate(out_b), more
-
-
-def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Groups of rows with equal (token, block pair); a partition is sorted by them, and a route is bounded by two blocks."""
-    held: dict | None = None
+def _columns(table: pa.Table) -> dict:
+    """Rows of whole routes as arrays; ``below`` is padded with zeros."""
+    table = table.combine_chunks()
+    one = lambda name: table.column(name).chunk(0) if table.column(name).num_chunks else pa.array([], table.column(name).type)
+    col = {k: one(k).to_numpy(zero_copy_only=False) for k in table.column_names if k not in ("bitmap", "below", "tokens")}
+    if "bitmap" in table.column_names:
+        col["bits"] = np.frombuffer(b"".join(one("bitmap").to_pylist()), np.uint64).reshape(table.num_rows, 2, BITS // 64)
+    if "tokens" in table.column_names:
+        col["sets"] = [np.frombuffer(v.as_buffer(), np.uint64) for v in one("tokens")]
+    size = one("below").value_lengths().to_numpy(zero_copy_only=False)
+    col["below"] = np.zeros((table.num_rows, int(size.max(initial=0))), np.int64)
+    col["below"][np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = one("below").flatten().to_numpy(zero_copy_only=False)
+    return col
+
+
+def _edges_of(table: pa.Table) -> np.ndarray:
+    """Rows at which a new route begins, and the number of rows."""
+    token, part = table.column("token").to_numpy(), table.column("part").to_numpy()
+    return np.concatenate([[0], np.flatnonzero((token[1:] != token[:-1]) | (part[1:] != part[:-1])) + 1, [len(token)]])
+
+
+def _whole_routes(batches: Iterator[pa.RecordBatch], most: int, weigh) -> Iterator[pa.Table]:
+    """Tables of whole routes of about this weight; a partition is sorted by (token, part), and a route has two blocks at most."""
+    held, weight = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        col = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "pair", "side", "id", "n", "comp")}
-        col["bits"] = np.frombuffer(b"".join(batch.column("bitmap").to_pylist()), np.uint64).reshape(batch.num_rows, 2, BITS // 64)
-        edge = np.flatnonzero((col["token"][1:] != col["token"][:-1]) | (col["pair"][1:] != col["pair"][:-1])) + 1
-        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows], strict=True):
-            part = {k: v[a:b] for k, v in col.items()}
-            if held is not None and (held["token"][0], held["pair"][0]) == (part["token"][0], part["pair"][0]):
-                held = {k: np.concatenate([held[k], part[k]]) for k in part}
-            else:
-                if held is not None:
-                    yield held
-                held = part
-        held = {k: v.copy() for k, v in held.items()} if held is not None else None
-    if held is not None:
-        yield held
-
-
-def _candidates(batches: Iterator[pa.RecordBatch], t: float, cap: int) -> Iterator[pa.RecordBatch]:
-    out_a, out_b, out_more, held = [], [], [], 0
-
-    def flush():
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b)), pa.array(np.concatenate(out_more))], ["a", "b", "more"])
-
-    for route in _routes(batches):
-        if len(route["id"]) < 2 or (cap and route["comp"].min() == route["comp"].max()):
-            continue
-        if not cap:
-            i, j, more = *_leaders(route, t), False
-        else:
-            i, j, more = _capped(route, _searched(route, t), cap)
-        if len(i):
-            a, b = route["id"][i], route["id"][j]
-            out_a.append(np.minimum(a, b))
-            out_b.append(np.maximum(a, b))
-            out_more.append(np.full(len(a), more))
-            held += len(a)
-        if held > 50_000:
-            yield flush()
-            out_a, out_b, out_more, held = [], [], [], 0
+        held.append(batch)
+        weight += weigh(batch)
+        if weight >= most:
+            table = pa.Table.from_batches(held)
+            last = int(_edges_of(table)[-2])
+            if last:
+                yield table.slice(0, last)
+            held = table.slice(last).combine_chunks().to_batches()
+            weight = sum(map(weigh, held))
     if held:
-        yield flush()
+        yield pa.Table.from_batches(held)
+
+
+def _apart(below: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows have none of the tokens in common that other routes answer for."""
+    hit = np.zeros(len(i), bool)
+    for a in range(0, len(i), FRONTIER):
+        x, y = below[i[a : a + FRONTIER]], below[j[a : a + FRONTIER]]
+        for k in range(x.shape[1]):
+            hit[a : a + FRONTIER] |= ((y == x[:, k, None]) & (x[:, k, None] != 0)).any(1)
+    return ~hit
+
+
+def _may_link(route: dict, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
+    """Rows' pairs that the traversal wouldn't prune either, without trees: for routes of few classes."""
+    n, own = route["n"], rate_of(route["n"])
+    fit = (n[i] * t <= n[j] + 1e-9) & (n[j] * t <= n[i] + 1e-9) & (np.abs(own[i] - own[j]) < 2) & (route["comp"][i] != route["comp"][j])
+    at = np.flatnonzero(fit)
+    x, y = i[at], j[at]
+    r = np.maximum(own[x], own[y])
+    differ = np.bitwise_count(route["bits"][x, r & 1] ^ route["bits"][y, r & 1]).sum(1)
+    fit[at] = differ <= slack_of(n[x], r, t) + slack_of(n[y], r, t) + 1e-6
+    return fit
+
+
+def _survivors(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    """Rows, less size and bitmap, of the classes that may link with another one of their route and are compared there."""
+    for table in _whole_routes(batches, ROWS, lambda b: b.num_rows):
+        col, edge = _columns(table), _edges_of(table)
+        keep, size = np.zeros(table.num_rows, bool), np.diff(edge)
+        small = (size <= FAN) & (np.add.reduceat(col["side"], edge[:-1]) == 0)
+        for m in range(2, FAN + 1):
+            first = edge[:-1][small & (size == m)]
+            x, y = np.triu_indices(m, 1)
+            i, j = (first[:, None] + x).ravel(), (first[:, None] + y).ravel()
+            fit = _may_link(col, i, j, t)
+            i, j = i[fit], j[fit]
+            fit = _apart(col["below"], i, j)
+            keep[i[fit]] = keep[j[fit]] = True
+        for k in np.flatnonzero(~small & (size > 1)).tolist():
+            rows = slice(edge[k], edge[k + 1])
+            route = {name: v[rows] for name, v in col.items()}
+            if route["comp"].min() == route["comp"].max():
+                continue
+            for i, j in _searched(route, t):
+                new = ~(keep[rows][i] & keep[rows][j])
+                i, j = i[new], j[new]
+                fit = _apart(route["below"], i, j)
+                keep[edge[k] + i[fit]] = keep[edge[k] + j[fit]] = True
+        yield from table.drop_columns(["n", "bitmap"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+
+class _Exact:
+    """Sizes of intersections of one set with some others, by places in the vocabulary of the route."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.edge = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        vocabulary, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(vocabulary), bool)
+
+    def common(self, i: int, js: np.ndarray) -> np.ndarray:
+        own = self.flat[self.edge[i] : self.edge[i + 1]]
+        self.mark[own] = True
+        parts = [self.flat[self.edge[j] : self.edge[j + 1]] for j in js.tolist()]
+        first = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
+        out = np.add.reduceat(self.mark[np.concatenate(parts)].astype(np.int64), first)
+        self.mark[own] = False
+        return out
+
+
+def _joining(route: dict, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Linked pairs (ids) that join two components of the route, which are those it came with and grow as it goes."""
+    sets, t, m = route["sets"], num / den, len(route["id"])
+    if m <= FAN and not route["side"].any():
+        i, j = np.triu_indices(m, 1)
+        fit = (route["n"][i] * t <= route["n"][j] + 1e-9) & (route["n"][j] * t <= route["n"][i] + 1e-9)
+        found = [(i[fit], j[fit])]
+    else:
+        route["bits"] = np.frombuffer(b"".join(map(bitmaps, sets)), np.uint64).reshape(m, 2, BITS // 64)
+        found = list(_searched(route, t))
+    if not found:
+        return
+    i, j = (np.concatenate(side) for side in zip(*found, strict=True))
+    fit = _apart(route["below"], i, j)
+    order = np.flatnonzero(fit)[np.lexsort((j[fit], i[fit]))]
+    i, j = i[order], j[order]
+    if not len(i):
+        return
+    root, exact = np.unique(route["comp"], return_inverse=True)[1], _Exact(sets)
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(i)) + 1, [len(i)]])
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        one, some = int(i[a]), j[a:b]
+        some = some[root[some] != root[one]]
+        if not len(some):
+            continue
+        common = exact.common(one, some)
+        for other in some[den * common >= num * (len(sets[one]) + route["n"][some] - common)].tolist():
+            if root[one] != root[other]:
+                root[root == root[other]] = root[one]
+                yield int(route["id"][one]), int(route["id"][other])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        keep = np.zeros(len(a), bool)
-        for k in range(len(a)):
-            x, y = np.frombuffer(batch.column(2)[k].as_buffer(), np.uint64), np.frombuffer(batch.column(3)[k].as_buffer(), np.uint64)
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")  # two sorted runs
-            common = int((both[1:] == both[:-1]).sum())
-            keep[k] = den * common >= num * (len(x) + len(y) - common)
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+def _edges(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    for table in _whole_routes(batches, SET_BYTES, lambda b: b.nbytes):
+        col, edge = _columns(table), _edges_of(table)
+        col["n"], found = np.array([len(s) for s in col["sets"]], np.int64), []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if b - a > 1:
+                found += _joining({name: v[a:b] for name, v in col.items()}, num, den)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
 
 def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -273,6 +330,15 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, width: in
     return found.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+def _with_tokens(classes: DataFrame, sketch: Column, own: str, hot: str) -> DataFrame:
+    """``classes`` with those of their sketch tokens that 2 to BLOCK classes have, and those that more have."""
+    tokens = classes.select("id", F.explode(sketch).alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    some = lambda test: F.sort_array(F.collect_list(F.when(test, F.col("token"))))
+    found = tokens.join(shared, "token").groupBy("id").agg(some(F.col("c") <= BLOCK).alias(own), some(F.col("c") > BLOCK).alias(hot))
+    return classes.join(found, "id") if own == "own" else classes.join(found, "id", "left").withColumns({k: F.coalesce(k, F.array().cast("array<long>")) for k in (own, hot)})
+
+
 def _grouped(docs: DataFrame, num: int, den: int, width: int, id: str, text: str, key: Column) -> DataFrame:
     """(id, key, n, group, component_id) for every row: the number of its component, and the least id in it.
 
@@ -284,51 +350,51 @@ def _grouped(docs: DataFrame, num: int, den: int, width: int, id: str, text: str
     keyed = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), key.alias("key"))
     rows = cut(keyed.mapInArrow(lambda it: _class_rows(it, width), "id long, key string, n long, digest binary, sketch array<long>, bitmap binary"))
     full = rows.where("n > 0 and id is not null").groupBy("digest").agg(F.min_by(F.struct(F.col("id").alias("doc"), "n", "bitmap", "sketch"), "id").alias("r")).select("digest", "r.*")
-    # Numbers grow with ids, so leaders are the documents of the least ids; they stay from here on.
-    full = cut(full.repartitionByRange("doc", "digest").sortWithinPartitions("doc", "digest").withColumn("id", F.monotonically_increasing_id()))
-    tokens = full.select("id", F.explode("sketch").alias("token"))
-    classes = full.drop("sketch")
-    shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    sizes = F.ceil(F.col("c") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    block_pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct((F.least("mine", o) * F.col("blocks") + F.greatest("mine", o)).alias("pair"), F.when(F.col("mine") > o, 1).otherwise(0).alias("side"))
-    )
-    routed = cut(
-        tokens.join(shared, "token").withColumn("blocks", sizes).withColumn("mine", mine).select("id", "token", F.explode(block_pairs).alias("p")).select("id", "token", "p.pair", "p.side")
-    )
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """The whole sets of the classes in these pairs, from their texts."""
-        ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "doc", "digest"), "id"))
-        few = ids.count() <= BROADCAST_IDS
-        rows = texts.join(F.broadcast(ids) if few else ids, "doc").select("text", "digest", "id")
-        return cut(rows.mapInArrow(lambda it: _set_rows(it, width), "id long, tokens binary"))
-
-    links, comp, tested, cap = None, None, None, 0
-    while True:
-        if comp is None:
-            open_routes = routed.withColumn("comp", F.col("id"))
-        else:  # routes whose classes are all in one component have nothing to add; they are left out before bitmaps join
-            now = routed.join(comp.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            mixed = now.groupBy("token", "pair").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token", "pair")
-            open_routes = now.join(mixed, ["token", "pair"])
-        grouped = open_routes.join(classes.select("id", "n", "bitmap"), "id").repartition("token", "pair").sortWithinPartitions("token", "pair")
-        found = grouped.mapInArrow(lambda it, cap=cap: _candidates(it, t, cap), "a long, b long, more boolean")
-        found = cut(found.groupBy("a", "b").agg(F.max("more").alias("more")))
-        more = bool(found.agg(F.max("more")).first()[0])
-        pairs = found.select("a", "b") if tested is None else cut(found.select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        untested = not pairs.isEmpty()
-        if untested:
-            sets = sets_of(pairs)
-            both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")  # a repeated id repeats pairs, no more
-            good = cut(both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _verify(it, num, den), "a long, b long"))
-            links = good if links is None else links.union(good)
-            tested = pairs if tested is None else tested.union(pairs)
+    full = cut(full.withColumn("id", F.monotonically_increasing_id()))  # classes and their numbers stay from here on
+    classes = full.select("id", "doc", "digest")
+
+    def linked(routes: DataFrame) -> DataFrame:
+        """Edges (a, b) between classes of the same route (token, part)."""
+        dealt = lambda df: df.repartition("token", "part").sortWithinPartitions("token", "part")
+        kept = cut(dealt(routes).mapInArrow(lambda it: _survivors(it, t), "id long, comp long, below array<long>, token long, part long, side int"))
+        ids = cut(kept.select("id").distinct().join(classes, "id"))
+        near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        sets = texts.join(near, "doc").select("text", "digest", "id").mapInArrow(lambda it: _set_rows(it, width), "id long, tokens binary")  # a repeated id repeats edges, no more
+        return cut(dealt(kept.join(cut(sets), "id")).mapInArrow(lambda it: _edges(it, num, den), "a long, b long"))
+
+    members = _with_tokens(full, F.slice("sketch", 1, SKETCH), "own", "hot")
+    row = ["id", F.col("id").alias("comp"), "n", "bitmap"]
+    smaller = lambda tokens: F.filter(tokens, lambda x: x < F.col("token"))
+    flat = lambda df, under, part: df.select("id", "comp", "n", "bitmap", under.alias("below"), "token", part.cast("long").alias("part"), F.col("side") if "side" in df.columns else F.lit(0).alias("side"))
+    routes = flat(members.select(*row, "own", F.explode("own").alias("token")), smaller("own"), F.lit(-1))
+    deep = cut(members.where(F.size("hot") > 0))
+    blocks = None
+    if not deep.isEmpty():
+        deep = cut(_with_tokens(deep, F.col("sketch"), "own2", "hot2"))
+        routes = routes.union(flat(deep.select(*row, "own", "own2", F.explode("own2").alias("token")), F.concat("own", smaller("own2")), F.lit(-2)))
+        band = F.floor(F.log("n") / float(np.log(1 / t) * (1 + 1e-9)))
+        hot = deep.where(3 * F.size("hot2") > F.size("sketch")).withColumn("band", F.explode(F.array(band, band - 1)))
+        hot = hot.select(*row, "band", F.concat("own", "own2").alias("own"), "hot", F.posexplode(F.array_sort("hot")).alias("k", "token"))
+        size = cut(hot.groupBy("token", "band").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK)))
+        placed = hot.join(size, ["token", "band"])
+        mine = F.pmod(F.xxhash64("id", "token"), F.col("blocks"))
+        routes = routes.union(flat(placed.where((F.col("k") < FIRST_ROUTES) | (F.col("blocks") == 1)), F.col("own"), (F.col("band") + 1) * 2**32 + mine))
+        blocks = placed.where("blocks > 1")
+    links = linked(routes)
+    comp = cut(components(links))
+    if blocks is not None and not blocks.isEmpty():
+        now = blocks.drop("comp").join(comp.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        held = now.groupBy("token", "band", "comp").agg(F.count("*").alias("c")).groupBy("token", "band").agg(F.max_by("comp", "c").alias("main"), F.max("c").alias("in_main"), F.sum("c").alias("c"))
+        held = cut(held.where("in_main < c").withColumns({"others": F.ceil((F.col("c") - F.col("in_main")) / BLOCK), "mains": F.ceil(F.col("in_main") / BLOCK)}))
+        if not held.isEmpty():
+            is_main = F.col("comp") == F.col("main")
+            place = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))) + F.when(is_main, F.col("others")).otherwise(0)
+            meets = F.sequence(F.lit(0).cast("long"), F.col("others") + F.when(is_main, 0).otherwise(F.col("mains")) - 1)
+            met = now.join(held, ["token", "band"]).withColumn("mine", place).withColumn("o", F.explode(meets)).withColumn("side", (F.col("mine") > F.col("o")).cast("int"))
+            pair = F.least("mine", "o") * (F.col("others") + F.col("mains")) + F.greatest("mine", "o")
+            links = links.union(linked(flat(met, F.concat("own", smaller("hot")), (F.col("band") + 1) * 2**32 + pair)))
             comp = cut(components(links))
-        if cap and not more:  # every pair between components has been tested
-            break
-        cap = FIRST_CAP if not cap else cap * 16
+    comp = None if comp.isEmpty() else comp
 
     known = classes.select("digest", "id", "doc")
     if comp is not None:

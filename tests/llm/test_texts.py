@@ -30,7 +30,7 @@ def test_jaccard(spark, docs):
 
 
 def test_jaccard_in_blocks(spark, monkeypatch):
-    """A large group of near copies, cut into many blocks, with few leaders and a small first cap."""
+    """A large group of near copies, cut into many blocks."""
     rng = random.Random(3)
     base = [str(rng.randrange(10**6)) for _ in range(60)]
     rows = []
@@ -40,13 +40,62 @@ def test_jaccard_in_blocks(spark, monkeypatch):
             w[rng.randrange(60)] = str(rng.randrange(10**6))
         rows.append((i, " ".join(w)))
     monkeypatch.setattr(ngram_jaccard, "BLOCK", 16)
-    monkeypatch.setattr(ngram_jaccard, "LEADERS", 1)
-    monkeypatch.setattr(ngram_jaccard, "FIRST_CAP", 2)
     sizes, roots = jaccard_truth(rows)
     got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (sizes[i], roots[i]) for i, _ in rows}
 
 
+@pytest.mark.parametrize(("block", "fan", "rows_held"), [(8, 8, 8192), (20, 2, 16), (512, 8, 8192)])
+def test_groups_of_many_sizes(spark, monkeypatch, block, fan, rows_held):
+    """Passages that many texts share, large and small groups, and pairs just below and just above the threshold."""
+    rng = random.Random(21)
+    w = lambda n: [str(rng.randrange(10**7)) for _ in range(n)]
+    texts, passage = [], w(60)
+    for own in (0, 1, 2, 4, 5, 6, 8, 9, 10, 12, 30):  # tails of their own: 56 shingles in common
+        texts += [passage + w(own) for _ in range(9)]
+        texts += [w(own) + passage for _ in range(3)]
+    for size in (2, 3, 9, 40, 90):
+        base = w(90)
+        for k in range(size):
+            one = list(base)
+            for at in rng.sample(range(90), k % 5):
+                one[at] = str(rng.randrange(10**7))
+            texts.append(one + w(k % 3) if k % 7 else one[: 90 - k % 30])
+    for common in range(70, 81):  # at 0.75 exactly, and a shingle more or less
+        base = w(104)
+        texts += [base, base[: common + 4]]
+    texts += [w(3), w(3), ["a", "b"], ["A", "b"], [], w(400), passage * 3, passage[:50]]
+    rows = [(7 * i + 1, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    for name, value in (("BLOCK", block), ("FAN", fan), ("ROWS", rows_held), ("SET_BYTES", rows_held * 4096)):
+        monkeypatch.setattr(ngram_jaccard, name, value)
+    sizes, roots = jaccard_truth(rows)
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (sizes[i], roots[i]) for i, _ in rows}
+
+
+def test_rows_stay_in_proportion():
+    """A dense group whose members all fall short of the threshold gives no more rows than it has, and no edges."""
+    rng = random.Random(2)
+    base = [str(rng.randrange(10**7)) for _ in range(200)]
+    texts = []
+    for _ in range(150):
+        one = list(base)
+        for at in rng.sample(range(200), 5):
+            one[at] = str(rng.randrange(10**7))
+        texts.append(" ".join(one))
+    sets = list(ngram_jaccard.shingle_sets(pa.array(texts)))
+    n = len(sets)
+    narrow = {"id": pa.array(range(n), pa.int64()), "comp": pa.array(range(n), pa.int64()), "below": pa.array([[]] * n, pa.list_(pa.int64())), "token": pa.array([1] * n, pa.int64()), "part": pa.array([-1] * n, pa.int64()), "side": pa.array([0] * n, pa.int32())}
+    wide = narrow | {"n": pa.array([len(x) for x in sets], pa.int64()), "bitmap": pa.array([ngram_jaccard.bitmaps(x) for x in sets], pa.binary())}
+    kept = list(ngram_jaccard._survivors(iter([pa.RecordBatch.from_pydict(wide)]), 0.75))
+    assert sum(b.num_rows for b in kept) <= n
+    linked = {(a, b) for a in range(n) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    edges = list(ngram_jaccard._edges(iter([pa.RecordBatch.from_pydict(narrow | {"tokens": pa.array([x.tobytes() for x in sets], pa.binary())})]), 75, 100))
+    assert sum(b.num_rows for b in edges) < n
+    assert all((max(a, b), min(a, b)) in linked for e in edges for a, b in zip(*(c.to_pylist() for c in e.columns), strict=True))
+
+
 def test_large_sets_link(spark):
     rng = random.Random(8)
     w = [str(rng.randrange(10**7)) for _ in range(6000)]
