@@ -39,3 +39,31 @@ def square_pull(score: Column, y: Column) -> Column:
 
 
 LOSSES = {"logistic": (log_loss, log_pull), "hinge": (hinge_loss, hinge_pull), "square": (square_loss, square_pull)}
+
+
+# ---------------------------------------------------------------- penalties and steps of one weight
+
+def l1_value(w: Column, strength: float) -> Column:
+    """The penalty of all weights: an aggregate over their rows."""
+    return strength * F.sum(F.abs(w))
+
+
+def l2_value(w: Column, strength: float) -> Column:
+    return strength * F.sqrt(F.sum(w * w))
+
+
+def l2_pull(w: Column, strength: float) -> Column:
+    return strength * w
+
+
+def truncated(w: Column, alpha: float) -> Column:
+    """The weight pulled towards zero by alpha, stopping there."""
+    return F.signum(w) * F.greatest(F.lit(0.0), F.abs(w) - alpha)
+
+
+def sgd_rate(rate: float, decay: float, epoch: int) -> float:
+    return rate / (1 + decay * epoch) ** 0.5
+
+
+def sgd_step(w: Column, g: Column, rate: float, decay: float, epoch: int) -> Column:
+    return w - sgd_rate(rate, decay, epoch) * g

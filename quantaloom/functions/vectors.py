@@ -18,6 +18,13 @@ def constant(values: Sequence[float]) -> Column:
     return F.array(*(F.lit(float(v)) for v in values))
 
 
+def reached(x: Column, splits: Sequence[float]) -> Column:
+    """How many splits (sorted) x has reached: a binary search in a constant array, small code whatever the number of splits."""
+    held = constant(splits)
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(splits).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) <= x, at + step).otherwise(at))
+
+
 def sparse_dot(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: the dot product of two sparse vectors."""
     pairs = a.select("key", F.col("value").alias("x")).join(b.select("key", F.col("value").alias("y")), "key")

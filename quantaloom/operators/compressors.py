@@ -7,11 +7,13 @@ delta-coded keys. Both keep the quantizer, which is as long as its bins. Vectors
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.text import narrow_bins, wide_bins
+from ..functions.vectors import sparse_add
+from ..sources.text import narrow_bins, save, wide_bins
 from . import delta, minmax, quantize
 from .codecs import payload_bytes
 
@@ -19,6 +21,27 @@ from .codecs import payload_bytes
 STRETCH = 1 << 16
 
 
+def _save_parts(spark: SparkSession, path: str, quantizer: quantize.Quantizer, rows: int, **parts: DataFrame) -> None:
+    for name, df in parts.items():
+        save(df, f"{path}/{name}")
+    save(spark.createDataFrame([(list(quantizer.splits), quantizer.least, quantizer.greatest, rows)], "splits array<double>, least double, greatest double, rows int"), f"{path}/quantizer")
+
+
+def open_vector(spark: SparkSession, path: str) -> DenseVector | SparseVector:
+    """A vector that ``save`` has stored."""
+    q = spark.read.parquet(f"{path}/quantizer").first()
+    quantizer = quantize.Quantizer(tuple(q["splits"]), q["least"], q["greatest"])
+    if not q["rows"]:
+        return DenseVector(spark.read.parquet(f"{path}/entries"), quantizer)
+    return SparseVector(*(spark.read.parquet(f"{path}/{name}") for name in ("cells", "sizes", "keys")), quantizer, q["rows"])
+
+
+def added(*vectors: DataFrame | DenseVector | SparseVector) -> DataFrame:
+    """The sum (key, value) of vectors of any kind: coded ones are decoded first, scales included."""
+    plain = [v if isinstance(v, DataFrame) else v.decompress() for v in vectors]
+    return reduce(sparse_add, plain)
+
+
 @dataclass(frozen=True)
 class DenseVector:
     """Coded entries (key, bin) in narrow bins."""
@@ -34,6 +57,9 @@ class DenseVector:
         """Scales the vector by scaling the quantizer alone."""
         return DenseVector(self.entries, self.quantizer.times(by))
 
+    def save(self, path: str) -> None:
+        _save_parts(self.entries.sparkSession, path, self.quantizer, 0, entries=self.entries)
+
     def memory_bytes(self) -> int:
         return 12 + payload_bytes("quantile", 0, self.quantizer.bins) + self.entries.count() * (1 if self.quantizer.bins <= 256 else 2 if self.quantizer.bins <= 65536 else 4)
 
@@ -69,6 +95,9 @@ class SparseVector:
             raise ValueError("cells are kept by distance from the zero bin: scale by a positive number")
         return SparseVector(self.cells, self.sizes, self.keys, self.quantizer.times(by), self.rows)
 
+    def save(self, path: str) -> None:
+        _save_parts(self.cells.sparkSession, path, self.quantizer, self.rows, cells=self.cells, sizes=self.sizes, keys=self.keys)
+
     def memory_bytes(self) -> int:
         n = self.cells.count()
         bits = self.keys.agg(F.coalesce(F.sum("bits"), F.lit(0)).alias("b")).first()["b"]

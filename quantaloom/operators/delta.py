@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.bits import bits_of, log2_floor, needed_bytes
+from ..functions.bits import log2_floor, needed_bytes
 
 #: Intervals that the adaptive code may cut 32 bits into.
 INTERVALS = (2, 4, 8, 16)
@@ -73,7 +73,7 @@ def encode(df: DataFrame) -> DataFrame:
     Rows of a group are packed while they stream by in key order, so a task holds bytes, not rows.
     """
     picked = choice(adaptive_cost(df))
-    coded = df.join(F.broadcast(picked), "group").withColumn("code", code(F.col("bits"), F.col("gap"), F.col("intervals"), F.col("flag")))
+    coded = df.join(picked, "group").withColumn("code", code(F.col("bits"), F.col("gap"), F.col("intervals"), F.col("flag")))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, head, done, rest, n, bits = None, None, bytearray(), "", 0, 0
@@ -127,6 +127,29 @@ def decode(coded: DataFrame) -> DataFrame:
     return coded.mapInPandas(unpack, f"group {dict(coded.dtypes)['group']}, pos long, key long")
 
 
-def code_bits(df: DataFrame) -> DataFrame:
-    """The gap in plain bits, for checks."""
-    return df.withColumn("code", bits_of(F.col("gap"), 32))
+# ---------------------------------------------------------------- byte-wise code
+
+def encode_bytes(df: DataFrame) -> DataFrame:
+    """(group, n, payload): two flag bits for each gap, filled up to a byte, then each gap in 1, 2 or 4 bytes."""
+    size = needed_bytes(F.col("gap"))
+    flag = F.when(size == 1, "00").when(size == 2, "01").otherwise("10")
+    code = F.lpad(F.hex("gap"), (2 * size).cast("int"), "0")
+    rows = df.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("key", flag.alias("flag"), code.alias("code")))).alias("rows"))  # a group is the unit of the code
+    flags = F.array_join(F.transform("rows", lambda r: r["flag"]), "")
+    flags = F.rpad(flags, (F.ceil(F.length(flags) / 8) * 8).cast("int"), "0")
+    bytes_ = F.transform(F.sequence(F.lit(0), (F.length(flags) / 8).cast("int") - 1), lambda k: F.lpad(F.conv(F.substring(flags, k * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
+    return rows.select("group", F.size("rows").cast("long").alias("n"), F.unhex(F.concat(F.array_join(bytes_, ""), F.array_join(F.transform("rows", lambda r: r["code"]), ""))).alias("payload"))
+
+
+def decode_bytes(coded: DataFrame) -> DataFrame:
+    """(group, pos, key) of encoded groups."""
+    text = F.hex("payload")
+    each = F.sequence(F.lit(0), F.col("n").cast("int") - 1)
+    nibble = F.conv(F.substring("text", F.col("at") + 1, F.lit(1)), 16, 10).cast("int")  # two flags in each
+    rows = coded.where("n > 0").withColumn("text", text).select("group", "n", "text", F.posexplode(each).alias("pos", "i")).withColumn("at", F.expr("i div 2"))
+    flag = F.when(F.col("i") % 2 == 0, F.shiftright(nibble, 2)).otherwise(nibble.bitwiseAND(F.lit(3)))
+    rows = rows.withColumn("digits", F.element_at(F.array(F.lit(2), F.lit(4), F.lit(8)), flag + 1))
+    w = Window.partitionBy("group").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    begin = F.expr("(2 * n + 7) div 8 * 2") + F.sum("digits").over(w) - F.col("digits") + 1
+    rows = rows.withColumn("gap", F.conv(F.substring("text", begin.cast("int"), F.col("digits").cast("int")), 16, 10).cast("long"))
+    return undo(rows.select("group", F.col("pos").cast("long").alias("pos"), "gap")).select("group", "pos", "key")

@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.losses import EPS, LOSSES
-from ..functions.vectors import constant, dot
+from ..functions.losses import EPS, LOSSES, l2_pull, sgd_rate
+from ..functions.vectors import constant, dot, reached
+from ..sources.shared import cut
 from . import codecs, metrics
 
 
@@ -107,10 +108,28 @@ JOBS = {"least_squares": lambda df, s, dense: codecs.quantized(df, "least_square
 
 # ---------------------------------------------------------------- data
 
+#: Ranges of ids at most, and rows of a worker in one of them, about.
+RANGES, RANGE_ROWS = 1024, 100_000
+#: Weights that are constants of a plan, at most; longer models are broadcast as arrays.
+LITERALS = 4096
+
+
 def dealt(df: DataFrame, id: str, workers: int) -> DataFrame:
-    """Rows with their worker and place in it; the worker's rows are ordered by id."""
-    w = Window.partitionBy("worker").orderBy(id)
-    return df.withColumn("worker", F.pmod(F.col(id), F.lit(workers)).cast("int")).withColumn("pos", F.row_number().over(w) - 1).withColumn("size", F.count("*").over(Window.partitionBy("worker")))
+    """Rows with their worker and place in it; the worker's rows are ordered by id.
+
+    Places are counted within ranges of ids, which run side by side, and start at the number of the worker's rows before.
+    """
+    n, fine = df.agg(F.count("*"), F.percentile_approx(F.col(id).cast("double"), [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()
+    step = RANGES
+    while step > 1 and n > RANGE_ROWS * workers * (RANGES // step):
+        step //= 2
+    cuts = sorted(set((fine or [])[step - 1 :: step]))
+    rows = df.withColumn("worker", F.pmod(F.col(id), F.lit(workers)).cast("int")).withColumn("range_", reached(F.col(id).cast("double"), cuts) if cuts else F.lit(0))
+    held = rows.groupBy("worker", "range_").agg(F.count("*").alias("held_"))  # a row for each worker and range
+    by = Window.partitionBy("worker")
+    starts = held.withColumn("before_", F.sum("held_").over(by.orderBy("range_")) - F.col("held_")).withColumn("size", F.sum("held_").over(by)).drop("held_")
+    place = F.row_number().over(Window.partitionBy("worker", "range_").orderBy(id)) - 1
+    return rows.join(F.broadcast(starts), ["worker", "range_"]).withColumn("pos", F.col("before_") + place).select(*df.columns, "worker", "pos", "size")
 
 
 def batch(rows: DataFrame, b: int, ratio: float) -> DataFrame:
@@ -127,7 +146,24 @@ def split(df: DataFrame, id: str, ratio: float) -> tuple[DataFrame, DataFrame]:
 
 # ---------------------------------------------------------------- one step
 
+def _scored_by_array(rows: DataFrame, weights) -> DataFrame:
+    """For models too long for a plan: a broadcast array, as long as what the driver holds."""
+    sent = rows.sparkSession.sparkContext.broadcast(np.asarray(weights, float))
+
+    @F.pandas_udf("double")
+    def dense(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: float(np.dot(np.asarray(v, float), sent.value[: len(v)]))).astype(float)
+
+    @F.pandas_udf("double")
+    def sparse(idx: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series([float(np.dot(sent.value[np.asarray(i, int)], np.asarray(v, float))) for i, v in zip(idx, x, strict=True)], dtype=float)
+
+    return rows.withColumn("score", sparse("idx", "x") if "idx" in rows.columns else dense("x"))
+
+
 def scored(rows: DataFrame, weights) -> DataFrame:
+    if len(weights) > LITERALS:
+        return _scored_by_array(rows, weights)
     held = constant(weights)
     if "idx" in rows.columns:
         held = F.transform("idx", lambda i: F.get(constant(weights), i))
@@ -160,7 +196,12 @@ def active(sums: DataFrame, dim: int) -> DataFrame:
 
 def with_l2(gradients: DataFrame, weights, l2: float) -> DataFrame:
     """The pull of the penalty, on every key of the gradient."""
-    return gradients.withColumn("g", F.col("g") + F.lit(l2) * F.element_at(constant(weights), F.col("key") + 1)) if l2 > EPS else gradients
+    if l2 <= EPS:
+        return gradients
+    if len(weights) <= LITERALS:
+        return gradients.withColumn("g", F.col("g") + l2_pull(F.element_at(constant(weights), F.col("key") + 1), l2))
+    table = gradients.sparkSession.createDataFrame(pd.DataFrame({"key": np.arange(len(weights)), "w": np.asarray(weights, float)}))
+    return gradients.join(table, "key").withColumn("g", F.col("g") + l2_pull(F.col("w"), l2)).select(*gradients.columns)
 
 
 def coded(gradients: DataFrame, s: Settings, dim: int | None = None) -> DataFrame:
@@ -171,7 +212,8 @@ def coded(gradients: DataFrame, s: Settings, dim: int | None = None) -> DataFram
     if s.codec == "none":
         return gradients.select("worker", "key", "g")
     if s.codec in JOBS:
-        held = gradients.select("worker", "key", F.col("g").cast("double").alias("value")).localCheckpoint()  # read by several jobs for each worker
+        held = gradients.select("worker", "key", F.col("g").cast("double").alias("value"))
+        held = cut(held)  # read by several jobs for each worker
         found = held.groupBy("worker").agg(F.count("*").alias("n"), F.max("key").alias("last")).orderBy("worker").collect()
         dim = dim or max((r["last"] + 1 for r in found), default=0)
         out = held.select("worker", "key", F.col("value").alias("g")).where("false")
@@ -205,7 +247,7 @@ class State:
         self.m, self.v = np.zeros_like(self.w), np.zeros_like(self.w)
 
     def sgd(self, keys: np.ndarray, g: np.ndarray, s: Settings, epoch: int) -> None:
-        self.w[keys] -= s.learn_rate / np.sqrt(1 + s.learn_decay * epoch) * g
+        self.w[keys] -= sgd_rate(s.learn_rate, s.learn_decay, epoch) * g
 
     def adam(self, keys: np.ndarray, g: np.ndarray, s: Settings, advance: bool) -> None:
         """Only keys of the gradient move. Powers advance once an epoch, unless asked to do so at every step."""
@@ -221,6 +263,11 @@ def truncated(w: np.ndarray, alpha: float) -> np.ndarray:
     return np.sign(w) * np.maximum(0.0, np.abs(w) - alpha)
 
 
+def penalty(w: np.ndarray, s: Settings) -> float:
+    """What the weights add to the loss."""
+    return (s.reg_l1 * float(np.abs(w).sum()) if s.reg_l1 > EPS else 0.0) + (s.reg_l2 * float(np.sqrt((w**2).sum())) if s.reg_l2 > EPS else 0.0)
+
+
 def fit(df: DataFrame, s: Settings, id: str = "id", dim: int | None = None) -> tuple[np.ndarray, list[tuple]]:
     """(weights, (epoch, train loss, valid loss, accuracy) of each epoch) for rows (id, y, x), or sparse ones (id, y, idx, x) of ``dim`` places."""
     train, valid = split(df, id, s.valid_ratio)
@@ -236,7 +283,7 @@ def fit(df: DataFrame, s: Settings, id: str = "id", dim: int | None = None) -> t
             head = scored(rows, state.w).agg(F.avg(loss(F.col("score"), F.col("y"))).alias("l"), F.count("*").alias("n")).first()
             if not head["n"]:
                 continue
-            losses.append(head["l"] + (s.reg_l2 * float(np.sqrt((state.w**2).sum())) if s.reg_l2 > EPS else 0.0))
+            losses.append(head["l"] + penalty(state.w, s))
             g = summed(coded(with_l2(worker_gradients(rows, state.w, s.algo), state.w, s.reg_l2), s, len(state.w)), s.workers).orderBy("key").toPandas()
             keys, values = g["key"].to_numpy(), g["g"].to_numpy(float)
             if s.optimizer == "sgd":

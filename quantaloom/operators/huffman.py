@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +61,32 @@ def decode(encoded: DataFrame, code: Code) -> DataFrame:
 
 def total_bits(df: DataFrame, value: str, code: Code) -> DataFrame:
     return encode(df, value, code).agg(F.sum(F.length("code")).cast("long").alias("total_bits"), F.count("*").alias("n"))
+
+
+def pack(df: DataFrame, group: str, order: str, value: str, code: Code) -> DataFrame:
+    """(group, n, bits, payload): each group's codes one after the other, as bytes; a group is the unit of the code."""
+    rows = encode(df, value, code).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, value, "code"))).alias("rows"))
+    text = F.array_join(F.transform("rows", lambda r: r["code"]), "")
+    full = F.rpad(text, (F.ceil(F.length(text) / 8) * 8).cast("int"), "0")
+    bytes_ = F.transform(F.sequence(F.lit(0), (F.length(full) / 8).cast("int") - 1), lambda k: F.lpad(F.conv(F.substring(full, k * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
+    return rows.select(group, F.size("rows").cast("long").alias("n"), F.length(text).cast("long").alias("bits"), F.unhex(F.array_join(bytes_, "")).alias("payload"))
+
+
+def unpack(packed: DataFrame, group: str, code: Code) -> DataFrame:
+    """(group, pos, value) of packed groups, each streamed out in pieces."""
+    values = {b: v for v, b in code.bits.items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                found, now = [], ""
+                for bit in "".join(f"{b:08b}" for b in row.payload)[: int(row.bits)]:
+                    now += bit
+                    if now in values:
+                        found.append(values[now])
+                        now = ""
+                for k in range(0, len(found), 10_000):
+                    piece = found[k : k + 10_000]
+                    yield pd.DataFrame({group: [getattr(row, group)] * len(piece), "pos": range(k, k + len(piece)), "value": piece})
+
+    return packed.mapInPandas(run, f"{group} {dict(packed.dtypes)[group]}, pos long, value long")

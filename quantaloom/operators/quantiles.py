@@ -51,7 +51,9 @@ def weighted_summary(samples: DataFrame, value: str, level: str) -> DataFrame:
 
 def sketches(df: DataFrame, value: str, by: Sequence[str] = (), k: int = 256) -> DataFrame:
     """A mergeable sketch for each group."""
-    return df.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"), F.count(value).alias("n"))
+    x = F.col(value).cast("double")
+    x = F.when(F.isnan(x), F.raise_error(F.lit("values must be numbers"))).otherwise(x)
+    return df.groupBy(*by).agg(F.kll_sketch_agg_double(x, F.lit(check_k(k))).alias("sketch"), F.count(value).alias("n"))
 
 
 def merged_quantiles(sketched: DataFrame, fractions: Sequence[float]) -> DataFrame:

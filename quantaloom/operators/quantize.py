@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import reached
 from .quantiles import even_quantiles
 from .ranks import cumulative
 
@@ -41,7 +41,7 @@ class Quantizer:
         """The number of splits that x has reached."""
         if not self.splits:
             return F.when(x.isNotNull(), F.lit(0))
-        return F.when(x.isNotNull(), _below(x.cast("double"), self.splits))
+        return F.when(x.isNotNull(), reached(x.cast("double"), self.splits))
 
     def decoded(self, bin_: Column) -> Column:
         return F.element_at(F.array(*(F.lit(v) for v in self.values)), (bin_ + 1).cast("int"))
@@ -50,13 +50,6 @@ class Quantizer:
         return Quantizer(tuple(s * by for s in self.splits), self.least * by, self.greatest * by)
 
 
-def _below(x: Column, splits: Sequence[float]) -> Column:
-    """How many splits x has reached: a binary search in a constant array, small code whatever the number of splits."""
-    held = F.array(*(F.lit(float(s)) for s in splits))
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(splits).bit_length()))))
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) <= x, at + step).otherwise(at))
-
-
 def _range(df: DataFrame, value: str) -> tuple[float, float]:
     r = df.agg(F.min(value).alias("a"), F.max(value).alias("b"), F.count_if(F.isnan(F.col(value).cast("double"))).alias("nan")).first()
     if r["nan"]:

@@ -1,8 +1,8 @@
 """Exact ranks without a global sort in one task.
 
-Equal values are counted first (with map-side combine), then dealt to buckets by approximate quantiles of the distinct
-values; only bucket totals, of a fixed number, reach the driver. Running sums within buckets are windows that run
-side by side. A value that a third of all rows have is one row here.
+Equal values are counted first (with map-side combine) and kept, then dealt to buckets by approximate quantiles of the
+distinct values, the more of them the more values there are; only bucket totals reach the driver. Running sums within
+buckets are windows that run side by side. A value that a third of all rows have is one row here.
 """
 
 from __future__ import annotations
@@ -11,18 +11,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 64
+from ..functions.vectors import reached
+from ..sources.shared import cut
 
+#: Distinct values of a bucket, about; buckets at most (a power of two: the driver holds a row for each).
+BUCKET_VALUES, BUCKETS = 100_000, 1024
 
-def cumulative(df: DataFrame, value: str, sums: dict[str, Column] | None = None, buckets: int = BUCKETS) -> DataFrame:
+
+def cumulative(df: DataFrame, value: str, sums: dict[str, Column] | None = None, bucket_values: int = BUCKET_VALUES) -> DataFrame:
     """Distinct values v with n rows, n rows before them, the total n, and running sums (exclusive) of ``sums``."""
     sums = sums or {}
-    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"), *(F.sum(c).alias(k) for k, c in sums.items()))
-    cuts = counted.agg(F.percentile_approx(F.col("v").cast("double"), [i / buckets for i in range(1, buckets)], 2000)).first()[0] or []
-    edges = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    placed = counted.withColumn("bucket", F.size(F.filter(edges, lambda c: c <= F.col("v").cast("double"))))
+    counted = cut(df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"), *(F.sum(c).alias(k) for k, c in sums.items())))
+    distinct, fine = counted.agg(F.count("*"), F.percentile_approx(F.col("v").cast("double"), [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS)).first()
+    step = BUCKETS
+    while step > 1 and distinct > bucket_values * (BUCKETS // step):
+        step //= 2
+    cuts = sorted(set((fine or [])[step - 1 :: step]))
+    placed = counted.withColumn("bucket", reached(F.col("v").cast("double"), cuts) if cuts else F.lit(0))
     names = ["n", *sums]
-    totals = {r["bucket"]: r for r in placed.groupBy("bucket").agg(*(F.sum(k).alias(k) for k in names)).collect()}  # at most ``buckets`` rows
+    totals = {r["bucket"]: r for r in placed.groupBy("bucket").agg(*(F.sum(k).alias(k) for k in names)).collect()}  # at most BUCKETS rows
     offsets = {k: [0] * (len(cuts) + 2) for k in names}
     for k in names:
         for b in range(len(cuts) + 1):

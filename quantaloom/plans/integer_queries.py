@@ -39,7 +39,7 @@ def _bkdr_query(seed):
     return run
 
 
-for _seed in (31, 131, 13131):
+for _seed in hashes.BKDR_SEEDS:
     _bkdr_query(_seed)
 
 
@@ -106,6 +106,21 @@ def delta_binary_size(spark, d):
     return delta.byte_sizes(delta.gaps(_keys(spark, d)))
 
 
+_BINARY = _GAPS + ", c AS (SELECT g, key, gap, CASE WHEN gap < 256 THEN 1 WHEN gap < 65536 THEN 2 ELSE 4 END AS bytes FROM b) "
+
+
+@query("delta_binary_payload", _BINARY + "SELECT g AS \"group\", count(*) AS n, sum(bytes)::BIGINT + (2 * count(*) + 7) // 8 AS bytes, md5(string_agg(lpad(lower(to_hex(gap)), 2 * bytes, '0'), '' ORDER BY key)) AS gaps FROM c GROUP BY g")
+def delta_binary_payload(spark, d):
+    coded = delta.encode_bytes(delta.gaps(_keys(spark, d)))
+    gaps = F.lower(F.hex(F.expr("substring(payload, (2 * n + 7) div 8 + 1)")))
+    return coded.select("group", "n", F.length("payload").cast("long").alias("bytes"), F.md5(gaps).alias("gaps"))
+
+
+@query("delta_binary_roundtrip", f"SELECT DISTINCT l_orderkey // {GROUP} AS \"group\", l_orderkey AS key FROM lineitem")
+def delta_binary_roundtrip(spark, d):
+    return delta.decode_bytes(delta.encode_bytes(delta.gaps(_keys(spark, d)))).select("group", "key")
+
+
 @query("delta_decode", f"SELECT DISTINCT l_orderkey // {GROUP} AS \"group\", l_orderkey AS key FROM lineitem")
 def delta_decode(spark, d):
     g = delta.gaps(_keys(spark, d)).withColumnRenamed("key", "pos")
@@ -128,6 +143,14 @@ def huffman_freq(spark, d):
     return huffman.counts(_quantities(spark, d), "q")
 
 
+@query("huffman_packed_roundtrip", "SELECT l_orderkey // 512 AS \"group\", l_quantity::BIGINT AS value, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def huffman_packed_roundtrip(spark, d):
+    rows = table(spark, d, "lineitem").select(F.expr("l_orderkey div 512").alias("group"), "l_orderkey", F.col("l_quantity").cast("long").alias("q"))
+    code = huffman.fit(rows, "q")
+    back = huffman.unpack(huffman.pack(rows, "group", "l_orderkey", "q", code), "group", code)
+    return back.groupBy("group", "value").agg(F.count("*").alias("n"))
+
+
 @query("huffman_roundtrip", "SELECT l_quantity::BIGINT AS q, count(*) AS n, count(*) AS same FROM lineitem GROUP BY 1")
 def huffman_roundtrip(spark, d):
     rows = _quantities(spark, d)
@@ -136,7 +159,15 @@ def huffman_roundtrip(spark, d):
     return back.groupBy("q").agg(F.count("*").alias("n"), F.count_if(F.col("q") == F.col("decoded")).alias("same"))
 
 
-@query("huffman_total_bits")
+#: The two least counts are merged until one is left; every merge adds a bit to all below it.
+_HUFFMAN = (
+    "WITH RECURSIVE f AS (SELECT l_quantity::BIGINT AS v, count(*) AS n FROM lineitem GROUP BY 1), r(l, bits) AS (SELECT list_sort(list(n)), 0::BIGINT FROM f "
+    "UNION ALL SELECT list_sort(list_append(l[3:], l[1] + l[2])), bits + l[1] + l[2] FROM r WHERE len(l) > 1) "
+    "SELECT max(bits)::BIGINT AS total_bits, (SELECT sum(n)::BIGINT FROM f) AS n FROM r"
+)
+
+
+@query("huffman_total_bits", _HUFFMAN)
 def huffman_total_bits(spark, d):
     rows = _quantities(spark, d)
     return huffman.total_bits(rows, "q", huffman.fit(rows, "q"))

@@ -79,12 +79,13 @@ def _averages(spark, d):
 
 @query("reg_value", _AVG + "SELECT round(0.1::DOUBLE * sum(abs(w)), 9) AS l1, round(0.1::DOUBLE * sqrt(sum(w * w)), 9) AS l2 FROM g")
 def reg_value(spark, d):
-    return _averages(spark, d).agg(F.round(0.1 * F.sum(F.abs("w")), 9).alias("l1"), F.round(0.1 * F.sqrt(F.sum(F.col("w") * F.col("w"))), 9).alias("l2"))
+    w = F.col("w")
+    return _averages(spark, d).agg(F.round(losses.l1_value(w, 0.1), 9).alias("l1"), F.round(losses.l2_value(w, 0.1), 9).alias("l2"))
 
 
 @query("l1_truncate", _AVG + "SELECT key, round(sign(w) * greatest(0.0::DOUBLE, abs(w) - 0.0002::DOUBLE), 9) + 0.0 AS w FROM g")
 def l1_truncate(spark, d):
-    return _averages(spark, d).select("key", (F.round(F.signum("w") * F.greatest(F.lit(0.0), F.abs("w") - 0.0002), 9) + 0.0).alias("w"))
+    return _averages(spark, d).select("key", (F.round(losses.truncated(F.col("w"), 0.0002), 9) + 0.0).alias("w"))
 
 
 # ---------------------------------------------------------------- gradients
@@ -115,7 +116,7 @@ for _name, _algo in (("lr", "logistic"), ("svm", "hinge"), ("linreg", "square"))
 @query("l2_grad_term", "WITH " + _W[:-2] + " SELECT key, round(0.1::DOUBLE * w * n, 9) AS term FROM w, (SELECT count(*) AS n FROM embeddings)")
 def l2_grad_term(spark, d):
     n = table(spark, d, "embeddings").agg(F.count("*").alias("n"))
-    return n.select("n", F.posexplode(constant(WEIGHTS)).alias("key", "w")).select(F.col("key").cast("long").alias("key"), F.round(0.1 * F.col("w") * F.col("n"), 9).alias("term"))
+    return n.select("n", F.posexplode(constant(WEIGHTS)).alias("key", "w")).select(F.col("key").cast("long").alias("key"), F.round(losses.l2_pull(F.col("w"), 0.1) * F.col("n"), 9).alias("term"))
 
 
 @query("worker_gradient_sum", _grad_sql("logistic", True, True) + "SELECT key, round(sum(g) / 4, 9) AS g FROM g GROUP BY key")
@@ -130,8 +131,27 @@ def batch_loss(spark, d):
     return _scored(spark, d).agg(F.round(F.sum(losses.log_loss(F.col("score"), F.col("y"))) / F.count("*") + penalty, 9).alias("loss"))
 
 
+def _coded_sql(codec: str, bins: int = 32) -> str | None:
+    """Each worker's gradient after coding, summed; a worker's gradient has all 64 keys here."""
+    split = {"quantile": f"SELECT DISTINCT worker, g AS v FROM (SELECT worker, g, row_number() OVER (PARTITION BY worker ORDER BY g) - 1 AS r, count(*) OVER (PARTITION BY worker) AS n FROM g) o JOIN (SELECT unnest(range(1, {bins})) AS i) e ON o.r = (o.n * e.i) // {bins}",
+             "uniform": f"SELECT DISTINCT worker, lo + (hi - lo) / {bins} * i AS v FROM lim, (SELECT unnest(range(1, {bins})) AS i)"}
+    end = "SELECT key, round(sum(d) / 4, 9) AS g FROM coded GROUP BY key"
+    if codec == "float":
+        return _grad_sql("logistic", False, True) + ", coded AS (SELECT key, g::FLOAT::DOUBLE AS d FROM g) " + end
+    if codec == "fixed_point":
+        size = "least(127, floor(abs(g) / norm * 127) + (floor(key::BIGINT * 2654435761 / 65536)::BIGINT % 2))"
+        return _grad_sql("logistic", False, True) + f", norms AS (SELECT worker, sqrt(sum(g * g)) AS norm FROM g GROUP BY worker), coded AS (SELECT key, sign(g) * {size} / 127 * norm AS d FROM g JOIN norms USING (worker)) " + end
+    if codec in split:
+        return (
+            _grad_sql("logistic", False, True) + f", lim AS (SELECT worker, min(g) AS lo, max(g) AS hi FROM g GROUP BY worker), sp AS ({split[codec]}), "
+            "mid AS (SELECT worker, row_number() OVER w - 1 AS bin, 0.5::DOUBLE * (coalesce(lag(b) OVER w, lo) + b) AS d FROM (SELECT worker, v AS b, 0 AS k FROM sp UNION ALL SELECT worker, hi, 1 FROM lim) JOIN lim USING (worker) WINDOW w AS (PARTITION BY worker ORDER BY k, b)), "
+            "coded AS (SELECT b.key, mid.d FROM (SELECT g.worker, g.key, (SELECT count(*) FROM sp WHERE sp.worker = g.worker AND sp.v <= g.g) AS bin FROM g) b JOIN mid ON mid.worker = b.worker AND mid.bin = b.bin) " + end
+        )
+    return None
+
+
 def _codec_query(codec):
-    @query(f"worker_gradient_{codec}")
+    @query(f"worker_gradient_{codec}", _coded_sql(codec))
     def run(spark, d):
         s = glm.Settings(codec=codec, bins=32)
         g = glm.coded(glm.worker_gradients(_rows(spark, d), WEIGHTS, "logistic"), s)
@@ -177,8 +197,8 @@ def sparse_gradient_step_whole(spark, d):
 @query("sgd_step", _grad_sql("logistic") + "SELECT key, round(w - 0.1::DOUBLE / sqrt(1 + 0.9::DOUBLE * 2) * g, 9) AS w FROM g JOIN w USING (key)")
 def sgd_step(spark, d):
     g = glm.with_l2(glm.worker_gradients(_one(_rows(spark, d)), WEIGHTS, "logistic"), WEIGHTS, L2)
-    rate = 0.1 / (1 + 0.9 * 2) ** 0.5
-    return g.select(F.col("key").cast("long").alias("key"), F.round(F.element_at(constant(WEIGHTS), F.col("key") + 1) - rate * F.col("g"), 9).alias("w"))
+    w = F.element_at(constant(WEIGHTS), F.col("key") + 1)
+    return g.select(F.col("key").cast("long").alias("key"), F.round(losses.sgd_step(w, F.col("g"), 0.1, 0.9, 2), 9).alias("w"))
 
 
 def _adam_sql(steps: int) -> str:

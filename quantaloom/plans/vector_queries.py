@@ -307,6 +307,14 @@ def sparse_compressor(spark, d):
     return compressors.compress_sparse(_balances(spark, d), bins=64).decompress().select("key", F.round("value", 6).alias("value"))
 
 
+@query("coded_sum", _sketch_sql() + "SELECT keyed.key, round(2 * mine.mid + eb.mid + c_acctbal, 6) AS value FROM keyed JOIN back ON back.key = keyed.key AND back.o = 1 JOIN eb ON eb.bin = back.bin JOIN eb mine ON mine.bin = keyed.bin JOIN customer ON c_custkey = keyed.key")
+def coded_sum(spark, d):
+    """A scaled dense vector, a sparse one and a plain one."""
+    v = _balances(spark, d)
+    total = compressors.added(compressors.compress_dense(v, bins=64).times(2.0), compressors.compress_sparse(v, bins=64), v)
+    return total.select("key", F.round("value", 6).alias("value"))
+
+
 # ---------------------------------------------------------------- order
 
 @query("kth_smallest", "SELECT o_totalprice AS value FROM orders ORDER BY 1 LIMIT 1 OFFSET 99")

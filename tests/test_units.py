@@ -1,6 +1,7 @@
 """Hand-sized cases."""
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from quantaloom.functions import bits, hashes, losses, vectors
 from quantaloom.operators import codecs, compressors, delta, glm, huffman, metrics, minmax, order, quantiles, quantize, ranks
 from quantaloom.sources import text
+from quantaloom.sources.shared import shared_checkpoint_dir
 from quantaloom.streaming.windows import read_stream, window_sketches
 
 
@@ -357,3 +359,106 @@ def test_sparse_training(spark):
     assert history[-1][3] > 0.95 and (w[:4] > 0).all() and (w[4:9] < 0).all() and (w[10:] == 0).all()
     dense = spark.createDataFrame([(0, k, 1.0) for k in range(3)], "worker int, key int, g double")
     assert glm.active(dense, 4).count() == 4 and glm.active(dense, 9).count() == 3
+
+
+def _wrapped(x):
+    return (x + (1 << 31)) % (1 << 32) - (1 << 31)
+
+
+def _jenkins(a):
+    """Written out, apart from the library's table."""
+    a = _wrapped(_wrapped(a + 0x7ED55D16) + (a << 12))
+    a = _wrapped((a ^ 0xC761C23C) ^ (a >> 19))
+    a = _wrapped(_wrapped(a + 0x165667B1) + (a << 5))
+    a = _wrapped(_wrapped(a + 0xD3A2646C) ^ _wrapped(a << 9))
+    a = _wrapped(_wrapped(a + 0xFD7046C5) + (a << 3))
+    return _wrapped((a ^ 0xB55A4F09) ^ (a >> 16))
+
+
+def _wang_64(a):
+    a = _wrapped(~a + (a << 21))
+    a ^= a >> 24
+    a = _wrapped(a + (a << 3) + (a << 8))
+    a ^= a >> 14
+    a = _wrapped(a + (a << 2) + (a << 4))
+    a ^= a >> 28
+    return _wrapped(a + (a << 31))
+
+
+def _wang_32(a):
+    a = _wrapped(~a + (a << 15))
+    a ^= a >> 12
+    a = _wrapped(a + (a << 2))
+    a ^= a >> 4
+    a = _wrapped(a * 2057)
+    return _wrapped(a ^ (a >> 16))
+
+
+@pytest.mark.parametrize(("name", "plain"), [("bj", _jenkins), ("mix64", _wang_64), ("tw", _wang_32)])
+def test_hashes_written_out(spark, name, plain):
+    keys = [0, 1, 2, 7, 12345, 2**31 - 1, -1, -98765]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", hashes.hashed(name, F.col("k"), 1009).alias("h")).collect()
+    assert {r.k: r.h for r in got} == {k: plain(k) % 1009 for k in keys}
+
+
+def test_coded_vectors_are_stored_and_opened(spark, tmp_path):
+    df = spark.createDataFrame([(k * 3, ((k * 37) % 101 - 50) / 7.0) for k in range(200)], "key long, value double")
+    for name, coded in (("dense", compressors.compress_dense(df, bins=16).times(2.0)), ("sparse", compressors.compress_sparse(df, bins=16))):
+        coded.save(str(tmp_path / name))
+        back = compressors.open_vector(spark, str(tmp_path / name))
+        assert back.quantizer == coded.quantizer
+        assert sorted(map(tuple, back.decompress().collect())) == sorted(map(tuple, coded.decompress().collect()))
+        assert back.memory_bytes() == coded.memory_bytes()
+
+
+def test_byte_code(spark):
+    keys = [(0, k) for k in (0, 3, 4, 260, 70000, 2**31)] + [(5, 9)]
+    coded = delta.encode_bytes(delta.gaps(spark.createDataFrame(keys, "group long, key long")))
+    payload = {r.group: bytes(r.payload) for r in coded.collect()}
+    # flags 00 00 00 01 10 10, filled up to two bytes
+    assert payload[0] == bytes([0b00000001, 0b10100000, 0, 3, 1, 1, 0]) + (70000 - 260).to_bytes(4, "big") + (2**31 - 70000).to_bytes(4, "big")
+    assert payload[5] == bytes([0, 9])
+    assert sorted((r.group, r.key) for r in delta.decode_bytes(coded).collect()) == sorted(keys)
+
+
+def test_sketch_refuses_nan_and_odd_k(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),)], "x double")
+    with pytest.raises(Exception, match="values must be numbers"):
+        quantiles.sketches(df, "x").collect()
+    with pytest.raises(ValueError, match="power of two"):
+        quantiles.sketches(df, "x", k=100)
+
+
+def test_places_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(glm, "RANGE_ROWS", 10)
+    rows = spark.range(0, 3000, 7).withColumnRenamed("id", "i").select("i")
+    got = sorted((r.worker, r.i, r.pos, r.size) for r in glm.dealt(rows, "i", 3).collect())
+    by = {}
+    for i in range(0, 3000, 7):
+        by.setdefault(i % 3, []).append(i)
+    assert got == sorted((w, i, k, len(ids)) for w, ids in by.items() for k, i in enumerate(ids))
+    ranked = ranks.cumulative(rows, "i", bucket_values=10)
+    assert sorted((r.v, r.before) for r in ranked.collect()) == [(i, k) for k, i in enumerate(range(0, 3000, 7))]
+
+
+def test_long_models_are_scored_by_array(spark, monkeypatch):
+    w = np.arange(6) / 3.0
+    dense = spark.createDataFrame([(1, [1.0, 0.0, 2.0, 0.0, 0.0, 3.0]), (2, [0.5] * 6)], "id long, x array<double>")
+    thin = spark.createDataFrame([(1, [0, 5], [2.0, 1.0]), (2, [3], [4.0])], "id long, idx array<int>, x array<double>")
+    g = spark.createDataFrame([(0, 2, 0.5), (1, 5, 0.25)], "worker int, key int, g double")
+    plain = [[r.score for r in glm.scored(df, w).orderBy("id").collect()] for df in (dense, thin)] + [sorted(map(tuple, glm.with_l2(g, w, 0.1).collect()))]
+    monkeypatch.setattr(glm, "LITERALS", 3)
+    wide = [[r.score for r in glm.scored(df, w).orderBy("id").collect()] for df in (dense, thin)] + [sorted(map(tuple, glm.with_l2(g, w, 0.1).collect()))]
+    assert wide[:2] == [pytest.approx(p) for p in plain[:2]] and wide[2] == plain[2]
+
+
+def test_both_penalties_enter_the_loss():
+    w = np.array([3.0, -4.0])
+    assert glm.penalty(w, glm.Settings(reg_l1=0.5, reg_l2=0.0)) == 3.5
+    assert glm.penalty(w, glm.Settings(reg_l1=0.5, reg_l2=0.1)) == pytest.approx(4.0)
+
+
+def test_no_local_folder_on_a_cluster():
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context))
