@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,27 +130,36 @@ def decode(coded: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- byte-wise code
 
+#: Bytes of a gap by its two flag bits.
+SIZES = np.array([1, 2, 4])
+
+
 def encode_bytes(df: DataFrame) -> DataFrame:
     """(group, n, payload): two flag bits for each gap, filled up to a byte, then each gap in 1, 2 or 4 bytes."""
-    size = needed_bytes(F.col("gap"))
-    flag = F.when(size == 1, "00").when(size == 2, "01").otherwise("10")
-    code = F.lpad(F.hex("gap"), (2 * size).cast("int"), "0")
-    rows = df.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("key", flag.alias("flag"), code.alias("code")))).alias("rows"))  # a group is the unit of the code
-    flags = F.array_join(F.transform("rows", lambda r: r["flag"]), "")
-    flags = F.rpad(flags, (F.ceil(F.length(flags) / 8) * 8).cast("int"), "0")
-    bytes_ = F.transform(F.sequence(F.lit(0), (F.length(flags) / 8).cast("int") - 1), lambda k: F.lpad(F.conv(F.substring(flags, k * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
-    return rows.select("group", F.size("rows").cast("long").alias("n"), F.unhex(F.concat(F.array_join(bytes_, ""), F.array_join(F.transform("rows", lambda r: r["code"]), ""))).alias("payload"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        gap = pdf.sort_values("key")["gap"].to_numpy(np.int64)
+        flag = (gap >= 1 << 8).astype(int) + (gap >= 1 << 16)
+        flags = np.packbits(np.stack([flag >> 1, flag & 1], axis=1).ravel())
+        wide = gap.astype(">u4").view(np.uint8).reshape(-1, 4)
+        return pd.DataFrame({"group": pdf["group"].iloc[:1], "n": [len(gap)], "payload": [flags.tobytes() + wide[np.arange(4) >= 4 - SIZES[flag][:, None]].tobytes()]})
+
+    return df.select("group", "key", "gap").groupBy("group").applyInPandas(pack, f"group {dict(df.dtypes)['group']}, n long, payload binary")  # a group is the unit of the code
 
 
 def decode_bytes(coded: DataFrame) -> DataFrame:
     """(group, pos, key) of encoded groups."""
-    text = F.hex("payload")
-    each = F.sequence(F.lit(0), F.col("n").cast("int") - 1)
-    nibble = F.conv(F.substring("text", F.col("at") + 1, F.lit(1)), 16, 10).cast("int")  # two flags in each
-    rows = coded.where("n > 0").withColumn("text", text).select("group", "n", "text", F.posexplode(each).alias("pos", "i")).withColumn("at", F.expr("i div 2"))
-    flag = F.when(F.col("i") % 2 == 0, F.shiftright(nibble, 2)).otherwise(nibble.bitwiseAND(F.lit(3)))
-    rows = rows.withColumn("digits", F.element_at(F.array(F.lit(2), F.lit(4), F.lit(8)), flag + 1))
-    w = Window.partitionBy("group").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    begin = F.expr("(2 * n + 7) div 8 * 2") + F.sum("digits").over(w) - F.col("digits") + 1
-    rows = rows.withColumn("gap", F.conv(F.substring("text", begin.cast("int"), F.col("digits").cast("int")), 16, 10).cast("long"))
-    return undo(rows.select("group", F.col("pos").cast("long").alias("pos"), "gap")).select("group", "pos", "key")
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for group, n, payload in zip(batch["group"], batch["n"], batch["payload"], strict=True):
+                raw = np.frombuffer(payload, np.uint8)
+                head = -(-2 * n // 8)
+                pairs = np.unpackbits(raw[:head])[: 2 * n].reshape(-1, 2)
+                size = SIZES[2 * pairs[:, 0] + pairs[:, 1]]
+                wide = np.zeros((n, 4), np.uint8)
+                wide[np.arange(4) >= 4 - size[:, None]] = raw[head:]
+                key = np.cumsum(wide.view(">u4").ravel().astype(np.int64))
+                yield pd.DataFrame({"group": [group] * n, "pos": np.arange(n), "key": key})
+
+    return coded.select("group", "n", "payload").mapInPandas(unpack, f"group {dict(coded.dtypes)['group']}, pos long, key long")

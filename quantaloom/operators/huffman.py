@@ -65,11 +65,14 @@ def total_bits(df: DataFrame, value: str, code: Code) -> DataFrame:
 
 def pack(df: DataFrame, group: str, order: str, value: str, code: Code) -> DataFrame:
     """(group, n, bits, payload): each group's codes one after the other, as bytes; a group is the unit of the code."""
-    rows = encode(df, value, code).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, value, "code"))).alias("rows"))
-    text = F.array_join(F.transform("rows", lambda r: r["code"]), "")
-    full = F.rpad(text, (F.ceil(F.length(text) / 8) * 8).cast("int"), "0")
-    bytes_ = F.transform(F.sequence(F.lit(0), (F.length(full) / 8).cast("int") - 1), lambda k: F.lpad(F.conv(F.substring(full, k * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
-    return rows.select(group, F.size("rows").cast("long").alias("n"), F.length(text).cast("long").alias("bits"), F.unhex(F.array_join(bytes_, "")).alias("payload"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        text = "".join(pdf.sort_values([order, value])["code"])
+        full = text.ljust(-(-len(text) // 8) * 8, "0")
+        return pd.DataFrame({group: pdf[group].iloc[:1], "n": [len(pdf)], "bits": [len(text)], "payload": [int(full, 2).to_bytes(len(full) // 8, "big")]})
+
+    rows = encode(df, value, code).select(group, order, value, "code")
+    return rows.groupBy(group).applyInPandas(run, f"{group} {dict(df.dtypes)[group]}, n long, bits long, payload binary")
 
 
 def unpack(packed: DataFrame, group: str, code: Code) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import losses
 from ..functions.vectors import constant, dot
 from ..operators import glm, metrics
-from .registry import query, table
+from .registry import merging_sql, query, table
 
 DIM = 64
 #: Fixed weights of the queries that need some.
@@ -135,6 +135,9 @@ def _coded_sql(codec: str, bins: int = 32) -> str | None:
     """Each worker's gradient after coding, summed; a worker's gradient has all 64 keys here."""
     split = {"quantile": f"SELECT DISTINCT worker, g AS v FROM (SELECT worker, g, row_number() OVER (PARTITION BY worker ORDER BY g) - 1 AS r, count(*) OVER (PARTITION BY worker) AS n FROM g) o JOIN (SELECT unnest(range(1, {bins})) AS i) e ON o.r = (o.n * e.i) // {bins}",
              "uniform": f"SELECT DISTINCT worker, lo + (hi - lo) / {bins} * i AS v FROM lim, (SELECT unnest(range(1, {bins})) AS i)"}
+    split["sketch"] = split["quantile"]  # a gradient with all keys is dense, and keeps its quantile bins
+    split["least_squares"] = "SELECT DISTINCT worker, low AS v FROM p8 WHERE i > 0"
+    merge = ", p0 AS (SELECT worker, row_number() OVER (PARTITION BY worker ORDER BY g) - 1 AS i, 1 AS n, g AS s, g * g AS q, g AS low FROM g)" + merging_sql(bins, 8) if codec == "least_squares" else ""
     end = "SELECT key, round(sum(d) / 4, 9) AS g FROM coded GROUP BY key"
     if codec == "float":
         return _grad_sql("logistic", False, True) + ", coded AS (SELECT key, g::FLOAT::DOUBLE AS d FROM g) " + end
@@ -143,7 +146,7 @@ def _coded_sql(codec: str, bins: int = 32) -> str | None:
         return _grad_sql("logistic", False, True) + f", norms AS (SELECT worker, sqrt(sum(g * g)) AS norm FROM g GROUP BY worker), coded AS (SELECT key, sign(g) * {size} / 127 * norm AS d FROM g JOIN norms USING (worker)) " + end
     if codec in split:
         return (
-            _grad_sql("logistic", False, True) + f", lim AS (SELECT worker, min(g) AS lo, max(g) AS hi FROM g GROUP BY worker), sp AS ({split[codec]}), "
+            _grad_sql("logistic", False, True) + merge + f", lim AS (SELECT worker, min(g) AS lo, max(g) AS hi FROM g GROUP BY worker), sp AS ({split[codec]}), "
             "mid AS (SELECT worker, row_number() OVER w - 1 AS bin, 0.5::DOUBLE * (coalesce(lag(b) OVER w, lo) + b) AS d FROM (SELECT worker, v AS b, 0 AS k FROM sp UNION ALL SELECT worker, hi, 1 FROM lim) JOIN lim USING (worker) WINDOW w AS (PARTITION BY worker ORDER BY k, b)), "
             "coded AS (SELECT b.key, mid.d FROM (SELECT g.worker, g.key, (SELECT count(*) FROM sp WHERE sp.worker = g.worker AND sp.v <= g.g) AS bin FROM g) b JOIN mid ON mid.worker = b.worker AND mid.bin = b.bin) " + end
         )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import codecs, compressors, minmax, order, quantiles, quantize, ranks
-from .registry import query, table
+from .registry import merging_sql, query, table
 
 # ---------------------------------------------------------------- vectors
 
@@ -189,7 +189,16 @@ def zip_first_merge_errors(spark, d):
     return rows.groupBy(F.expr("r div 2").alias("pair")).agg(F.count("*").alias("n"), F.round(F.sum(x * x) - F.sum(x) * F.sum(x) / F.count("*"), 2).alias("error"))
 
 
-@query("zip_quantize")
+def _zip_sql(bins: int, grid: int = 16) -> str:
+    """From ``grid`` equal shares a bin, merged; then the bins of all values and their midpoints."""
+    return (
+        _split_sql("customer", "c_acctbal", bins * grid) + ", p0 AS (SELECT 0 AS worker, row_number() OVER (ORDER BY bin) - 1 AS i, count(*) AS n, sum(v) AS s, sum(v * v) AS q, min(v) AS low FROM bn GROUP BY bin)" + merging_sql(bins, 16)
+        + ", zs AS (SELECT DISTINCT low AS v FROM p16 WHERE i > 0), zb AS (SELECT row_number() OVER (ORDER BY k, b) - 1 AS bin, 0.5::DOUBLE * (coalesce(lag(b) OVER (ORDER BY k, b), (SELECT lo FROM lim)) + b) AS mid FROM (SELECT v AS b, 0 AS k FROM zs UNION ALL SELECT hi, 1 FROM lim)), "
+        + "zn AS (SELECT (SELECT count(*) FROM zs WHERE zs.v <= x.v) AS bin FROM x) SELECT zn.bin, count(*) AS n, round(max(zb.mid), 6) AS mid FROM zn JOIN zb ON zn.bin = zb.bin GROUP BY zn.bin"
+    )
+
+
+@query("zip_quantize", _zip_sql(64))
 def zip_quantize(spark, d):
     return _binned(table(spark, d, "customer"), "c_acctbal", "least_squares", 64)
 
