@@ -3,6 +3,11 @@
 Rows of the result: one for each document that the mix takes, as often as it takes it (doc_id, n_tokens, ids_sha256,
 decoded_sha256). SQL cannot express the learned and seeded stages, so the query is tested against its stages' own
 brute-force versions.
+
+Every stage but the last gives rows with the columns that it got, whatever they are called. Null and empty texts pass
+toxicity, near copies and secrets as they are and have no words to be mixed, so mixing drops them. Rows without an id
+are judged like others and never taken for copies. Repeated rows count as one document for near copies. Very long texts
+are worked on whole. A table without rows stays without rows.
 """
 
 from __future__ import annotations
