@@ -2,12 +2,14 @@
 
 Equal vectors of a label form a class that is searched once. Classes of a label are dealt to shards by a hash, so that
 a label with a third of all rows is many shards; a shard gets a graph of its own. Every class is searched for in every
-shard of its label (each pair of shards once). Before it answers, a shard takes an audit: queries by the smallest ids
-among its members are compared with an exact scan, and the beam is doubled until recall passes; a query whose
-whole beam lies within the threshold is asked again with a wider beam, so that there is no cap on partners. Found pairs
+shard of its label (each pair of shards once). Before it answers, a shard takes an audit: queries are compared with an exact scan, and the beam is doubled until
+recall passes (a beam of a quarter of the graph is an exact scan itself); a query whose whole beam lies within the threshold is asked again with a wider beam, so that there is no cap on partners. Found pairs
 are verified by cosine in double precision. A task gives, for each class, its number of links and the root of its
 union, never all pairs; these edges are united by connected components.
 
+The audit takes members in a seeded order, without each one's match with itself, until LEAST_LINKS true links have been
+compared or all members. Queries that come from other shards are audited as well: AUDIT_ASKED of each batch of them.
+
 Defined results
   vectors that are null, zero, or hold null or non-finite components, null labels, null ids: linked with nothing.
   vectors of a label with different lengths: linked only with those of their length. Repeated ids: a row each, a copy
@@ -24,39 +26,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .components import components
+from .components import components, roots
 from .hnsw import Graph
 
-#: Classes of a shard, about; first beam; audited queries of a shard and the recall they must reach.
-SHARD, BEAM, AUDIT, RECALL = 2048, 32, 64, 0.999
+#: Classes of a shard, about; first beam; members that an audit takes at a time, and the links that it wants to compare;
+#: audited queries of a batch from other shards; the recall that audits must reach.
+SHARD, BEAM, AUDIT, LEAST_LINKS, AUDIT_ASKED, RECALL = 4096, 32, 64, 200, 16, 0.999
 #: The graph compares in single precision: it keeps pairs from so far below the threshold.
 MARGIN = 1e-4
 
 
-def audited_beam(graph: Graph, least: float, beam: int = BEAM) -> int:
-    """The first beam at which the links of the audited members are found."""
-    q = graph.x[:AUDIT]
-    exact = {(r, c) for r, c in zip(*(a.tolist() for a in np.nonzero(q @ graph.x.T >= least)), strict=True)}
-    while 4 * beam < len(graph.x):
-        rows, nodes = graph.within(q, least, beam)
-        if len(exact & set(zip(rows.tolist(), nodes.tolist(), strict=True))) >= RECALL * len(exact):
-            break
-        beam *= 2
-    return beam
+def passes(graph: Graph, q: np.ndarray, own: np.ndarray, least: float, beam: int) -> tuple[bool, int]:
+    """Whether a beam finds the links of these queries, and how many there are; own: the node that a query is itself, or -1."""
+    r, c = np.nonzero(q @ graph.x.T >= least)
+    exact = {(x, y) for x, y in zip(r.tolist(), c.tolist(), strict=True) if own[x] != y}
+    r, c = graph.within(q, least, beam)
+    return len(exact & set(zip(r.tolist(), c.tolist(), strict=True))) >= RECALL * len(exact), len(exact)
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least member of each member's union, by repeated hooking and jumping."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
+def audited_beam(graph: Graph, least: float, beam: int = BEAM, seed: int = 9) -> int:
+    """The first beam at which the links of the audited members are found."""
+    order, compared = np.random.default_rng(seed).permutation(len(graph.x)), 0
+    for k in range(0, len(order), AUDIT):
+        own = order[k : k + AUDIT]
+        while 4 * beam < len(graph.x):
+            good, links = passes(graph, graph.x[own], own, least, beam)
+            if good:
+                break
+            beam *= 2
+        else:
+            return beam
+        compared += links
+        if compared >= LEAST_LINKS:
+            return beam
+    return beam
 
 
 class _Shard:
@@ -85,14 +88,19 @@ class _Shard:
 
     def asked(self, rows: pd.DataFrame) -> pd.DataFrame:
         v = np.stack(rows["v"].to_numpy()).astype(np.float64)
-        r, c = self._links(v, np.sqrt((v * v).sum(1)))
+        norm = np.sqrt((v * v).sum(1))
+        some = np.random.default_rng(len(v)).permutation(len(v))[:AUDIT_ASKED]
+        q = (v[some] / norm[some, None]).astype(np.float32)
+        while 4 * self.beam < len(self.ids) and not passes(self.graph, q, np.full(len(q), -1), self.least - MARGIN, self.beam)[0]:
+            self.beam *= 2  # for what comes after as well
+        r, c = self._links(v, norm)
         return self._summed(np.concatenate([self.ids, rows["id"].to_numpy()]), np.concatenate([self.n, rows["n"].to_numpy()]), c, r + len(self.ids))
 
     @staticmethod
     def _summed(ids: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
         links = np.bincount(a, n[b], len(ids)) + np.bincount(b, n[a], len(ids))
         some = links > 0
-        return pd.DataFrame({"id": ids[some], "links": links[some].astype(np.int64), "root": ids[_roots(len(ids), a, b)][some]})
+        return pd.DataFrame({"id": ids[some], "links": links[some].astype(np.int64), "root": ids[roots(len(ids), a, b)][some]})
 
 
 def _search(least: float):

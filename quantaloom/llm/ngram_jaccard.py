@@ -24,10 +24,10 @@ at least the threshold. The steps:
    well, since a pair that shares a rarer token is compared there. Whoever has at most a third hot tokens among the 48
    needs no more: a linked pair shares 17 or more of the 48 lowest of its union but with a chance below 1e-9. The rest,
    mostly copies of one passage or one large group of near copies, meets in hot routes: by bands of size (linked sets
-   are of one band or of neighbours), and in blocks of BLOCK classes. First each block is compared with itself; blocks
+   are of one band or of neighbours), and in blocks of BLOCK classes, or fewer if their sets are large. First each block is compared with itself; blocks
    are drawn anew for each of two tokens, so a dense group of any size becomes one component by work in proportion to
-   it. Only then blocks meet blocks, where a route still has several components; its largest one is not compared with
-   itself.
+   it. Only then do all hot tokens make routes, those that more than the largest component of all has, and blocks meet
+   blocks where a route has several components; its largest one is not compared with itself.
 6. Components. Edges are united in Spark.
 
 Defined results
@@ -44,12 +44,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
-from .components import components
+from .components import components, extended
 from .shingles import shingle_sets
 
 #: Lowest hashes of a set that make its routes; and those of a class with hot tokens.
@@ -58,8 +59,8 @@ SKETCH, DEEP = 16, 48
 BITS, FAN = 1024, 8
 #: Sets of up to twice this size are taken whole by the first bitmap.
 FULL = 350
-#: Classes of a route, or of a block of a hot one; hot routes of a class before blocks meet blocks.
-BLOCK, FIRST_ROUTES = 512, 2
+#: Classes of a route, or of a block of a hot one; hot routes of a class before blocks meet blocks, and classes of those.
+BLOCK, FIRST_ROUTES, WIDE = 512, 2, 2048
 #: Node pairs that are compared at a time; rows, and bytes of sets, of whole routes that are held at a time.
 FRONTIER, ROWS, SET_BYTES = 4096, 8192, 32 << 20
 #: Ids that are broadcast, at most (8 bytes each), to pick texts; more are met in a shuffled join.
@@ -339,6 +340,20 @@ def _with_tokens(classes: DataFrame, sketch: Column, own: str, hot: str) -> Data
     return classes.join(found, "id") if own == "own" else classes.join(found, "id", "left").withColumns({k: F.coalesce(k, F.array().cast("array<long>")) for k in (own, hot)})
 
 
+def _among(column: str, wanted: DataFrame) -> Column:
+    """Those of an array of tokens that the table has; all of them, where it is too long to be sent to all tasks."""
+    if wanted.count() > BROADCAST_IDS:
+        return F.col(column)
+    tokens = np.sort(wanted.toPandas()["token"].to_numpy(np.int64))
+    sent = wanted.sparkSession.sparkContext.broadcast(tokens)
+
+    @F.pandas_udf("array<long>")
+    def kept(held: pd.Series) -> pd.Series:
+        return held.map(lambda v: np.asarray(v, np.int64)[np.isin(v, sent.value, assume_unique=True)])
+
+    return kept(column)
+
+
 def _grouped(docs: DataFrame, num: int, den: int, width: int, id: str, text: str, key: Column) -> DataFrame:
     """(id, key, n, group, component_id) for every row: the number of its component, and the least id in it.
 
@@ -367,33 +382,42 @@ def _grouped(docs: DataFrame, num: int, den: int, width: int, id: str, text: str
     smaller = lambda tokens: F.filter(tokens, lambda x: x < F.col("token"))
     flat = lambda df, under, part: df.select("id", "comp", "n", "bitmap", under.alias("below"), "token", part.cast("long").alias("part"), F.col("side") if "side" in df.columns else F.lit(0).alias("side"))
     routes = flat(members.select(*row, "own", F.explode("own").alias("token")), smaller("own"), F.lit(-1))
+    step = 1 / t * (1 + 1e-9)  # of sizes from one band to the next
+    room = lambda classes: F.greatest(F.lit(classes // 16), F.least(F.lit(classes), F.floor(classes * FULL / F.pow(F.lit(step), F.col("band") + 1))))  # noqa: E731  fewer large sets to a block
+
+    def banded(df: DataFrame, tokens: Column) -> DataFrame:
+        """Rows by (token, band): a class is in its own band, and with smaller classes of the band before that it may link with."""
+        rows = df.withColumn("token", F.explode(tokens)).withColumn("of", F.floor(F.log("n") / float(np.log(step))))
+        tops = rows.groupBy("token", F.col("of").alias("band")).agg(F.max("n").alias("top"))
+        both = rows.withColumn("band", F.explode(F.array("of", F.col("of") - 1))).join(tops, ["token", "band"])
+        return both.where((F.col("of") == F.col("band")) | (F.col("n") * t <= F.col("top") + 1e-9)).drop("of", "top")
+
     deep = cut(members.where(F.size("hot") > 0))
-    blocks = None
+    hot = None
     if not deep.isEmpty():
         deep = cut(_with_tokens(deep, F.col("sketch"), "own2", "hot2"))
         routes = routes.union(flat(deep.select(*row, "own", "own2", F.explode("own2").alias("token")), F.concat("own", smaller("own2")), F.lit(-2)))
-        band = F.floor(F.log("n") / float(np.log(1 / t) * (1 + 1e-9)))
-        hot = deep.where(3 * F.size("hot2") > F.size("sketch")).withColumn("band", F.explode(F.array(band, band - 1)))
-        hot = hot.select(*row, "band", F.concat("own", "own2").alias("own"), "hot", F.posexplode(F.array_sort("hot")).alias("k", "token"))
-        size = cut(hot.groupBy("token", "band").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK)))
-        placed = hot.join(size, ["token", "band"])
+        hot = cut(deep.where(3 * F.size("hot2") > F.size("sketch")).select(*row, "own", F.array_sort("hot").alias("hot")))
+        first = banded(hot, F.slice("hot", 1, FIRST_ROUTES))
+        size = first.groupBy("token", "band").count().withColumn("blocks", F.ceil(F.col("count") / room(BLOCK)))
         mine = F.pmod(F.xxhash64("id", "token"), F.col("blocks"))
-        routes = routes.union(flat(placed.where((F.col("k") < FIRST_ROUTES) | (F.col("blocks") == 1)), F.col("own"), (F.col("band") + 1) * 2**32 + mine))
-        blocks = placed.where("blocks > 1")
-    links = linked(routes)
-    comp = cut(components(links))
-    if blocks is not None and not blocks.isEmpty():
-        now = blocks.drop("comp").join(comp.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        held = now.groupBy("token", "band", "comp").agg(F.count("*").alias("c")).groupBy("token", "band").agg(F.max_by("comp", "c").alias("main"), F.max("c").alias("in_main"), F.sum("c").alias("c"))
-        held = cut(held.where("in_main < c").withColumns({"others": F.ceil((F.col("c") - F.col("in_main")) / BLOCK), "mains": F.ceil(F.col("in_main") / BLOCK)}))
-        if not held.isEmpty():
+        routes = routes.union(flat(first.join(size, ["token", "band"]), F.col("own"), (F.col("band") + 1) * 2**40 + mine))
+    comp = cut(components(linked(routes)))
+    if hot is not None:
+        now = cut(hot.drop("comp").join(comp.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+        largest = now.groupBy("comp").count().agg(F.max_by("comp", F.struct("count", "comp"))).first()[0]
+        # Routes that only the largest component has are left out before rows are made of them.
+        wanted = cut(now.where(F.col("comp") != largest).select(F.explode("hot").alias("token")).distinct()) if largest is not None else None
+        if wanted is not None and not wanted.isEmpty():
+            now = banded(now.withColumn("meet", _among("hot", wanted)), F.col("meet"))
+            held = now.groupBy("token", "band", "comp").agg(F.count("*").alias("c")).groupBy("token", "band").agg(F.max_by("comp", "c").alias("main"), F.max("c").alias("in_main"), F.sum("c").alias("c"))
+            held = cut(held.where("in_main < c").withColumns({"others": F.ceil((F.col("c") - F.col("in_main")) / room(WIDE)), "mains": F.ceil(F.col("in_main") / room(WIDE))}))
             is_main = F.col("comp") == F.col("main")
             place = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))) + F.when(is_main, F.col("others")).otherwise(0)
             meets = F.sequence(F.lit(0).cast("long"), F.col("others") + F.when(is_main, 0).otherwise(F.col("mains")) - 1)
             met = now.join(held, ["token", "band"]).withColumn("mine", place).withColumn("o", F.explode(meets)).withColumn("side", (F.col("mine") > F.col("o")).cast("int"))
             pair = F.least("mine", "o") * (F.col("others") + F.col("mains")) + F.greatest("mine", "o")
-            links = links.union(linked(flat(met, F.concat("own", smaller("hot")), (F.col("band") + 1) * 2**32 + pair)))
-            comp = cut(components(links))
+            comp = cut(extended(comp, linked(flat(met, F.concat("own", smaller("hot")), (F.col("band") + 1) * 2**40 + pair))))
     comp = None if comp.isEmpty() else comp
 
     known = classes.select("digest", "id", "doc")
