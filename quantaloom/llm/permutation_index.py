@@ -14,9 +14,13 @@ are posted once and expanded to their smallest ids. How many vectors are ranked
 queries by the smallest hashes of their ids, up to AUDIT of them, compares with brute force over all rows, and doubles
 the share until recall passes; at a share of 1 the search is exact.
 
+Vectors of each length are an index of their own.
+
 Defined results
-  vectors that are null, zero, of another length than most, or hold null or non-finite components: take no part.
-  null ids: take no part. Repeated ids: candidates of their own, never of a query with that id; the query is asked once.
+  vectors that are null, zero, or hold null or non-finite components: take no part. A query is compared with vectors of
+  its length; one with none of them has no rows.
+  null ids: take no part. Repeated ids: candidates of their own, never of a query with that id; the query is asked once, by the
+  least of its vectors.
   ties: the smaller id. Fewer candidates than k: all. Empty table or no queries: no rows. Extra columns: ignored.
 """
 
@@ -144,15 +148,20 @@ class Searcher:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id", vector: str = "embedding", seed: int = 11, pivots: int = PIVOTS, places: int = PLACES, recall: float = RECALL, first_share: float = FIRST_SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row of ``queries`` among ``vectors``."""
-    spark = vectors.sparkSession
-    asked = usable(queries, id, vector)
+    asked = usable(queries, id, vector).groupBy("id").agg(F.min("v").alias("v"))
     clean = usable(vectors, id, vector)
-    shape = clean.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm2")).orderBy(F.desc("n"), "d").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if shape is None:
-        return empty
-    clean, asked = clean.where(F.size("v") == shape["d"]), asked.where(F.size("v") == shape["d"]).dropDuplicates(["id"])
-    largest, n = float(np.sqrt(shape["norm2"])), shape["n"]
+    lengths = clean.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm2")).orderBy("d").collect()
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in lengths:  # one, as a rule
+        of = lambda df, d=r["d"]: df.where(F.size("v") == d)
+        part = _search(of(clean), of(asked), r["n"], float(np.sqrt(r["norm2"])), k, seed, pivots, places, recall, first_share)
+        if part is not None:
+            out = part if len(lengths) == 1 else out.unionByName(part)
+    return out
+
+
+def _search(clean: DataFrame, asked: DataFrame, n: int, largest: float, k: int, seed: int, pivots: int, places: int, recall: float, first_share: float) -> DataFrame | None:
+    """The same for n clean vectors (id, v) of one length; nothing without queries."""
     sample = clean.orderBy(F.xxhash64(F.lit(seed), "v"), "id").select("v").limit(4 * pivots).toPandas()["v"]  # bounded
     points = np.unique(np.stack(sample.to_numpy()).astype(np.float64), axis=0)
     points = points[np.random.default_rng(seed).permutation(len(points))[:pivots]]
@@ -171,7 +180,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_i
     audit = cut(asked.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(AUDIT))
     truth = {(r["query_id"], r["rank"]): r["score"] for r in top(found(audit, 1.0)).collect()}  # AUDIT times k rows
     if not truth:
-        return empty
+        return None
     share = first_share
     while share < 1:
         got: dict[int, list[float]] = {}
