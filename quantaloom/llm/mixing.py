@@ -17,7 +17,6 @@ Defined results
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -30,6 +29,8 @@ from .common import cut
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a pattern that share a bucket of the seeded order, about.
 BUCKET_ROWS = 20_000
+#: Patterns whose plan is broadcast, at most; more are met in a shuffled join.
+BROADCAST_PATTERNS = 100_000
 
 
 def quotas(sizes: dict, weights: dict, most: float) -> dict:
@@ -58,56 +59,79 @@ def whole_numbers(targets: dict) -> dict:
     return base
 
 
-def min_cost_flow(supply: list[int], member: list[list[int]], quota: list[int], most: int) -> list[list[int]]:
+def min_cost_flow(supply: list[int], member: list[list[int]], quota: list[int], most: int) -> list[dict[int, int]]:
     """Words that each pattern sends to each of its sources: as much as quotas take, at least cost.
 
-    Successive shortest paths over source, repetition arcs, patterns, quotas, sink.
+    The network: start, patterns, quotas, sink; only the repetition arcs from the start to a pattern cost anything, the
+    k-th of them k - 1 a word. An augmenting path leaves the start by one of them and never comes back there, so its cost
+    is that arc's: shortest paths come in the order of k. Level by level, then, the next repetition is opened and the flow
+    is brought to its maximum by blocking flows, which works for tens of thousands of patterns.
     """
     n, m = len(supply), len(quota)
-    start, sink = n + m, n + m + 1
-    head: list[list[int]] = [[] for _ in range(n + m + 2)]
-    to, room, cost = [], [], []
-
-    def arc(a: int, b: int, capacity: int, price: int) -> int:
-        for x, y, c, p in ((a, b, capacity, price), (b, a, 0, -price)):
-            head[x].append(len(to))
-            to.append(y)
-            room.append(c)
-            cost.append(p)
-        return len(to) - 2
-
-    for i, s in enumerate(supply):
-        for k in range(most):
-            arc(start, i, s, k)
-    sent = [[(j, arc(i, n + j, most * supply[i], 0)) for j in js] for i, js in enumerate(member)]
-    for j, q in enumerate(quota):
-        arc(n + j, sink, q, 0)
-    while True:
-        far, by, queue, queued = {start: 0}, {}, deque([start]), {start}
-        while queue:
-            a = queue.popleft()
-            queued.discard(a)
-            for e in head[a]:
-                if room[e] and far[a] + cost[e] < far.get(to[e], 1 << 60):
-                    far[to[e]], by[to[e]] = far[a] + cost[e], e
-                    if to[e] not in queued:
-                        queued.add(to[e])
-                        queue.append(to[e])
-        if sink not in far:
-            break
-        path, at = [], sink
-        while at != start:
-            path.append(by[at])
-            at = to[by[at] ^ 1]
-        most_now = min(room[e] for e in path)
-        for e in path:
-            room[e] -= most_now
-            room[e ^ 1] += most_now
-    out = [[0] * m for _ in range(n)]
-    for i, arcs in enumerate(sent):
-        for j, e in arcs:
-            out[i][j] = room[e ^ 1]
-    return out
+    flow: list[dict[int, int]] = [{} for _ in range(n)]
+    holders: list[set[int]] = [set() for _ in range(m)]  # patterns that send to a quota
+    left, room = [0] * n, list(quota)
+    for _ in range(most):
+        left = [x + s for x, s in zip(left, supply, strict=True)]
+        while True:
+            # Layers: patterns with words left, quotas, patterns that could send elsewhere, and so on up to a quota with room.
+            at_p, at_q = {i: 0 for i in range(n) if left[i]}, {}
+            front, depth, end = list(at_p), 0, None
+            while front and end is None:
+                reached = []
+                for i in front:
+                    for j in member[i]:
+                        if j not in at_q:
+                            at_q[j] = depth + 1
+                            reached.append(j)
+                if any(room[j] for j in reached):
+                    end = depth + 1
+                front = []
+                if end is None:
+                    for j in reached:
+                        for i in holders[j]:
+                            if i not in at_p:
+                                at_p[i] = depth + 2
+                                front.append(i)
+                depth += 2
+            if end is None:
+                break
+            back = {j: [i for i in holders[j] if at_p.get(i) == d + 1] for j, d in at_q.items() if d < end}
+            onward = {i: [j for j in reversed(member[i]) if at_q.get(j) == d + 1] for i, d in at_p.items()}
+            for first in [i for i, d in at_p.items() if d == 0]:
+                path: list[int] = [first]  # pattern, quota, pattern, ..
+                while path and left[first]:
+                    i = path[-1]
+                    if not onward[i]:  # a dead end: the quota before it loses this way
+                        path.pop()
+                        if path:
+                            back[path.pop()].pop()
+                        continue
+                    j = onward[i][-1]
+                    if at_q[j] == end:
+                        if not room[j]:
+                            onward[i].pop()
+                            continue
+                        path.append(j)
+                        sent = min([left[first], room[j], *(flow[path[k + 1]][path[k]] for k in range(1, len(path) - 1, 2))])
+                        left[first] -= sent
+                        room[j] -= sent
+                        for k in range(0, len(path), 2):
+                            flow[path[k]][path[k + 1]] = flow[path[k]].get(path[k + 1], 0) + sent
+                            holders[path[k + 1]].add(path[k])
+                        for k in range(1, len(path) - 1, 2):
+                            flow[path[k + 1]][path[k]] -= sent
+                            if not flow[path[k + 1]][path[k]]:
+                                holders[path[k]].discard(path[k + 1])
+                        path = path[:1]
+                        continue
+                    while back[j] and not flow[back[j][-1]].get(j):
+                        back[j].pop()
+                    if back[j]:
+                        path += [j, back[j][-1]]
+                    else:
+                        onward[i].pop()
+    return flow
 
 
 def cycling_weights(sources: list) -> dict:
@@ -129,7 +153,10 @@ def _decided(docs: DataFrame, sources, id: str, text: str, weights: Callable[[li
     narrow = cut(full.drop("row"))
     patterns = narrow.groupBy("sources").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     names = sorted({s for p in patterns for s in p["sources"]}, key=lambda s: (s is None, s or ""))
-    sizes = {s: sum(p["size"] for p in patterns if s in p["sources"]) for s in names}
+    sizes = dict.fromkeys(names, 0)
+    for p in patterns:
+        for s in p["sources"]:
+            sizes[s] += p["size"]
     # Overlapping sources hold some words twice; the words to share out are those there are.
     total, held = sum(p["size"] for p in patterns), sum(sizes.values())
     scale = total / held if held else 1.0
@@ -138,14 +165,14 @@ def _decided(docs: DataFrame, sources, id: str, text: str, weights: Callable[[li
     index = {s: i for i, s in enumerate(names)}
     flow = min_cost_flow([p["size"] for p in patterns], [[index[s] for s in p["sources"]] for p in patterns], [whole[s] for s in names], most)
 
-    plan = [(p["sources"], *(divmod(sum(sent), p["size"]) if p["size"] else (0, 0))) for p, sent in zip(patterns, flow, strict=True)]
+    plan = [(p["sources"], *(divmod(sum(sent.values()), p["size"]) if p["size"] else (0, 0))) for p, sent in zip(patterns, flow, strict=True)]
     largest = max([p["rows"] for p in patterns], default=0)
     buckets = 1 << max(10, (largest // BUCKET_ROWS).bit_length())
     names_of = T.StructField("sources_", T.ArrayType(T.StringType()))
     numbers = lambda *n: [T.StructField(k, T.LongType()) for k in n]
     match = F.col("sources").eqNullSafe(F.col("sources_"))
-    # One row for each pattern: as many as the driver has just held.
-    planned = F.broadcast(spark.createDataFrame(plan, T.StructType([names_of, *numbers("passes", "rest")])))
+    near = F.broadcast if len(patterns) <= BROADCAST_PATTERNS else (lambda df: df)
+    planned = near(spark.createDataFrame(plan, T.StructType([names_of, *numbers("passes", "rest")])))
 
     def with_plan(rows: DataFrame) -> DataFrame:
         return rows.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets))).join(planned, match).drop("sources_")
@@ -154,7 +181,7 @@ def _decided(docs: DataFrame, sources, id: str, text: str, weights: Callable[[li
     sums = with_plan(narrow).groupBy("sources", "rest", "bucket").agg(F.sum("size").alias("words"))
     edge = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("sources").orderBy("bucket"))).where("upto > rest and upto - words <= rest")
     edges = [(r["sources"], r["bucket"], r["before"]) for r in edge.select("sources", "bucket", (F.col("upto") - F.col("words")).alias("before")).collect()]
-    ends = F.broadcast(spark.createDataFrame(edges, T.StructType([names_of, *numbers("edge", "before")])))
+    ends = near(spark.createDataFrame(edges, T.StructType([names_of, *numbers("edge", "before")])))
     rows = with_plan(full if whole_rows else narrow).join(ends, match, "left").drop("sources_")
     outside = rows.where("edge is null or bucket <> edge").withColumn("more", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(0))
     inside = rows.where("bucket = edge").withColumn("past", F.sum("size").over(Window.partitionBy("sources", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)))
