@@ -25,6 +25,17 @@ def runs(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, least: int) -
     return starts[keep], ends[keep]
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as disjoint spans in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 class CodePoints:
     """Code points before each byte of a chunk, counted from the start of the row; made when first asked for."""
 

@@ -1,12 +1,16 @@
 """Personal data: fixed patterns, and spans decoded by a character-level BiLSTM-CRF.
 
-The tagger (lstm_crf.py) is trained on the driver from labelled spans: the base spans of a bounded sample of texts, put
-into varied surroundings, with variants that the patterns miss (spelt-out addresses, numbers without a plus sign in
-groups) and with look-alikes that are no personal data (versions, prices, dates, codes). It then reads every character
-of every text in overlapping windows. A window decides only for its middle, and for its outer part where the text ends,
-so that every character is decided once; runs of a tag that go on in the next window are joined.
-
-A decoded span is added if it is clear of base spans and long enough for its kind; base spans always stay.
+The tagger (lstm_crf.py) is trained on the driver from labelled spans: stretches of a bounded sample of texts with their
+base spans, and with examples put in: spans of the patterns' forms, of forms that the patterns miss (spelt-out
+addresses, numbers without a plus sign in groups, other separators), and look-alikes that are no personal data
+(versions, prices, dates, codes). The stretches are drawn in tasks from whole texts, so what the driver gets is bounded
+whatever the length of texts. The tagger then reads every character of every text in overlapping windows. A window
+decides only for its middle, and for its outer part where the text ends, so that every character is decided once; runs
+of a tag that go on in the next window are joined.
+
+A decoded span is added if it is clear of base spans, stands alone, and its numbers fit its kind as the base kinds ask
+(parts of at most 255, a card's check digit, the count of a phone's digits); its form is the tagger's to judge. Base
+spans always stay.
 
 Defined results
   null or empty text: no spans, the digest of nothing. Repeated and null ids: a row each. Very long texts: whole, in
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import CONTINUATION, CodePoints
+from .bytescan import CONTINUATION, CodePoints, merged
 from .common import small_batches
 from .lstm_crf import MARGIN, STEP, WINDOW, Tagger
 from .shingles import text_chunks
@@ -39,9 +43,9 @@ CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = np.zeros(256, bool)
 _LOCAL[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")] = True
-#: Texts of the training sample; windows made from it; steps of training; characters of a training window. Added spans
-#: are at least so long.
-SAMPLE, WINDOWS, STEPS, LENGTH = 400, 6000, 260, 72
+#: Texts of the training sample; stretches of each, and their characters before and behind the training window; windows
+#: made from them; steps of training; characters of a training window. Added spans are at least so long.
+SAMPLE, STRETCHES, AROUND, WINDOWS, STEPS, LENGTH = 400, 16, 200, 6000, 450, 72
 LEAST = {"email": 8, "ip": 7, "card": 13, "phone": 9}
 
 
@@ -90,37 +94,67 @@ def _digits(rng, shape: str) -> str:
 
 
 def _card(rng) -> str:
-    body = _digits(rng, "4" + "#" * 14)
+    body = _digits(rng, str(rng.choice(["4", "5", "34", "6"])) + "#" * int(rng.choice([11, 13, 14, 14, 14])))
     last = next(d for d in "0123456789" if luhn((body + d).encode()))
-    sep = rng.choice(["", " ", "-"])
-    return sep.join((body + last)[i : i + 4] for i in range(0, 16, 4))
+    sep, step = str(rng.choice(["", " ", "-", ".", "  "], p=[0.25, 0.25, 0.25, 0.15, 0.1])), int(rng.choice([4, 4, 4, 5]))
+    return sep.join((body + last)[i : i + step] for i in range(0, len(body) + 1, step))
+
+
+def _email(rng, a: str, b: str, c: str) -> str:
+    at = str(rng.choice(["@", " @ ", "(at)", " (at) ", "[at]", " [at] ", "<at>", " <at> ", "(AT)"]))
+    dot = str(rng.choice([".", ".", "(dot)", " (dot) ", "[dot]", " [dot] ", "<dot>", "(DOT)"])) if at != "@" else "."
+    local = str(rng.choice([f"{a}.{b}", f"{a}_{b}", f"{a}{rng.integers(100)}", a, f"{a}-{b}"]))
+    return f"{local}{at}{c}{dot}{rng.choice(['com', 'org', 'net', 'de', 'info', 'co'])}"
+
+
+def _phone(rng) -> str:
+    groups = [0]
+    while not 9 <= sum(groups) <= 13:
+        groups = [int(rng.integers(2, 7)) for _ in range(int(rng.integers(2, 6)))]
+    seps = ["", *([str(rng.choice([" ", "-", ".", "/"]))] * (len(groups) - 1))]
+    if rng.random() < 0.3:
+        seps[1] = str(rng.choice([" ", "-", "/", "."]))
+    parts = [_digits(rng, "#" * g) for g in groups]
+    if rng.random() < 0.3:
+        k = int(rng.integers(2))
+        parts[k] = f"({parts[k]})"
+    return str(rng.choice(["+", "", "00", "1-"], p=[0.3, 0.55, 0.1, 0.05])) + "".join(s + p for s, p in zip(seps, parts, strict=True))
 
 
 def _example(rng, words: list[str]) -> tuple[int, str]:
     """(kind, text) of a span; kind -1: something that only looks like one."""
     a, b, c = (str(rng.choice(words)).lower() for _ in range(3))
-    kind = int(rng.integers(-1, 4))
+    kind = int(rng.integers(-2, 4))
     if kind == 0:
-        return 0, str(rng.choice([f"{a}.{b}@{c}.com", f"{a}{rng.integers(100)}@{b}.{c}.org", f"{a} (at) {b} (dot) com", f"{a}(at){b}.net", f"{a}[at]{b}[dot]org", f"{a}.{b} @ {c}.com"]))
+        return 0, _email(rng, a, b, c)
     if kind == 1:
-        parts = [str(rng.integers(256)) for _ in range(4)]
-        return 1, str(rng.choice([".".join(parts), "[.]".join(parts), ".".join(parts)]))
+        return 1, str(rng.choice([".", ".", "[.]", "(.)", " . ", "-dot-"])).join(str(rng.integers(256)) for _ in range(4))
     if kind == 2:
         return 2, _card(rng)
     if kind == 3:
-        return 3, _digits(rng, str(rng.choice(["+# ### ### ####", "+## ### #######", "(###) ###-####", "+#-###-###-####", "###-###-####", "+#########", "+## (#) ## ## ## ##"])))
-    return -1, _digits(rng, str(rng.choice([f"{a}: {b}", "v#.#.#", "##.##", "$#,###.##", "####-##-##", "##:##", "#####", f"{a}-{b}-{c}", f"www.{a}.com/{b}", "###", f"{a}@", "########", f"(#) {b}", "#.#", "1,234,567", "a1b2c3d4e5f6"])))
+        return 3, _phone(rng)
+    looks = [f"{a}: {b}", "v#.#.#", "##.##", "$#,###.##", "####-##-##", "##:##", "#####", f"{a}-{b}-{c}", f"www.{a}.com/{b}", "###", f"{a}@", "########", f"(#) {b}", "#.#", "1,234,567", "a1b2c3d4e5f6"]
+    looks += [f"{a} at {b}", f"{a} at {b}. {c}", f"{a}.{b}", f"@{a}", f"{a} (at {b}) {c}", f"{a} ({b}) {c}", f"{a} [{b}] {c}.", "####-##-##T##:##:##", "##/##/####", "####, ####, ####", "# + # = ##", "[##]", "##.##.####", "#.#.#.#.#.#", "### ###", f"{a}[##]", f"##-{a}-####", "##,###,###,###", "id ############", "no. ################"]
+    return -1, _digits(rng, str(rng.choice(looks)))
+
+
+def stretches_of(text: str, n: int = STRETCHES, seed: int = 0) -> list[tuple[str, int]]:
+    """(stretch, place of the training window in it), drawn from all of a text."""
+    rng, out = np.random.default_rng(seed), []
+    for at in rng.integers(max(1, len(text) - LENGTH + 1), size=n).tolist():
+        begin = max(0, at - AROUND)
+        out.append((text[begin : at + LENGTH + AROUND], at - begin))
+    return out
 
 
-def training_windows(texts: list[str], n: int = WINDOWS, seed: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """(characters, tags) of windows: stretches of the texts with their base spans, and with examples put into some."""
+def training_windows(stretches: list[tuple[str, int]], n: int = WINDOWS, seed: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """(characters, tags) of windows: stretches of texts with their base spans, and with examples put into some."""
     rng = np.random.default_rng(seed)
-    texts = [t for t in texts if t and len(t) > 20] or ["plain words stand here, one after the other, and nothing else is said."]
-    words = [w for w in re.findall(r"[A-Za-z]{2,10}", " ".join(t[:2000] for t in texts[:50]))][:2000] or ["name", "site", "mail"]
+    stretches = [s for s in stretches if len(s[0]) > 20] or [("plain words stand here, one after the other, and nothing else is said.", 0)]
+    words = sorted({w for s, _ in stretches for w in re.findall(r"[A-Za-z]{2,10}", s)}) or ["name", "site", "mail"]
     x, y = np.full((n, LENGTH), 256, np.int64), np.zeros((n, LENGTH), np.int64)
     for i in range(n):
-        t = texts[int(rng.integers(len(texts)))]
-        at = int(rng.integers(max(1, len(t) - LENGTH)))
+        t, at = stretches[int(rng.integers(len(stretches)))]
         if i % 3:
             around = t[at : at + LENGTH]
             kind, example = _example(rng, words)
@@ -133,7 +167,7 @@ def training_windows(texts: list[str], n: int = WINDOWS, seed: int = 6) -> tuple
             spans += [(k, a, b) for k, a, b in _char_spans(piece) if not any(s < b and a < e for _, s, e in spans)]
             piece, spans = piece[shift : shift + LENGTH], [(k, a - shift, b - shift) for k, a, b in spans]
         else:
-            spans = [(k, a - at, b - at) for k, a, b in _char_spans(t[max(0, at - 200) : at + LENGTH + 200], max(0, at - 200))]
+            spans = [(k, a - at, b - at) for k, a, b in _char_spans(t)]
             piece = t[at : at + LENGTH]
         lead = np.frombuffer(piece.encode(), np.uint8)
         lead = lead[~CONTINUATION[lead]]
@@ -144,16 +178,16 @@ def training_windows(texts: list[str], n: int = WINDOWS, seed: int = 6) -> tuple
     return x, y
 
 
-def _char_spans(text: str, offset: int = 0) -> list[tuple[int, int, int]]:
+def _char_spans(text: str) -> list[tuple[int, int, int]]:
     raw = text.encode()
     if len(raw) == len(text):
-        return [(k, a + offset, b + offset) for k, a, b in base_spans(raw)]
+        return base_spans(raw)
     points = CodePoints(np.frombuffer(raw, np.uint8))
-    return [(k, int(points(0, a)) + offset, int(points(0, b)) + offset) for k, a, b in base_spans(raw)]
+    return [(k, int(points(0, a)), int(points(0, b))) for k, a, b in base_spans(raw)]
 
 
-def train(texts: list[str], steps: int = STEPS, seed: int = 6, batch: int = 128) -> Tagger:
-    x, y = training_windows(texts, seed=seed)
+def train(stretches: list[tuple[str, int]], steps: int = STEPS, seed: int = 6, batch: int = 128) -> Tagger:
+    x, y = training_windows(stretches, seed=seed)
     rng, tagger, moments = np.random.default_rng(seed), Tagger(len(KINDS) + 1), {}
     for k in range(steps):
         some = rng.integers(0, len(x), batch)
@@ -161,34 +195,50 @@ def train(texts: list[str], steps: int = STEPS, seed: int = 6, batch: int = 128)
     return tagger
 
 
-def sample_texts(docs: DataFrame, most: int = SAMPLE, seed: int = 17, id: str = "doc_id", text: str = "text") -> list[str]:
-    """Texts of the rows with the smallest seeded hashes, of at most 20,000 characters so that the driver's share is bounded."""
-    ids = docs.where(F.col(text).isNotNull() & (F.octet_length(text) <= 20_000)).select(F.xxhash64(F.lit(seed), id).alias("h"), F.col(text).alias("text"))
-    return [r["text"] for r in ids.orderBy("h", "text").limit(most).collect()]
+def sample_stretches(docs: DataFrame, most: int = SAMPLE, seed: int = 17, id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
+    """Stretches of the ``most`` different rows with the smallest seeded hashes; the driver gets nothing longer."""
+    rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.lit(seed), id, text).alias("h"), F.col(text).alias("text"))
+    share = min(1.0, (most + 8 * most**0.5 + 20) / max(1, docs.count()))  # enough rows but with a chance below 1e-14
+    some = rows.where(F.col("h") < int(share * 2**64) - 2**63) if share < 1 else rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(h, *s) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for s in stretches_of(t, seed=h & 0xFFFFFFFF)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int32()))], ["h", "stretch", "at"])
+
+    small_batches(docs.sparkSession)
+    drawn = some.mapInArrow(run, "h long, stretch string, at int").groupBy("h").agg(F.slice(F.array_sort(F.collect_set(F.struct("stretch", "at"))), 1, STRETCHES).alias("s"))
+    return [(x["stretch"], x["at"]) for r in drawn.orderBy("h").limit(most).collect() for x in r["s"]]
 
 
 def fit(docs: DataFrame, **names) -> Tagger:
-    return train(sample_texts(docs, **names))
+    return train(sample_stretches(docs, **names))
 
 
 # ---------------------------------------------------------------- decoding
 
-_SIGN = re.compile(r"@|[(\[]at[)\]]", re.I)
+def of_digits(kind: int, span: str) -> int:
+    """Cards and phones are told apart by the check digit, whichever of them the tagger takes a number for."""
+    if kind < 2:
+        return kind
+    digits = "".join(c for c in span if c in "0123456789")
+    return 2 if 13 <= len(digits) <= 19 and luhn(digits.encode()) else 3
 
 
 def plausible(kind: int, before: str, span: str, after: str) -> bool:
-    """Whether a decoded span stands alone and has the parts that its kind needs."""
+    """Whether a decoded span stands alone, and its numbers are such as its kind has."""
     if len(span) < LEAST[KINDS[kind]] or before.isalnum() or after.isalnum():
         return False
     digits = "".join(c for c in span if c in "0123456789")
-    if kind == 0:
-        return bool(_SIGN.search(span)) and span[0].isalnum() and "." in re.sub(r"[(\[]dot[)\]]", ".", span)
     if kind == 1:
         parts = re.findall("[0-9]+", span)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
         return 13 <= len(digits) <= 19 and luhn(digits.encode())
-    return 9 <= len(digits) <= 15 and any(not c.isalnum() for c in span) and all(not c.isalpha() for c in span)
+    if kind == 3:
+        return 9 <= len(digits) <= 15
+    return not all(c.isalnum() or c in " .,;:!?-_\n" for c in span)  # words alone are no address
+
 
 def window_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first character, text) of every window over texts of so many characters that lie one after the other."""
@@ -240,17 +290,20 @@ def spans_of(tagger: Tagger, raw: np.ndarray, offsets: np.ndarray) -> Iterator[t
         base = []
         if has[i + 1] > has[i]:  # every pattern needs a digit or @
             base = [(q, int(points(a, a + s)), int(points(a, a + e))) for q, s, e in base_spans(raw[a:b].tobytes())]
-        added, decoded = [], None
+        added, decoded, taken, place = [], None, merged([(x, y) for _, x, y in base]), 0
         while k < len(new) and text[k] == i:
             s, e, q = int(new[k] - row[i]), int(end[k] - row[i]), int(kind[k])
-            if e - s >= LEAST[KINDS[q]] and not any(x < e and s < y for _, x, y in base):
+            while place < len(taken) and taken[place][1] <= s:
+                place += 1
+            if e - s >= LEAST[KINDS[q]] and not (place < len(taken) and taken[place][0] < e):
                 if decoded is None:
                     decoded = raw[a:b].tobytes().decode()
                 while s < e and not (decoded[s].isalnum() or decoded[s] in "+(["):  # blanks and stops at the ends
                     s += 1
                 while s < e and not (decoded[e - 1].isalnum() or decoded[e - 1] in ")]"):
                     e -= 1
-                if plausible(q, decoded[s - 1 : s], decoded[s:e], decoded[e : e + 1]):
+                q = of_digits(q, decoded[s:e])
+                if plausible(q, decoded[max(0, s - 1) : s], decoded[s:e], decoded[e : e + 1]):
                     added.append((q, s, e))
             k += 1
         yield base, added
@@ -283,19 +336,20 @@ def find(docs: DataFrame, tagger: Tagger, id: str = "doc_id", text: str = "text"
 
 
 def find_digests(docs: DataFrame, tagger: Tagger, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts and the digest of base spans, and all spans joined, of every row."""
+    """Counts and the digest of base spans, all spans joined, and how many they are, of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digest, spans = [], [], []
+            counts, digest, spans, n_all = [], [], [], []
             for _, raw, offsets in text_chunks(batch.column(1)):
                 for base, added in spans_of(sent.value, raw, offsets):
                     counts.append([sum(k == q for k, _, _ in base) for q in range(4)])
                     digest.append(hashlib.sha256(_joined(base).encode()).hexdigest())
                     spans.append(_joined(sorted(base + added)))
+                    n_all.append(len(base) + len(added))
             table = np.array(counts, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, q]) for q in range(4)), pa.array(digest, pa.string()), pa.array(spans, pa.string())], ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, q]) for q in range(4)), pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(n_all, pa.int64())], ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
-    schema = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     return _rows(docs, id, text).mapInArrow(run, schema).withColumnRenamed("id", id)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import CodePoints, byte_class, runs
+from .bytescan import CodePoints, byte_class, merged, runs
 from .common import cut, small_batches
 from .shingles import text_chunks
 
@@ -101,12 +101,20 @@ def _mixed(token: bytes) -> bool:
     return any(48 <= c < 58 for c in token) and any(c >= 65 for c in token)
 
 
-def _outside(a: int, b: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """The parts of a run that lie outside base spans and are long enough to be tested."""
-    for s, e in [*sorted((s, e) for _, s, e in base if s < b and a < e), (b, b)]:
-        if s - a >= LEAST:
-            yield a, s
-        a = max(a, e)
+def _outside(runs_: list[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of runs that lie outside disjoint spans and are long enough to be tested; both lists are in order."""
+    k = 0
+    for a, b in runs_:
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        at = k
+        while at < len(taken) and taken[at][0] < b:
+            if taken[at][0] - a >= LEAST:
+                yield a, taken[at][0]
+            a = max(a, taken[at][1])
+            at += 1
+        if b - a >= LEAST:
+            yield a, b
 
 
 def scan_text(raw: np.ndarray, at: int, end: int, base_hex: list[tuple[int, int]], tokens: list[tuple[int, int]]) -> tuple[list, list]:
@@ -117,7 +125,7 @@ def scan_text(raw: np.ndarray, at: int, end: int, base_hex: list[tuple[int, int]
         base += [(0, m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
     if b"AKIA" in text:
         base += [(1, m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
-    for a, b in (part for run in tokens for part in _outside(*run, base)):
+    for a, b in _outside(tokens, merged([(s, e) for _, s, e in base])):
         enc, uniform, run_z, serial, p = battery(text[a:b])
         passes = abs(run_z) <= LEVEL_Z and abs(serial) <= LEVEL_Z and uniform <= LEVEL_Z
         length = sum(b - a >= x for x in LENGTH_CLASSES) - 1
