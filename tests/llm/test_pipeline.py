@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from brute_force import jaccard_truth
 from tokenizers import Tokenizer
 
@@ -70,3 +71,46 @@ def test_stages(spark, tmp_path):
     assert Counter((r.doc_id, r.ids_sha256) for r in after) == want
 
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, after))
+
+
+def test_stages_on_awkward_rows(spark, docs, empty):
+    """Nulls, repeats, very long texts, clashing columns; and no rows at all."""
+    now, none = docs, empty
+    for name, stage in corpus_pipeline.STAGES:
+        before = now.count()
+        now, none = stage(spark, now, SF).cache(), stage(spark, none, SF)
+        assert none.count() == 0
+        if name == "bpe":
+            assert now.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and now.count() == before
+        else:
+            assert now.columns == docs.columns and none.columns == docs.columns and now.count() > 0
+
+
+#: The columns that each query's contract begins with; op1, op2, op5 and op10 are run by tests of their own.
+COLUMNS = {
+    "op3_near_vectors": ["vec_id", "n_links", "component_id", "kept"],
+    "op4_permutation_index": ["query_id", "rank", "vec_id", "score"],
+    "op6_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+    "op7_secret_scan": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+    "op8_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op9_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_registered_queries(spark, name):
+    found = queries.QUERIES[name](spark, SF)
+    assert found.columns[: len(COLUMNS[name])] == COLUMNS[name]
+    if not name.startswith("op4"):
+        source = "embeddings" if name.startswith("op3") else "documents"
+        assert found.count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
+    else:
+        ids = [r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()]
+        assert found.count() == 20 * sum(i % 20 == 0 for i in ids)
+    if name.startswith("op6"):
+        rows = found.collect()
+        assert all(0 <= r.taken <= 3 * r.size for r in rows)
+        by = Counter()
+        for r in rows:
+            by[r.target] += r.taken
+        assert all(abs(t - n) <= 1 for t, n in by.items())

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from quantaloom.llm import near_vectors, permutation_index
-from quantaloom.llm.components import components
+from quantaloom.llm.components import components, extended
 from quantaloom.llm.hnsw import Graph
 
 
@@ -54,10 +54,36 @@ def test_shards_meet(spark, monkeypatch):
     monkeypatch.setattr(near_vectors, "SHARD", 40)
     rows, df = odd_vectors(spark, seed=2, n=120)
     few = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(df).collect()}
-    monkeypatch.setattr(near_vectors, "SHARD", 4096)
+    monkeypatch.setattr(near_vectors, "SHARD", 100_000)
     assert few == {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(df).collect()}
 
 
+def test_many_shards_and_a_hot_group(spark, monkeypatch):
+    """A label with most rows, in many shards, with a large group of near copies across them, against brute force."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 24))
+    x[100:500] = x[0] + rng.normal(size=(400, 24)) * 0.12
+    labels = [0 if i < 600 else 1 for i in range(700)]
+    monkeypatch.setattr(near_vectors, "SHARD", 60)
+    monkeypatch.setattr(near_vectors, "BEAM", 8)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], labels[i]) for i in range(700)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in near_vectors.near_vectors(df).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (u @ u.T >= 0.93) & (np.array(labels)[:, None] == np.array(labels)[None, :])
+    assert got == {i: int(near[i].sum()) - 1 for i in range(700)}
+
+
+def test_audits_leave_out_self_matches():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 16))
+    g = Graph(x / np.linalg.norm(x, axis=1)[:, None])
+    own = np.arange(20)
+    good, links = near_vectors.passes(g, g.x[own], own, 0.93, 32)
+    exact = (g.x[own] @ g.x.T >= 0.93).sum() - 20
+    assert good and links == exact
+    assert near_vectors.passes(g, g.x[own], np.full(20, -1), 0.93, 32)[1] == exact + 20
+
+
 def test_graph_finds_all_of_a_dense_group():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(900, 32))
@@ -71,15 +97,38 @@ def test_graph_finds_all_of_a_dense_group():
 
 
 @pytest.mark.parametrize("edges,want", [([], {}), ([(1, 1), (None, 2)], {}), ([(i, i + 1) for i in range(60)], {i: 0 for i in range(61)}), ([(9, 3), (3, 9), (7, 8), (8, 3), (20, 21)], {3: 3, 9: 3, 7: 3, 8: 3, 20: 20, 21: 20}), ([(0, i) for i in range(1, 200)], {i: 0 for i in range(200)})])
-def test_components(spark, edges, want):
+@pytest.mark.parametrize("small", [0, 16_384])
+def test_components(spark, edges, want, small, monkeypatch):
+    monkeypatch.setattr("quantaloom.llm.components.SMALL", small)
     df = spark.createDataFrame(edges, "a long, b long")
     assert {r.id: r.component for r in components(df).collect()} == want
 
 
+def test_extended_components(spark):
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    first, more = [(1, 2), (2, 3), (7, 8), (20, 21)], [(3, 8), (30, 31), (21, 40), (5, 5)]
+    known = components(frame(first))
+    assert {r.id: r.component for r in extended(known, frame(more)).collect()} == {r.id: r.component for r in components(frame(first + more)).collect()}
+    assert sorted(map(tuple, extended(known, frame([])).collect())) == sorted(map(tuple, known.collect()))
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(v) for v in rng.normal(size=5 if i % 3 else 9)]) for i in range(90)] + [(200, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = permutation_index.search(df, df.where("vec_id % 20 = 0"), k=4, recall=1.0).collect()
+    want = set()
+    for i, v in rows:
+        if i % 20 == 0:
+            best = sorted(((-float(np.dot(v, w)), j) for j, w in rows if j != i and len(w) == len(v)))[:4]
+            want |= {(i, k + 1, j) for k, (_, j) in enumerate(best)}
+    assert {(r.query_id, r.rank, r.vec_id) for r in got} == want
+
+
 def test_permutation_index(spark):
     rows, df = odd_vectors(spark, seed=3, n=400)
     got = permutation_index.search(df, df.where("vec_id % 20 = 0"), k=20).collect()
-    ok = [(i, np.array(v)) for i, v, *_ in rows if i is not None and v and len(v) == 16 and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    ok = [(i, np.array(v)) for i, v, *_ in rows if i is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
     by = {}
     for r in got:
         by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
@@ -87,7 +136,7 @@ def test_permutation_index(spark):
     for i, v in ok:
         if i % 20:
             continue
-        best = sorted(((-float(v @ w), j) for j, w in ok if j != i))[:20]
+        best = sorted(((-float(v @ w), j) for j, w in ok if j != i and len(w) == len(v)))[:20]
         mine = sorted(by[i])
         assert [m[0] for m in mine] == list(range(1, 21)) and [(-s, j) for _, j, s in mine] == sorted((-s, j) for _, j, s in mine)
         assert all(s == pytest.approx(float(v @ dict(ok)[j])) for _, j, s in mine)
