@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-TEXT, PIECES = 8_000_000, 300_000
+TEXT, PIECES = 4_000_000, 200_000
 WORD_END = "</w>"
 
 

@@ -62,7 +62,7 @@ FULL = 350
 #: Classes of a route, or of a block of a hot one; hot routes of a class before blocks meet blocks, and classes of those.
 BLOCK, FIRST_ROUTES, WIDE = 512, 2, 2048
 #: Node pairs that are compared at a time; rows, and bytes of sets, of whole routes that are held at a time.
-FRONTIER, ROWS, SET_BYTES = 4096, 8192, 32 << 20
+FRONTIER, ROWS, SET_BYTES = 4096, 4096, 8 << 20
 #: Ids that are broadcast, at most (8 bytes each), to pick texts; more are met in a shuffled join.
 BROADCAST_IDS = 1_000_000
 

@@ -18,7 +18,7 @@ _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 #: Bytes of text that are worked on at a time (a longer text is taken whole).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
