@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, mixing, near_vectors, ngram_jaccard, permutation_index, pii, secret_scan, toxicity, url_filter
+from . import bpe, chat_format, lexical, mixing, near_vectors, ngram_jaccard, packing, permutation_index, pii, secret_scan, toxicity, url_filter, whitening
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -151,3 +151,37 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ngram_jaccard")
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- 11 whitening
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+# ---------------------------------------------------------------- 12 ranked lexical search
+
+_OP12_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{term}') AS ts FROM documents WHERE text IS NOT NULL),
+g AS (SELECT count(*) AS n, sum(len(ts))::HUGEINT AS l FROM d WHERE len(ts) > 0),
+m AS (SELECT r, doc_id, ts, 100 - 90 + (90 * len(ts)::HUGEINT * n) // l AS m FROM d, g WHERE len(ts) > 0),
+p AS (SELECT r, any_value(doc_id) AS doc_id, any_value(m)::BIGINT AS m, t, count(*) AS tf FROM (SELECT r, doc_id, m, unnest(ts) AS t FROM m) GROUP BY r, t),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY t),
+q AS (SELECT DISTINCT i, item_id, t FROM (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{term}')) AS t FROM benchmark WHERE text IS NOT NULL)),
+s AS (SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN w USING (t) JOIN p USING (t) GROUP BY i, item_id, r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 10
+""".format(term=r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+@query("op12_ranked_search", _OP12_SQL)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# ---------------------------------------------------------------- 13 packing
+
+@query("op13_packing")
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_bpe_path())
