@@ -19,12 +19,14 @@ from .codecs import payload_bytes
 
 #: Keys of a delta-coded stretch: stretches are coded side by side, and none is longer than this range of keys.
 STRETCH = 1 << 16
+#: Bits of a stretch's number, as keys have 63.
+PLACES = 47
 
 
-def _save_parts(spark: SparkSession, path: str, quantizer: quantize.Quantizer, rows: int, **parts: DataFrame) -> None:
+def _save_parts(spark: SparkSession, path: str, quantizer: quantize.Quantizer, rows: int, scale: float, **parts: DataFrame) -> None:
     for name, df in parts.items():
         save(df, f"{path}/{name}")
-    save(spark.createDataFrame([(list(quantizer.splits), quantizer.least, quantizer.greatest, rows)], "splits array<double>, least double, greatest double, rows int"), f"{path}/quantizer")
+    save(spark.createDataFrame([(list(quantizer.splits), quantizer.least, quantizer.greatest, rows, scale)], "splits array<double>, least double, greatest double, rows int, scale double"), f"{path}/quantizer")
 
 
 def open_vector(spark: SparkSession, path: str) -> DenseVector | SparseVector:
@@ -32,8 +34,8 @@ def open_vector(spark: SparkSession, path: str) -> DenseVector | SparseVector:
     q = spark.read.parquet(f"{path}/quantizer").first()
     quantizer = quantize.Quantizer(tuple(q["splits"]), q["least"], q["greatest"])
     if not q["rows"]:
-        return DenseVector(spark.read.parquet(f"{path}/entries"), quantizer)
-    return SparseVector(*(spark.read.parquet(f"{path}/{name}") for name in ("cells", "sizes", "keys")), quantizer, q["rows"])
+        return DenseVector(spark.read.parquet(f"{path}/entries"), quantizer, q["scale"])
+    return SparseVector(*(spark.read.parquet(f"{path}/{name}") for name in ("cells", "sizes", "keys")), quantizer, q["rows"], q["scale"])
 
 
 def added(*vectors: DataFrame | DenseVector | SparseVector) -> DataFrame:
@@ -44,21 +46,22 @@ def added(*vectors: DataFrame | DenseVector | SparseVector) -> DataFrame:
 
 @dataclass(frozen=True)
 class DenseVector:
-    """Coded entries (key, bin) in narrow bins."""
+    """Coded entries (key, bin) in narrow bins, and what the decoded values are multiplied by."""
 
     entries: DataFrame
     quantizer: quantize.Quantizer
+    scale: float = 1.0
 
     def decompress(self) -> DataFrame:
         rows = wide_bins(self.entries, self.quantizer.bins)
-        return rows.select("key", self.quantizer.decoded(F.col("bin")).alias("value"))
+        return rows.select("key", (self.quantizer.decoded(F.col("bin")) * self.scale).alias("value"))
 
     def times(self, by: float) -> DenseVector:
-        """Scales the vector by scaling the quantizer alone."""
-        return DenseVector(self.entries, self.quantizer.times(by))
+        """Scales the vector without touching an entry."""
+        return DenseVector(self.entries, self.quantizer, self.scale * by)
 
     def save(self, path: str) -> None:
-        _save_parts(self.entries.sparkSession, path, self.quantizer, 0, entries=self.entries)
+        _save_parts(self.entries.sparkSession, path, self.quantizer, 0, self.scale, entries=self.entries)
 
     def memory_bytes(self) -> int:
         return 12 + payload_bytes("quantile", 0, self.quantizer.bins) + self.entries.count() * (1 if self.quantizer.bins <= 256 else 2 if self.quantizer.bins <= 65536 else 4)
@@ -78,12 +81,13 @@ class SparseVector:
     keys: DataFrame
     quantizer: quantize.Quantizer
     rows: int
+    scale: float = 1.0
 
     def decompress(self) -> DataFrame:
         """(key, value): keys are exact; a value is never farther from the zero bin than it was."""
-        keys = delta.decode(self.keys).select(F.expr(f"cast(group div {1 << 40} as int)").alias("group"), "key")
+        keys = delta.decode(self.keys).select(F.expr(f"cast(group div {1 << PLACES} as int)").alias("group"), "key")
         back = minmax.restore(keys, self.cells, self.sizes, self.quantizer.zero, self.rows)
-        return back.select("key", self.quantizer.decoded(F.col("bin")).alias("value"))
+        return back.select("key", (self.quantizer.decoded(F.col("bin")) * self.scale).alias("value"))
 
     def decompress_dense(self, dim: int) -> DataFrame:
         from ..functions.vectors import dense
@@ -91,12 +95,11 @@ class SparseVector:
         return dense(self.decompress(), dim)
 
     def times(self, by: float) -> SparseVector:
-        if by < 0:
-            raise ValueError("cells are kept by distance from the zero bin: scale by a positive number")
-        return SparseVector(self.cells, self.sizes, self.keys, self.quantizer.times(by), self.rows)
+        """Scales the vector, by a number of either sign, without touching a cell."""
+        return SparseVector(self.cells, self.sizes, self.keys, self.quantizer, self.rows, self.scale * by)
 
     def save(self, path: str) -> None:
-        _save_parts(self.cells.sparkSession, path, self.quantizer, self.rows, cells=self.cells, sizes=self.sizes, keys=self.keys)
+        _save_parts(self.cells.sparkSession, path, self.quantizer, self.rows, self.scale, cells=self.cells, sizes=self.sizes, keys=self.keys)
 
     def memory_bytes(self) -> int:
         n = self.cells.count()
@@ -109,5 +112,5 @@ def compress_sparse(df: DataFrame, kind: str = "quantile", bins: int = 256, grou
     q = quantize.fit(kind, df, "value", bins)
     pairs = df.select("key", q.bin(F.col("value")).cast("int").alias("bin")).withColumn("group", minmax.group_of(F.col("bin"), minmax.group_edges(q.zero, q.bins, groups)))
     cells, sizes = minmax.build(pairs, q.zero, rows, ratio)
-    stretch = F.col("group").cast("long") * (1 << 40) + F.expr(f"key div {STRETCH}")
+    stretch = F.col("group").cast("long") * (1 << PLACES) + F.expr(f"key div {STRETCH}")
     return SparseVector(cells, sizes, delta.encode(delta.gaps(pairs.select(stretch.alias("group"), "key"))), q, rows)

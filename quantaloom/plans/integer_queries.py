@@ -127,6 +127,32 @@ def delta_decode(spark, d):
     return delta.undo(g).select("group", "key")
 
 
+# ---------------------------------------------------------------- keys beyond 32 bits
+
+#: Gaps of some 20 bits, and one of 34 at every 512th order.
+_LONG_KEYS = f"SELECT DISTINCT l_orderkey * 1048583 + (l_orderkey // 512) * 17179869184 + l_linenumber AS key, l_orderkey // {GROUP} AS g FROM lineitem"
+
+
+def _long_keys(spark, d):
+    key = F.col("l_orderkey") * 1048583 + F.expr("l_orderkey div 512") * 17179869184 + F.col("l_linenumber")
+    return table(spark, d, "lineitem").select(key.alias("key"), F.expr(f"l_orderkey div {GROUP}").alias("group")).distinct()
+
+
+@query("delta_long_gaps", f"WITH k AS ({_LONG_KEYS}), s AS (SELECT key, g, key - lag(key) OVER (PARTITION BY g ORDER BY key) AS step FROM k), b AS (SELECT key, g, step, step IS NULL OR step >= 4294967296 AS begins FROM s) SELECT g AS \"group\", key, CASE WHEN begins THEN key % 4294967296 ELSE step END AS gap, last_value(CASE WHEN begins THEN key - key % 4294967296 END IGNORE NULLS) OVER (PARTITION BY g ORDER BY key) AS base FROM b")
+def delta_long_gaps(spark, d):
+    return delta.gaps(_long_keys(spark, d)).select("group", "key", "gap", "base")
+
+
+@query("delta_long_roundtrip", f"SELECT g AS \"group\", key, row_number() OVER (PARTITION BY g ORDER BY key) - 1 AS pos FROM ({_LONG_KEYS})")
+def delta_long_roundtrip(spark, d):
+    return delta.decode(delta.encode(delta.gaps(_long_keys(spark, d))))
+
+
+@query("delta_long_binary_roundtrip", f"SELECT g AS \"group\", key, row_number() OVER (PARTITION BY g ORDER BY key) - 1 AS pos FROM ({_LONG_KEYS})")
+def delta_long_binary_roundtrip(spark, d):
+    return delta.decode_bytes(delta.encode_bytes(delta.gaps(_long_keys(spark, d))))
+
+
 @query("code_offsets", _GAPS + "SELECT g AS \"group\", key, (sum(bits) OVER (PARTITION BY g ORDER BY key) - bits)::BIGINT AS begin FROM b")
 def code_offsets(spark, d):
     from ..operators.quantiles import running_sum
