@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .losses import EPS
@@ -18,11 +20,46 @@ def constant(values: Sequence[float]) -> Column:
     return F.array(*(F.lit(float(v)) for v in values))
 
 
+#: Numbers that are constants of a plan, at most; more are broadcast as an array, or stand in a column.
+LITERALS = 4096
+
+
 def reached(x: Column, splits: Sequence[float]) -> Column:
     """How many splits (sorted) x has reached: a binary search in a constant array, small code whatever the number of splits."""
-    held = constant(splits)
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(splits).bit_length()))))
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) <= x, at + step).otherwise(at))
+    if len(splits) > LITERALS:
+        return _looked_up(x, splits)
+    return reached_in(x, constant(splits), len(splits))
+
+
+def reached_in(x: Column, splits: Column, most: int) -> Column:
+    """The same for a column of sorted arrays that hold ``most`` splits at most."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, most).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(splits, at + step - 1) <= x, at + step).otherwise(at))
+
+
+def _looked_up(x: Column, splits: Sequence[float]) -> Column:
+    """A search in a broadcast array, as long as the splits that the driver holds."""
+    sent = SparkSession.active().sparkContext.broadcast(np.asarray(splits, float))
+
+    @F.pandas_udf("int")
+    def place(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(sent.value, x.to_numpy(float), side="right"))
+
+    return F.when(x.isNotNull(), place(x.cast("double")))
+
+
+def item(values: Sequence[float], at: Column) -> Column:
+    """The item at a place from 0; null outside."""
+    if len(values) <= LITERALS:
+        return F.get(constant(values), at.cast("int"))
+    sent = SparkSession.active().sparkContext.broadcast(np.asarray(values, float))
+
+    @F.pandas_udf("double")
+    def held(at: pd.Series) -> pd.Series:
+        inside = at.notna() & (at >= 0) & (at < len(sent.value))
+        return pd.Series(np.where(inside, sent.value[at.where(inside, 0).astype(int)], np.nan)).where(inside.to_numpy())
+
+    return held(at.cast("int"))
 
 
 def sparse_dot(a: DataFrame, b: DataFrame) -> DataFrame:

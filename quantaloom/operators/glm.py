@@ -1,10 +1,11 @@
 """Generalized linear models by mini-batches over workers, with coded gradients.
 
-Rows are (worker, pos, y, x array<double>), or with idx array<int> the entries x of a sparse vector. A batch is a circular range of positions in each worker. Scores are array
-expressions against weights in the plan (a model is as long as a row), gradients are sums by (worker, key) with partial
-aggregation; each worker's gradient goes through the codec (least_squares and sketch: as jobs of their own for each worker)
-and the sums are summed. Only gradients of the model's
-length reach the driver, where the optimizer steps.
+Rows are (worker, pos, y, x array<double>), or with idx array<int> the entries x of a sparse vector. They are stored once by
+ranges of positions, and a batch, a circular range of positions in each worker, reads its ranges alone. Scores are array
+expressions against weights in the plan (a model is as long as a row), or joins with a table of weights (see ``params``).
+Gradients and losses are sums by (worker, key) with partial aggregation, one pass over a batch; all workers' gradients go
+through the codec in the same jobs, and the decoded ones are summed. Metrics and weights can be kept from epoch to epoch, and
+a run goes on from the last one kept.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.losses import EPS, LOSSES, l2_pull, sgd_rate
 from ..functions.vectors import constant, dot, reached
-from ..sources.shared import cut
-from . import codecs, metrics
+from ..sources.shared import Scratch, cut
+from . import codecs, metrics, minmax, quantize
 
 
 @dataclass(frozen=True)
@@ -49,8 +51,8 @@ class Settings:
     def __post_init__(self):
         if self.algo not in LOSSES:
             raise ValueError(f"algo is one of {sorted(LOSSES)}")
-        if self.codec not in {**KERNELS, **JOBS}:
-            raise ValueError(f"codec is one of {sorted({**KERNELS, **JOBS})}")
+        if self.codec not in CODECS:
+            raise ValueError(f"codec is one of {sorted(CODECS)}")
         if self.optimizer not in ("adam", "sgd"):
             raise ValueError("optimizer is adam or sgd")
 
@@ -69,41 +71,8 @@ class Settings:
         return int(np.ceil(1 / self.batch_ratio))
 
 
-# ---------------------------------------------------------------- codecs of one gradient
-
-def _bins(g: np.ndarray, splits: np.ndarray) -> np.ndarray:
-    splits = np.unique(splits)
-    edges = np.concatenate([[g.min()], splits, [g.max()]])
-    return (0.5 * (edges[:-1] + edges[1:]))[np.searchsorted(splits, g, side="right")]
-
-
-def _quantile(g: np.ndarray, s: Settings) -> np.ndarray:
-    ordered = np.sort(g)
-    return _bins(g, ordered[len(g) * np.arange(1, s.bins) // s.bins]) if len(g) else g
-
-
-def _uniform(g: np.ndarray, s: Settings) -> np.ndarray:
-    return _bins(g, g.min() + (g.max() - g.min()) / s.bins * np.arange(1, s.bins)) if len(g) else g
-
-
-def _fixed(g: np.ndarray, s: Settings) -> np.ndarray:
-    norm, most = np.sqrt((g * g).sum()), 2 ** (s.bits - 1) - 1
-    if norm == 0:
-        return g
-    up = (np.arange(len(g)) * 2654435761 // 65536) % 2
-    return np.sign(g) * np.minimum(most, np.floor(np.abs(g) / norm * most) + up) / most * norm
-
-
-KERNELS = {"none": lambda g, s: g, "float": lambda g, s: g.astype(np.float32).astype(float), "fixed_point": _fixed, "quantile": _quantile, "uniform": _uniform}
-
-
-def _sketch(df: DataFrame, s: Settings, dense: bool) -> DataFrame:
-    """A dense gradient keeps its quantile bins as they are, a sparse one puts them into a grouped min-max sketch."""
-    return codecs.quantized(df, "quantile", s.bins) if dense else codecs.sketched(df, "quantile", s.bins, s.groups, s.rows, s.ratio)
-
-
-#: Codecs over (key, value) of one worker that are jobs, not functions of an array.
-JOBS = {"least_squares": lambda df, s, dense: codecs.quantized(df, "least_squares", s.bins), "sketch": _sketch}
+#: Codecs of gradients.
+CODECS = ("none", "float", "fixed_point", "quantile", "uniform", "least_squares", "sketch")
 
 
 # ---------------------------------------------------------------- data
@@ -112,6 +81,8 @@ JOBS = {"least_squares": lambda df, s, dense: codecs.quantized(df, "least_square
 RANGES, RANGE_ROWS = 1024, 100_000
 #: Weights that are constants of a plan, at most; longer models are broadcast as arrays.
 LITERALS = 4096
+#: Stretches of positions that a batch covers, about, and rows of a worker's stretch at most.
+STRETCHES, STRETCH_ROWS = 4, 1_000_000
 
 
 def dealt(df: DataFrame, id: str, workers: int) -> DataFrame:
@@ -138,6 +109,43 @@ def batch(rows: DataFrame, b: int, ratio: float) -> DataFrame:
     return rows.withColumn("per", per).where(F.col("per") > 0).where(F.pmod(F.col("pos") - F.lit(b) * F.col("per"), F.col("size")) < F.col("per"))
 
 
+class Held:
+    """Rows stored by worker and stretch of positions; a batch reads the stretches that it touches."""
+
+    def __init__(self, spark: SparkSession, path: str, kinds: StructType, width: int, sizes: dict[int, int]):
+        self.spark, self.path, self.kinds, self.width, self.sizes = spark, path, kinds, width, sizes
+
+    @classmethod
+    def store(cls, rows: DataFrame, path: str, ratio: float) -> Held:
+        """``rows`` as ``dealt`` gives them."""
+        spark = rows.sparkSession
+        longest = rows.agg(F.max("size")).first()[0] or 0
+        width = max(1, min(STRETCH_ROWS, int(longest * ratio) // STRETCHES))
+        placed = rows.withColumn("stretch", F.expr(f"pos div {width}").cast("int"))
+        placed.repartition("worker", "stretch").sortWithinPartitions("worker", "stretch", "pos").write.partitionBy("worker", "stretch").parquet(path)
+        found = cls(spark, path, placed.schema, width, {})
+        found.sizes = {r["worker"]: r["size"] for r in found.rows().groupBy("worker").agg(F.max("size").alias("size")).collect()}  # a row for each worker
+        return found
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.kinds).parquet(self.path)
+
+    def batch(self, b: int, ratio: float) -> DataFrame:
+        """The same rows as ``batch`` of all of them."""
+        wanted: dict[tuple[int, ...], list[int]] = {}
+        for worker, size in self.sizes.items():
+            per = int(size * ratio)
+            start, touched = (b * per) % size, set()
+            for first, last in ((start, min(start + per, size)), (0, start + per - size)):
+                touched |= set(range(first // self.width, (last - 1) // self.width + 1)) if last > first else set()
+            wanted.setdefault(tuple(sorted(touched)), []).append(worker)
+        read = F.lit(False)
+        for stretches, workers in wanted.items():
+            if stretches:
+                read = read | (F.col("worker").isin(workers) & F.col("stretch").isin(list(stretches)))
+        return batch(self.rows().where(read), b, ratio)
+
+
 def split(df: DataFrame, id: str, ratio: float) -> tuple[DataFrame, DataFrame]:
     """(train, valid) by a fixed hash of the id, in thousandths."""
     slot = F.pmod(F.col(id).cast("long") * 7919, F.lit(1000))
@@ -189,44 +197,79 @@ def active(sums: DataFrame, dim: int) -> DataFrame:
     kept = sums.groupBy("worker").agg(F.count_if(F.abs("g") > EPS).alias("nnz"))
     marked = sums.join(F.broadcast(kept), "worker")  # one row for each worker
     full = F.col("nnz") > dim * 2 // 3
-    keys = F.sequence(F.lit(0), F.lit(dim - 1))
-    missing = kept.where(full).select("worker", F.explode(keys).alias("key")).join(sums.select("worker", "key"), ["worker", "key"], "left_anti").select("worker", "key", F.lit(0.0).alias("g"))
+    keys = sums.sparkSession.range(dim).select(F.col("id").cast(dict(sums.dtypes)["key"]).alias("key"))
+    missing = keys.join(F.broadcast(kept.where(full).select("worker"))).join(sums.select("worker", "key"), ["worker", "key"], "left_anti").select("worker", "key", F.lit(0.0).alias("g"))
     return marked.where(full | (F.abs("g") > EPS)).select("worker", "key", "g").unionByName(missing)
 
 
+#: Keys of a batch's sums that aren't the model's: rows, and their losses.
+ROWS, LOSS = -1, -2
+
+
+def batch_sums(rows: DataFrame, algo: str) -> DataFrame:
+    """(worker, key, g) of scored rows in one pass: sums of minus the pull times x by key, and rows and losses under keys of their own."""
+    loss, pull = (f(F.col("score"), F.col("y")) for f in LOSSES[algo])
+    entry = lambda key, value: F.struct(key.cast("long").alias("key"), value.cast("double").alias("g"))
+    if "idx" in rows.columns:
+        own = F.zip_with("idx", "x", lambda k, v: entry(k, -F.col("pull_") * v))
+    else:
+        own = F.transform("x", lambda v, k: entry(k, -F.col("pull_") * v))
+    more = F.array(entry(F.lit(ROWS), F.lit(1.0)), entry(F.lit(LOSS), F.col("loss_")))
+    each = rows.withColumns({"pull_": pull, "loss_": loss}).select("worker", F.explode(F.concat(own, more)).alias("e"))
+    return each.select("worker", "e.*").groupBy("worker", "key").agg(F.sum("g").alias("g"))
+
+
+def gradients_of(sums: DataFrame, dim: int | None) -> DataFrame:
+    """(worker, key, g) of ``batch_sums``: means over each worker's rows. With ``dim``, sparse gradients of so many keys."""
+    rows = sums.where(F.col("key") == ROWS).select("worker", F.col("g").alias("rows"))  # one row for each worker
+    own = sums.where("key >= 0")
+    own = own if dim is None else active(own, dim)
+    return own.join(F.broadcast(rows), "worker").select("worker", "key", (F.col("g") / F.col("rows")).alias("g"))
+
+
 def with_l2(gradients: DataFrame, weights, l2: float) -> DataFrame:
     """The pull of the penalty, on every key of the gradient."""
     if l2 <= EPS:
         return gradients
     if len(weights) <= LITERALS:
-        return gradients.withColumn("g", F.col("g") + l2_pull(F.element_at(constant(weights), F.col("key") + 1), l2))
+        return gradients.withColumn("g", F.col("g") + l2_pull(F.get(constant(weights), F.col("key").cast("int")), l2))
     table = gradients.sparkSession.createDataFrame(pd.DataFrame({"key": np.arange(len(weights)), "w": np.asarray(weights, float)}))
     return gradients.join(table, "key").withColumn("g", F.col("g") + l2_pull(F.col("w"), l2)).select(*gradients.columns)
 
 
 def coded(gradients: DataFrame, s: Settings, dim: int | None = None) -> DataFrame:
-    """Each worker's gradient after coding and decoding; a group is one gradient, as long as a row.
+    """Each worker's gradient after coding and decoding; all workers' in the same jobs, however many there are.
 
-    A gradient with all ``dim`` keys is dense; by default there are as many as the greatest key asks for.
+    A gradient with all ``dim`` keys is dense; by default there are as many as the greatest key asks for. A dense one keeps
+    its quantile bins under ``sketch``, a sparse one puts them into a grouped min-max sketch.
     """
+    g = gradients.select("worker", "key", F.col("g").cast("double").alias("g"))
     if s.codec == "none":
-        return gradients.select("worker", "key", "g")
-    if s.codec in JOBS:
-        held = gradients.select("worker", "key", F.col("g").cast("double").alias("value"))
-        held = cut(held)  # read by several jobs for each worker
-        found = held.groupBy("worker").agg(F.count("*").alias("n"), F.max("key").alias("last")).orderBy("worker").collect()
-        dim = dim or max((r["last"] + 1 for r in found), default=0)
-        out = held.select("worker", "key", F.col("value").alias("g")).where("false")
-        for r in found:
-            back = JOBS[s.codec](held.where(F.col("worker") == r["worker"]).select("key", "value"), s, r["n"] == dim)
-            out = out.unionByName(back.select(F.lit(r["worker"]).alias("worker"), "key", F.col("decoded").alias("g")))
-        return out
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key")
-        return pdf.assign(g=KERNELS[s.codec](pdf["g"].to_numpy(float), s))
-
-    return gradients.select("worker", "key", "g").groupBy("worker").applyInPandas(one, "worker int, key int, g double")
+        return g
+    if s.codec == "float":
+        return g.withColumn("g", F.col("g").cast("float").cast("double"))
+    g = cut(g)  # read by the fit and by the coding
+    if s.codec == "fixed_point":
+        norm = g.groupBy("worker").agg(F.sqrt(F.sum(F.col("g") * F.col("g"))).alias("norm"))
+        code = codecs.fixed_code(F.col("g"), F.col("norm"), s.bits, codecs.rounding_bit(F.col("key")))
+        return g.join(F.broadcast(norm), "worker").select("worker", "key", codecs.fixed_value(code, F.col("norm"), s.bits).alias("g"))
+    kind = "quantile" if s.codec == "sketch" else s.codec
+    fitted = quantize.fit_by(kind, g, "g", "worker", s.bins)
+    splits, least, greatest = F.col("splits"), F.col("least"), F.col("greatest")
+    decoded = lambda bin_: quantize.decoded_in(bin_, splits, least, greatest).alias("g")
+    bin_ = quantize.bin_in(F.col("g"), splits, s.bins)
+    if s.codec != "sketch":
+        return g.join(fitted, "worker").select("worker", "key", bin_.alias("bin"), "splits", "least", "greatest").select("worker", "key", decoded(F.col("bin")))
+    size = g.groupBy("worker").agg(F.count("*").alias("held"), F.max("key").alias("last"))
+    dim = dim or size.agg(F.coalesce(F.max("last") + 1, F.lit(0))).first()[0]
+    known = cut(fitted.join(size, "worker").withColumns({"zero": quantize.zero_in(splits, least, greatest), "bins": F.size(splits) + 1}).withColumn("edges", minmax.group_edges_in(F.col("zero"), F.col("bins"), s.groups)))  # a row for each worker
+    binned = g.join(known, "worker").withColumn("bin", bin_)
+    dense = F.col("held") == dim
+    out = binned.where(dense).select("worker", "key", decoded(F.col("bin")))
+    group = F.struct("worker", minmax.group_of(F.col("bin"), F.col("edges")).alias("group")).alias("group")
+    pairs = cut(binned.where(~dense).select(group, "key", (F.col("bin") - F.col("zero")).alias("bin")))
+    back = minmax.restore(pairs.select("group", "key"), *minmax.build(pairs, 0, s.rows, s.ratio), 0, s.rows).select("group.worker", "key", "bin")
+    return out.unionByName(back.join(known, "worker").select("worker", "key", decoded(F.col("bin") + F.col("zero"))))
 
 
 def summed(gradients: DataFrame, workers: int) -> DataFrame:
@@ -268,31 +311,103 @@ def penalty(w: np.ndarray, s: Settings) -> float:
     return (s.reg_l1 * float(np.abs(w).sum()) if s.reg_l1 > EPS else 0.0) + (s.reg_l2 * float(np.sqrt((w**2).sum())) if s.reg_l2 > EPS else 0.0)
 
 
-def fit(df: DataFrame, s: Settings, id: str = "id", dim: int | None = None) -> tuple[np.ndarray, list[tuple]]:
-    """(weights, (epoch, train loss, valid loss, accuracy) of each epoch) for rows (id, y, x), or sparse ones (id, y, idx, x) of ``dim`` places."""
-    train, valid = split(df, id, s.valid_ratio)
-    train = dealt(train, id, s.workers).persist()
-    first = train.select(F.size("x").alias("d")).first()
-    if first is None:
-        raise ValueError("no rows to learn from")
-    state, history, loss = State(np.zeros(dim or first["d"])), [], LOSSES[s.algo][0]
-    for epoch in range(s.epochs):
+class ArrayModel:
+    """A model that the driver holds."""
+
+    def __init__(self, state: State, s: Settings):
+        self.state, self.s, self.dim = state, s, len(state.w)
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        return scored(rows, self.state.w)
+
+    def with_l2(self, gradients: DataFrame) -> DataFrame:
+        return with_l2(gradients, self.state.w, self.s.reg_l2)
+
+    def penalty(self) -> float:
+        return penalty(self.state.w, self.s)
+
+    def step(self, gradient: DataFrame, epoch: int, last: bool) -> None:
+        g = gradient.orderBy("key").toPandas()  # as long as the model
+        keys, values = g["key"].to_numpy(), g["g"].to_numpy(float)
+        if self.s.optimizer == "sgd":
+            self.state.sgd(keys, values, self.s, epoch + last)
+        else:
+            self.state.adam(keys, values, self.s, last or self.s.per_step_powers)
+        if self.s.reg_l1 > EPS:
+            self.state.w = truncated(self.state.w, self.s.reg_l1 * self.s.learn_rate)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        t = self.state
+        spark.createDataFrame(pd.DataFrame({"key": np.arange(self.dim), "w": t.w, "m": t.m, "v": t.v})).write.mode("overwrite").parquet(path)
+
+    def load(self, spark: SparkSession, path: str) -> None:
+        t = spark.read.parquet(path).orderBy("key").toPandas()
+        self.state.w, self.state.m, self.state.v = (t[k].to_numpy(float).copy() for k in ("w", "m", "v"))
+
+
+METRICS = "epoch int, batch int, train_loss double, valid_loss double, accuracy double, auc double, b1 double, b2 double"
+
+
+def epoch_losses(metrics: DataFrame) -> DataFrame:
+    """(epoch, loss): the mean of the batches' losses, of rows (epoch, loss)."""
+    return metrics.groupBy("epoch").agg(F.avg("loss").alias("loss"))
+
+
+def kept_losses(spark: SparkSession, path: str) -> DataFrame:
+    """The same of the metrics that a run keeps in ``path``."""
+    return epoch_losses(spark.read.schema(METRICS).parquet(f"{path}/metrics").where("batch >= 0").select("epoch", F.col("train_loss").alias("loss")))
+
+
+def train(model, held: Held, valid: DataFrame, s: Settings, scratch: Scratch, path: str | None = None) -> list[tuple]:
+    """(epoch, train loss, valid loss, accuracy, AUC) of each epoch; the model steps. With ``path``, metrics and weights of
+    every epoch are kept there, and a run goes on after the last epoch that is complete there."""
+    spark, loss, history = held.spark, LOSSES[s.algo][0], []
+    done = _resumed(spark, model, path, history)
+    for epoch in range(done, s.epochs):
         losses = []
         for b in range(s.batches):
-            rows = batch(train, epoch * s.batches + b, s.batch_ratio)
-            head = scored(rows, state.w).agg(F.avg(loss(F.col("score"), F.col("y"))).alias("l"), F.count("*").alias("n")).first()
-            if not head["n"]:
+            rows = held.batch(epoch * s.batches + b, s.batch_ratio)
+            sums = scratch.put(batch_sums(model.scored(rows), s.algo))
+            head = sums.where("key < 0").groupBy("key").agg(F.sum("g").alias("g")).collect()
+            total = {r["key"]: r["g"] for r in head}
+            if not total:
                 continue
-            losses.append(head["l"] + penalty(state.w, s))
-            g = summed(coded(with_l2(worker_gradients(rows, state.w, s.algo), state.w, s.reg_l2), s, len(state.w)), s.workers).orderBy("key").toPandas()
-            keys, values = g["key"].to_numpy(), g["g"].to_numpy(float)
-            if s.optimizer == "sgd":
-                state.sgd(keys, values, s, epoch + (b == s.batches - 1))
-            else:
-                state.adam(keys, values, s, b == s.batches - 1 or s.per_step_powers)
-            if s.reg_l1 > EPS:
-                state.w = truncated(state.w, s.reg_l1 * s.learn_rate)
-        checked = metrics.confusion(scored(valid, state.w), loss(F.col("score"), F.col("y"))).first()
-        history.append((epoch, float(np.mean(losses)) if losses else None, checked["loss"], checked["accuracy"]))
-    train.unpersist()
-    return state.w, history
+            losses.append((epoch, b, total[LOSS] / total[ROWS] + model.penalty()))
+            g = gradients_of(sums, model.dim if "idx" in rows.columns else None)
+            model.step(summed(coded(model.with_l2(g), s, model.dim), s.workers), epoch, b == s.batches - 1)
+        checked = model.scored(valid)
+        found = metrics.confusion(checked, loss(F.col("score"), F.col("y"))).first()
+        auc = metrics.auc(checked).first()["auc"] if found["n"] else None
+        history.append((epoch, float(np.mean([x[2] for x in losses])) if losses else None, found["loss"], found["accuracy"], auc))
+        if path:
+            model.save(spark, f"{path}/weights/{epoch}")
+            rows = [(e, b, float(x), None, None, None, None, None) for e, b, x in losses] + [(epoch, -1, *history[-1][1:], model.state.b1, model.state.b2)]
+            spark.createDataFrame(rows, METRICS).coalesce(1).write.mode("append").parquet(f"{path}/metrics")
+    return history
+
+
+def _resumed(spark: SparkSession, model, path: str | None, history: list[tuple]) -> int:
+    """The first epoch that is left, the model and the history up to it. Metrics are written last, so an epoch that has them is complete."""
+    folder = path and spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metrics")
+    if not folder or not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return 0
+    rows = spark.read.schema(METRICS).parquet(f"{path}/metrics").where("batch = -1").orderBy("epoch").collect()  # a row for each epoch
+    if not rows:
+        return 0
+    history += [(r["epoch"], r["train_loss"], r["valid_loss"], r["accuracy"], r["auc"]) for r in rows]
+    model.load(spark, f"{path}/weights/{rows[-1]['epoch']}")
+    model.state.b1, model.state.b2 = rows[-1]["b1"], rows[-1]["b2"]
+    return rows[-1]["epoch"] + 1
+
+
+def fit(df: DataFrame, s: Settings, id: str = "id", dim: int | None = None, path: str | None = None) -> tuple[np.ndarray, list[tuple]]:
+    """(weights, (epoch, train loss, valid loss, accuracy, AUC) of each epoch) for rows (id, y, x), or sparse ones (id, y, idx, x) of ``dim`` places."""
+    learn, valid = split(df, id, s.valid_ratio)
+    with Scratch(df.sparkSession) as scratch:
+        held = Held.store(dealt(learn, id, s.workers), f"{scratch.folder}/rows", s.batch_ratio)
+        first = held.rows().select(F.size("x").alias("d")).first()
+        if first is None:
+            raise ValueError("no rows to learn from")
+        model = ArrayModel(State(np.zeros(dim or first["d"])), s)
+        history = train(model, held, valid, s, scratch, path)
+        return model.state.w, history

@@ -25,9 +25,20 @@ def group_edges(zero: int, bins: int, groups: int = 8) -> list[int]:
     return [first + i * span for i in range(groups - 1)] + [bins]
 
 
-def group_of(bin_: Column, edges: list[int]) -> Column:
+def group_edges_in(zero: Column, bins: Column, groups: int = 8) -> Column:
+    """The same by columns of a quantizer."""
+    groups = F.greatest(F.lit(1), F.least(F.lit(groups), bins))
+    span = F.floor(bins / groups)
+    over = zero % span
+    first = F.when((groups == 2) | (zero < span), zero).otherwise(over + F.when(over < F.floor(span / 2), span).otherwise(0))
+    ends = F.transform(F.sequence(F.lit(0), groups - 2), lambda i: (first + i * span).cast("int"))
+    return F.when(groups == 1, F.array(bins)).otherwise(F.concat(ends, F.array(bins)))
+
+
+def group_of(bin_: Column, edges: list[int] | Column) -> Column:
     """The first group whose end lies above the bin."""
-    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= bin_))
+    held = edges if isinstance(edges, Column) else F.array(*map(F.lit, edges))
+    return F.size(F.filter(held, lambda e: e <= bin_))
 
 
 def _cells(pairs: DataFrame, rows: int, sizes: DataFrame) -> DataFrame:

@@ -27,11 +27,11 @@ def merging_sql(bins: int, rounds: int) -> str:
     sql = ""
     for k in range(rounds):
         sql += (
-            f", c{k} AS (SELECT *, i // 2 AS pair, count(*) OVER (PARTITION BY worker) AS len FROM p{k}), "
-            f"e{k} AS (SELECT worker, pair, count(*) AS m, max(len) AS len, sum(q) - sum(s) * sum(s) / sum(n) AS err FROM c{k} GROUP BY worker, pair), "
-            f"r{k} AS (SELECT worker, pair, len <= {bins} OR m = 1 OR row_number() OVER (PARTITION BY worker ORDER BY m DESC, err DESC, pair) <= greatest(0, least({bins // 2} - len % 2, len // 2 - 1)) AS apart FROM e{k}), "
-            f"u{k} AS (SELECT worker, i, n, s, q, low FROM c{k} JOIN r{k} USING (worker, pair) WHERE apart UNION ALL SELECT worker, min(i), sum(n), sum(s), sum(q), min(low) FROM c{k} JOIN r{k} USING (worker, pair) WHERE NOT apart GROUP BY worker, pair), "
-            f"p{k + 1} AS (SELECT worker, row_number() OVER (PARTITION BY worker ORDER BY i) - 1 AS i, n, s, q, low FROM u{k})"
+            f", c{k} AS MATERIALIZED (SELECT *, i // 2 AS pair, count(*) OVER (PARTITION BY worker) AS len FROM p{k}), "
+            f"e{k} AS MATERIALIZED (SELECT worker, pair, count(*) AS m, max(len) AS len, sum(q) - sum(s) * sum(s) / sum(n) AS err FROM c{k} GROUP BY worker, pair), "
+            f"r{k} AS MATERIALIZED (SELECT worker, pair, len <= {bins} OR m = 1 OR row_number() OVER (PARTITION BY worker ORDER BY m DESC, err DESC, pair) <= greatest(0, least({bins // 2} - len % 2, len // 2 - 1)) AS apart FROM e{k}), "
+            f"u{k} AS MATERIALIZED (SELECT worker, i, n, s, q, low FROM c{k} JOIN r{k} USING (worker, pair) WHERE apart UNION ALL SELECT worker, min(i), sum(n), sum(s), sum(q), min(low) FROM c{k} JOIN r{k} USING (worker, pair) WHERE NOT apart GROUP BY worker, pair), "
+            f"p{k + 1} AS MATERIALIZED (SELECT worker, row_number() OVER (PARTITION BY worker ORDER BY i) - 1 AS i, n, s, q, low FROM u{k})"
         )
     return sql
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import codecs, compressors, minmax, order, quantiles, quantize, ranks
+from ..operators import codecs, compressors, glm, minmax, order, quantiles, quantize, ranks
 from .registry import merging_sql, query, table
 
 # ---------------------------------------------------------------- vectors
@@ -47,14 +47,8 @@ def dense_to_sparse_eps(spark, d):
     return vectors.sparse(_discounts(spark, d))
 
 
-@query("sparse_to_dense", "SELECT g.i AS key, coalesce(v.value, 0.0::DOUBLE) AS value FROM (SELECT unnest(range(0, 5000))::BIGINT AS i) g LEFT JOIN (SELECT l_orderkey AS key, min(l_discount) AS value FROM lineitem GROUP BY 1 HAVING abs(min(l_discount)) > 1e-8) v ON v.key = g.i")
-def sparse_to_dense(spark, d):
-    return vectors.dense(_discounts(spark, d), 5000)
-
-
 @query("sparse_to_dense_whole", "SELECT g.i AS key, coalesce(v.value, 0.0::DOUBLE) AS value FROM (SELECT unnest(range(0, (SELECT max(l_orderkey) + 1 FROM lineitem)))::BIGINT AS i) g LEFT JOIN (SELECT l_orderkey AS key, min(l_discount) AS value FROM lineitem GROUP BY 1 HAVING abs(min(l_discount)) > 1e-8) v ON v.key = g.i")
 def sparse_to_dense_whole(spark, d):
-    """All keys; ``sparse_to_dense`` gives the first 5000 places, as its SQL does."""
     return vectors.dense(_discounts(spark, d))
 
 
@@ -189,12 +183,13 @@ def zip_first_merge_errors(spark, d):
     return rows.groupBy(F.expr("r div 2").alias("pair")).agg(F.count("*").alias("n"), F.round(F.sum(x * x) - F.sum(x) * F.sum(x) / F.count("*"), 2).alias("error"))
 
 
-def _zip_sql(bins: int, grid: int = 16) -> str:
-    """From ``grid`` equal shares a bin, merged; then the bins of all values and their midpoints."""
+def _zip_sql(bins: int, end: str = "SELECT zn.bin, count(*) AS n, round(max(zb.mid), 6) AS mid FROM zn JOIN zb ON zn.bin = zb.bin GROUP BY zn.bin") -> str:
+    """From single values, merged; then the bins of all values and their midpoints."""
     return (
-        _split_sql("customer", "c_acctbal", bins * grid) + ", p0 AS (SELECT 0 AS worker, row_number() OVER (ORDER BY bin) - 1 AS i, count(*) AS n, sum(v) AS s, sum(v * v) AS q, min(v) AS low FROM bn GROUP BY bin)" + merging_sql(bins, 16)
-        + ", zs AS (SELECT DISTINCT low AS v FROM p16 WHERE i > 0), zb AS (SELECT row_number() OVER (ORDER BY k, b) - 1 AS bin, 0.5::DOUBLE * (coalesce(lag(b) OVER (ORDER BY k, b), (SELECT lo FROM lim)) + b) AS mid FROM (SELECT v AS b, 0 AS k FROM zs UNION ALL SELECT hi, 1 FROM lim)), "
-        + "zn AS (SELECT (SELECT count(*) FROM zs WHERE zs.v <= x.v) AS bin FROM x) SELECT zn.bin, count(*) AS n, round(max(zb.mid), 6) AS mid FROM zn JOIN zb ON zn.bin = zb.bin GROUP BY zn.bin"
+        "WITH x AS MATERIALIZED (SELECT c_acctbal AS v FROM customer), lim AS (SELECT min(v) AS lo, max(v) AS hi FROM x), "
+        "p0 AS (SELECT 0 AS worker, row_number() OVER (ORDER BY v) - 1 AS i, n, n * v AS s, n * v * v AS q, v AS low FROM (SELECT v, count(*)::DOUBLE AS n FROM x GROUP BY v))" + merging_sql(bins, 28)
+        + ", zs AS MATERIALIZED (SELECT DISTINCT low AS v FROM p28 WHERE i > 0), zb AS MATERIALIZED (SELECT row_number() OVER (ORDER BY k, b) - 1 AS bin, 0.5::DOUBLE * (coalesce(lag(b) OVER (ORDER BY k, b), (SELECT lo FROM lim)) + b) AS mid FROM (SELECT v AS b, 0 AS k FROM zs UNION ALL SELECT hi, 1 FROM lim)), "
+        + "zn AS (SELECT v, (SELECT count(*) FROM zs WHERE zs.v <= x.v) AS bin FROM x) " + end
     )
 
 
@@ -227,12 +222,6 @@ def fixed_point_decode(spark, d):
     return codecs.fixed_point(_balances(spark, d), 8).select("key", (F.round("decoded", 4) + 0.0).alias("decoded"))
 
 
-@query("codec_report")
-def codec_report(spark, d):
-    r = codecs.report(_balances(spark, d))
-    return r.select("codec", "n", *(F.round(c, 6).alias(c) for c in ("squared_euclidean", "cosine", "rmse")))
-
-
 _SIZES = {name: codecs.payload_bytes(name, 0) for name in ("none", "float", "fixed_point", "quantile")}
 
 
@@ -248,12 +237,12 @@ def _restored(spark, d):
     return codecs.sketched(_balances(spark, d), bins=64)
 
 
-def _sketch_sql(rows: int = 2) -> str:
+def _sketch_sql(rows: int = 2, bins: int = 64) -> str:
     from ..functions.hashes import hashed_sql
 
     hashes = [f"h{i} AS (SELECT k.key, k.g, {i} AS row, ((x.raw % s.cols) + s.cols) % s.cols AS cell, k.bin FROM keyed k JOIN sizes s ON s.g = k.g JOIN ({hashed_sql(n, 'customer', 'c_custkey', 1 << 40).replace('AS hash', 'AS hash, x AS raw')}) x ON x.key = k.key)" for i, n in enumerate(("bj", "mix64")[:rows])]
     return (
-        _split_sql("customer", "c_acctbal", 64)
+        _split_sql("customer", "c_acctbal", bins)
         + ", z AS (SELECT count(*) AS zero FROM sp WHERE v < 0), q AS (SELECT count(*) + 1 AS bins FROM sp), "
         + "kb AS (SELECT c_custkey AS key, (SELECT count(*) FROM sp WHERE v <= c_acctbal) AS bin FROM customer), "
         + "sh AS (SELECT bins, zero, bins // 8 AS span FROM z, q), f AS (SELECT bins, span, CASE WHEN zero < span THEN zero WHEN zero % span < span // 2 THEN span + zero % span ELSE zero % span END AS first FROM sh), "
@@ -270,6 +259,26 @@ def sketch_codec_roundtrip(spark, d):
     return _restored(spark, d).select("key", F.col("group").cast("long").alias("group"), F.col("bin").cast("long").alias("bin"), F.col("restored").cast("long").alias("restored"), F.round("decoded", 6).alias("decoded"))
 
 
+def _report_sql() -> str:
+    """Values v and what comes back, d, of every codec; then distances."""
+    back = {
+        "none": "SELECT c_acctbal AS v, c_acctbal AS d FROM customer",
+        "float": "SELECT c_acctbal AS v, c_acctbal::FLOAT::DOUBLE AS d FROM customer",
+        "fixed_point": _FIXED + "SELECT v, sign(v) * size / 127.0::DOUBLE * norm AS d FROM c",
+        "uniform": "WITH lim AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer), sp AS MATERIALIZED (SELECT i, lo + (hi - lo) / 256 * i AS v FROM lim, (SELECT unnest(range(1, 256)) AS i)) SELECT c_acctbal AS v, lo + (hi - lo) / 256 * ((SELECT count(*) FROM sp WHERE v <= c_acctbal) + 0.5::DOUBLE) AS d FROM customer, lim",
+        "quantile": _split_sql("customer", "c_acctbal", 256) + "SELECT v, mid AS d FROM bn JOIN eb ON eb.bin = bn.bin",
+        "least_squares": _zip_sql(256, "SELECT v, mid AS d FROM zn JOIN zb ON zn.bin = zb.bin"),
+        "sketch": _sketch_sql(bins=256) + "SELECT c_acctbal AS v, mid AS d FROM keyed JOIN back ON back.key = keyed.key AND back.o = 1 JOIN eb ON eb.bin = back.bin JOIN customer ON c_custkey = keyed.key",
+    }
+    return " UNION ALL ".join(f"SELECT '{k}' AS codec, count(*) AS n, round(sqrt(sum((v - d) * (v - d))), 4) AS euclidean, round(sum(v * d) / sqrt(sum(v * v)) / sqrt(sum(d * d)), 6) AS cosine, round(sqrt(sum((v - d) * (v - d)) / count(*)), 6) AS rmse FROM ({sql})" for k, sql in back.items())
+
+
+@query("codec_report", _report_sql())
+def codec_report(spark, d):
+    r = codecs.report(_balances(spark, d))
+    return r.select("codec", "n", F.round(F.sqrt("squared_euclidean"), 4).alias("euclidean"), F.round("cosine", 6).alias("cosine"), F.round("rmse", 6).alias("rmse"))
+
+
 @query("minmax_never_farther", "SELECT count(*) AS n, 0::BIGINT AS farther FROM customer")
 def minmax_never_farther(spark, d):
     zero = quantize.quantile(_balances(spark, d), "value", 64).zero
@@ -306,6 +315,11 @@ def error_quantiles(spark, d):
     return quantiles.even_quantiles(coded, "e", 100)
 
 
+@query("sparse_compressor_scaled", _sketch_sql() + "SELECT keyed.key, round(eb.mid * -0.5::DOUBLE, 6) AS value FROM keyed JOIN back ON back.key = keyed.key AND back.o = 1 JOIN eb ON eb.bin = back.bin")
+def sparse_compressor_scaled(spark, d):
+    return compressors.compress_sparse(_balances(spark, d), bins=64).times(-0.5).decompress().select("key", F.round("value", 6).alias("value"))
+
+
 @query("dense_compressor", _split_sql("customer", "c_acctbal", 64) + "SELECT c_custkey AS key, round(mid * 2, 6) AS value FROM customer JOIN eb ON eb.bin = (SELECT count(*) FROM sp WHERE sp.v <= c_acctbal)")
 def dense_compressor(spark, d):
     return compressors.compress_dense(_balances(spark, d), bins=64).times(2.0).decompress().select("key", F.round("value", 6).alias("value"))
@@ -363,3 +377,11 @@ def argmax_first(spark, d):
 @query("shuffled_orders")
 def shuffled_orders(spark, d):
     return order.shuffled(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query("shuffled_places", "SELECT unnest(range(0, (SELECT count(*) FROM orders))) AS place")
+def shuffled_places(spark, d):
+    """All places, each once: orders are numbered by key, and a bijection gives each its place."""
+    numbered = glm.dealt(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 1)
+    n = numbered.count()
+    return order.shuffled_places(numbered, "pos", n).select("place")

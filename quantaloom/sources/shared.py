@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,28 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there."""
     shared_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Tables in the shared folder that go with the ``with`` block: what leaves the block mustn't read them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.made = spark, f"{shared_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.folder)
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """``df``, written and read again."""
+        self.made += 1
+        df.write.parquet(f"{self.folder}/{self.made}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.made}")
+
+    def replace(self, df: DataFrame) -> DataFrame:
+        """The same; the table that was put last, from which ``df`` comes, is removed."""
+        out = self.put(df)
+        remove(self.spark, f"{self.folder}/{self.made - 1}")
+        return out

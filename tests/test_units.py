@@ -304,8 +304,7 @@ def test_compressors(spark):
     zero = sparse.quantizer.values[sparse.quantizer.zero]
     assert np.mean([abs(back[k] - zero) <= abs(was[k] - zero) + 0.5 for k in was]) > 0.95
     assert sparse.decompress_dense(100_000).count() == 100_000
-    with pytest.raises(ValueError):
-        sparse.times(-1.0)
+    assert {r.key: r.value for r in sparse.times(-0.5).decompress().collect()} == {k: -0.5 * v for k, v in back.items()}
 
 
 def test_settings_from_the_session(spark):
@@ -406,7 +405,7 @@ def test_coded_vectors_are_stored_and_opened(spark, tmp_path):
     for name, coded in (("dense", compressors.compress_dense(df, bins=16).times(2.0)), ("sparse", compressors.compress_sparse(df, bins=16))):
         coded.save(str(tmp_path / name))
         back = compressors.open_vector(spark, str(tmp_path / name))
-        assert back.quantizer == coded.quantizer
+        assert back.quantizer == coded.quantizer and back.scale == coded.scale
         assert sorted(map(tuple, back.decompress().collect())) == sorted(map(tuple, coded.decompress().collect()))
         assert back.memory_bytes() == coded.memory_bytes()
 
