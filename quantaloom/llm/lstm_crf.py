@@ -1,17 +1,20 @@
 """A character-level bidirectional LSTM with a linear-chain CRF on top, in numpy.
 
 Characters are bytes that begin a code point. Gates use the piecewise linear sigmoid and tanh, which are exact, cheap
-and easy to differentiate. Windows overlap; each is decoded by Viterbi, and the overlaps are reconciled by the caller.
+and easy to differentiate. Windows overlap; their scores are averaged by position, and one Viterbi pass over each whole text
+decides. Places that no way off tag 0 can pass and win by cut that pass into short ones, exactly.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Characters of a window; its step; the margin at either side that leaves decisions to the neighbour.
+#: Characters of a window; its step; characters that it shares with a neighbour, where the weight of its scores falls towards its end.
 WINDOW, STEP = 256, 224
-MARGIN = (WINDOW - STEP) // 2
-EMBED, STATE, TOGETHER = 8, 8, 4096
+SHARED = WINDOW - STEP
+#: Places of a block of the Viterbi pass.
+BLOCK = 48
+EMBED, STATE = 8, 8
 G = 4 * STATE
 
 
@@ -67,26 +70,6 @@ class Tagger:
             keep.update(f=f, b=b, steps=steps, x=x)
         return out
 
-    def viterbi(self, e: np.ndarray) -> np.ndarray:
-        """The best tags (place, window)."""
-        t_all, n, k = e.shape
-        back = np.zeros((t_all, n, k), np.int8)
-        best = e[0].copy()
-        for t in range(1, t_all):
-            top = best[:, :1] + self.p["T"][0]
-            for j in range(1, k):
-                other = best[:, j : j + 1] + self.p["T"][j]
-                wins = other > top
-                back[t][wins] = j
-                np.maximum(top, other, out=top)
-            best = top + e[t]
-        path = np.empty((t_all, n), np.int8)
-        path[-1] = best.argmax(1)
-        rows = np.arange(n)
-        for t in range(t_all - 1, 0, -1):
-            path[t - 1] = back[t][rows, path[t]]
-        return path
-
     def _read(self, x: np.ndarray, side: str) -> np.ndarray:
         """As ``_direction``, laid out (place, STATE, window) so that every operation runs along the windows; the scale of
         the piecewise linear gates is put into the weights."""
@@ -115,22 +98,97 @@ class Tagger:
             np.multiply(z[2 * s : 3 * s], part, out=h)
         return states
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """Tags (window, place) for characters (window, place). Windows in which tag 0 wins everywhere by more than all
-        transitions could give need no Viterbi pass: their best path is tag 0 throughout."""
-        out = np.zeros(x.shape, np.int8)
-        gain = np.float32(2 * max(0.0, float(self.p["T"].max() - self.p["T"][0, 0])))
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Scores (place, tag, window) over those of tag 0, for characters (window, place)."""
         weights = np.ascontiguousarray(self.p["O"].T)
-        for k in range(0, len(x), TOGETHER):
-            part = np.ascontiguousarray(x[k : k + TOGETHER].T, dtype=np.intp)
-            e = np.matmul(weights[:, :STATE], self._read(part, "f"))
-            e += np.matmul(weights[:, STATE:], self._read(part, "b"))
-            e += self.p["c"][:, None]
-            some = np.flatnonzero((e[:, 1:].max(1) + gain >= e[:, 0]).any(0))
-            if len(some):
-                out[k + some] = self.viterbi(np.ascontiguousarray(e[:, :, some].transpose(0, 2, 1))).T
+        part = np.ascontiguousarray(x.T, dtype=np.intp)
+        e = np.matmul(weights[:, :STATE], self._read(part, "f"))
+        e += np.matmul(weights[:, STATE:], self._read(part, "b"))
+        e += self.p["c"][:, None]
+        e -= e[:, :1].copy()
+        return e
+
+    def open_places(self, d: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Places that a way off tag 0 might pass and win by.
+
+        Such a way enters, gains so much a place at most, and leaves. The best bound over all entries before a place and all
+        exits behind it comes from running sums and running maxima; places where it stays below nought have tag 0.
+        """
+        t = self.p["T"].astype(np.float64)
+        over, e = t - t[0, 0], d[:, 1:].astype(np.float64)
+        enter, inside = (e + over[0, 1:]).max(1), (e + over[1:, 1:].max(0)).max(1)
+        leave = np.full(len(d), over[1:, 0].max())
+        begin, end = offsets[:-1][np.diff(offsets) > 0], offsets[1:][np.diff(offsets) > 0]
+        enter[begin], leave[end - 1] = e[begin].max(1), np.maximum(0, leave[end - 1])
+        inside[begin] = -1e6  # nothing passes from text to text
+        gained = np.cumsum(inside)
+        best = np.maximum.accumulate(enter - gained) + np.maximum.accumulate((gained + leave)[::-1])[::-1]
+        return np.flatnonzero(best >= -1e-3)
+
+    def paths(self, d: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The best tags of whole texts with scores (place, tag) over those of tag 0, texts one after the other.
+
+        Runs of open places are cut into blocks. The best way through a block is found for every tag before it, all blocks
+        side by side; ways are then chained over the blocks of a run, and followed back.
+        """
+        out = np.zeros(len(d), np.int8)
+        places = self.open_places(d, offsets) if len(d) else np.zeros(0, np.int64)
+        if not len(places):
+            return out
+        text = np.searchsorted(offsets, places, "right") - 1
+        begin = np.flatnonzero(np.concatenate([[True], (np.diff(places) > 1) | (np.diff(text) > 0)]))
+        length = np.diff(np.append(begin, len(places)))
+        trans, e, k = self.p["T"].astype(np.float64), d[places].astype(np.float64), self.tags
+        # blocks, the longest first
+        many = -(-length // BLOCK)
+        run = np.repeat(np.arange(len(begin)), many)
+        nth = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
+        start, size = begin[run] + nth * BLOCK, np.minimum(BLOCK, length[run] - nth * BLOCK)
+        order = np.argsort(-size, kind="stable")
+        begun = np.where((places[begin] > offsets[text[begin]])[:, None], trans[0], 0)  # tag 0 stands before
+        best = np.where((nth == 0)[:, None, None], begun[run][:, None, :], trans) + e[start][:, None, :]
+        best = best[order]
+        back = np.zeros((len(places), k, k), np.int8)
+        longer = np.searchsorted(-size[order], -np.arange(BLOCK), "left")  # blocks of more than t places
+        at = start[order]
+        for t in range(1, int(size.max())):
+            m = longer[t]
+            given = best[:m, :, :, None] + trans
+            back[at[:m] + t] = given.argmax(2)
+            best[:m] = given.max(2) + e[at[:m] + t][:, None, :]
+        ways = np.empty_like(best)
+        ways[order] = best
+        # over the blocks of each run, those of most blocks first
+        head, by = np.cumsum(many) - many, np.argsort(-many, kind="stable")
+        more = np.searchsorted(-many[by], -np.arange(int(many.max())), "left")
+        score, came = ways[head[by], 0], np.zeros((len(run), k), np.int8)
+        for j in range(1, int(many.max())):
+            m = more[j]
+            given = score[:m, :, None] + ways[head[by[:m]] + j]
+            came[head[by[:m]] + j] = given.argmax(1)
+            score[:m] = given.max(1)
+        last = begin + length - 1
+        score += np.where((places[last] < offsets[text[last] + 1] - 1)[by][:, None], trans[:, 0], 0)  # and behind
+        ends, before = np.zeros(len(run), np.int8), np.zeros(len(run), np.int8)
+        ends[head[by] + many[by] - 1] = score.argmax(1)
+        for j in range(int(many.max()) - 1, 0, -1):
+            block = head[by[: more[j]]] + j
+            before[block] = came[block, ends[block]]
+            ends[block - 1] = before[block]
+        tag = np.zeros(len(places), np.int8)
+        tag[start + size - 1] = ends
+        given = before[order]
+        for t in range(int(size.max()) - 1, 0, -1):
+            m = longer[t]
+            tag[at[:m] + t - 1] = back[at[:m] + t, given[:m], tag[at[:m] + t]]
+        out[places] = tag
         return out
 
+    def decode(self, x: np.ndarray) -> np.ndarray:
+        """Tags (window, place) for characters (window, place), each window a text."""
+        d = self.scores(x).transpose(2, 0, 1).reshape(-1, self.tags)
+        return self.paths(d, np.arange(len(x) + 1) * x.shape[1]).reshape(x.shape)
+
     # ------------------------------------------------------------ training
 
     def _crf(self, e: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -159,7 +217,7 @@ class Tagger:
 
     def _back(self, d_states: np.ndarray, side: str, steps: list, x: np.ndarray, grad: dict) -> None:
         u, w, s = self.p["U" + side], self.p["W" + side], STATE
-        d_u, d_table = np.zeros_like(u), np.zeros((257, G), np.float32)
+        d_u, d_gates = np.zeros_like(u), np.empty((*x.shape, G), np.float32)
         d_h = d_c = np.zeros((x.shape[1], s), np.float32)
         for t, h, before, z, gates, new, c, squashed in reversed(steps):
             d_h = d_h + d_states[t]
@@ -167,9 +225,12 @@ class Tagger:
             d_z = np.concatenate([d_c * new, d_c * before, d_h * squashed, d_c * gates[:, :s] * (np.abs(z[:, 3 * s :]) < 1)], axis=1)
             d_z[:, : 3 * s] *= 0.25 * (np.abs(z[:, : 3 * s]) < 2)
             d_u += h.T @ d_z
-            for j in range(G):
-                d_table[:, j] += np.bincount(x[t], d_z[:, j], 257)
+            d_gates[t] = d_z
             d_h, d_c = d_z @ u.T, d_c * gates[:, s : 2 * s]
+        flat, d_table = x.ravel(), np.zeros((257, G), np.float32)
+        order = np.argsort(flat, kind="stable")  # sums by character
+        found, starts = np.unique(flat[order], return_index=True)
+        d_table[found] = np.add.reduceat(d_gates.reshape(-1, G)[order], starts)
         grad["U" + side], grad["b" + side], grad["W" + side] = d_u, d_table.sum(0), self.p["E"].T @ d_table
         grad["E"] = grad.get("E", 0) + d_table @ w.T
 

@@ -131,7 +131,6 @@ def _search(least: float):
 
 def near_vectors(vectors: DataFrame, least: float = 0.93, id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept) of every row of ``vectors``."""
-    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     v = F.col(vector).cast("array<double>")
     fit = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), v.alias("v"))

@@ -4,9 +4,9 @@ The tagger (lstm_crf.py) is trained on the driver from labelled spans: stretches
 base spans, and with examples put in: spans of the patterns' forms, of forms that the patterns miss (spelt-out
 addresses, numbers without a plus sign in groups, other separators), and look-alikes that are no personal data
 (versions, prices, dates, codes). The stretches are drawn in tasks from whole texts, so what the driver gets is bounded
-whatever the length of texts. The tagger then reads every character of every text in overlapping windows. A window
-decides only for its middle, and for its outer part where the text ends, so that every character is decided once; runs
-of a tag that go on in the next window are joined.
+whatever the length of texts. The tagger then reads every character of every text in overlapping windows. Where windows
+overlap, their scores are averaged by place, each with less weight towards its end, and one Viterbi pass over the whole
+text decides every character.
 
 A decoded span is added if it is clear of base spans, stands alone, and its numbers fit its kind as the base kinds ask
 (parts of at most 255, a card's check digit, the count of a phone's digits); its form is the tagger's to judge. Base
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .bytescan import CONTINUATION, CodePoints, merged
 from .common import small_batches
-from .lstm_crf import MARGIN, STEP, WINDOW, Tagger
+from .lstm_crf import SHARED, STEP, WINDOW, Tagger
 from .shingles import text_chunks
 
 #: Kinds in their order, and the base patterns over bytes.
@@ -46,7 +46,7 @@ _LOCAL[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+
 #: Texts of the training sample; stretches of each, and their characters before and behind the training window; windows
 #: made from them; steps of training; characters of a training window. Added spans are at least so long.
 SAMPLE, STRETCHES, AROUND, WINDOWS, STEPS, LENGTH = 400, 16, 200, 6000, 450, 72
-LEAST = {"email": 8, "ip": 7, "card": 13, "phone": 9}
+LEAST = {"email": 6, "ip": 7, "card": 13, "phone": 9}
 
 
 def luhn(digits: bytes) -> bool:
@@ -121,7 +121,7 @@ def _phone(rng) -> str:
     return str(rng.choice(["+", "", "00", "1-"], p=[0.3, 0.55, 0.1, 0.05])) + "".join(s + p for s, p in zip(seps, parts, strict=True))
 
 
-def _example(rng, words: list[str]) -> tuple[int, str]:
+def _example(rng, words: np.ndarray) -> tuple[int, str]:
     """(kind, text) of a span; kind -1: something that only looks like one."""
     a, b, c = (str(rng.choice(words)).lower() for _ in range(3))
     kind = int(rng.integers(-2, 4))
@@ -151,7 +151,7 @@ def training_windows(stretches: list[tuple[str, int]], n: int = WINDOWS, seed: i
     """(characters, tags) of windows: stretches of texts with their base spans, and with examples put into some."""
     rng = np.random.default_rng(seed)
     stretches = [s for s in stretches if len(s[0]) > 20] or [("plain words stand here, one after the other, and nothing else is said.", 0)]
-    words = sorted({w for s, _ in stretches for w in re.findall(r"[A-Za-z]{2,10}", s)}) or ["name", "site", "mail"]
+    words = np.array(sorted({w for s, _ in stretches for w in re.findall(r"[A-Za-z]{2,10}", s)}) or ["name", "site", "mail"])
     x, y = np.full((n, LENGTH), 256, np.int64), np.zeros((n, LENGTH), np.int64)
     for i in range(n):
         t, at = stretches[int(rng.integers(len(stretches)))]
@@ -248,26 +248,31 @@ def window_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * STEP, text
 
 
+def averaged_scores(tagger: Tagger, chars: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Scores (character, tag) over those of tag 0 of texts one after the other, averaged over their windows."""
+    first, text = window_table(np.diff(at))
+    begin, end = at[:-1][text], at[1:][text]
+    padded = np.concatenate([chars, [256]])
+    total = np.zeros((len(chars) + 1, tagger.tags), np.float32)
+    ramp = np.ones(WINDOW, np.float32)
+    ramp[:SHARED] = np.arange(1, SHARED + 1, dtype=np.float32) / (SHARED + 1)  # with its mirror image it makes one
+    for k in range(0, len(first), 4096):
+        f, b, e = first[k : k + 4096], begin[k : k + 4096], end[k : k + 4096]
+        place = f[:, None] + np.arange(WINDOW)
+        place = np.where(place < e[:, None], place, len(chars))
+        scores = tagger.scores(padded[place]).transpose(2, 0, 1)
+        weight = np.where((f == b)[:, None], 1, ramp) * np.where((f + WINDOW >= e)[:, None], 1, ramp[::-1])
+        for turn in (0, 1):  # no two windows of a turn share a place
+            own = (f - b) // STEP % 2 == turn
+            total[place[own]] += weight[own][:, :, None] * scores[own]
+    return total[:-1]
+
+
 def decode_chunk(tagger: Tagger, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The tag of every character (code point) of a chunk of texts."""
+    """The tag of every character (code point) of a chunk of texts: one Viterbi pass over each whole text."""
     lead = ~CONTINUATION[raw]
-    chars = raw[lead].astype(np.int64)
     at = np.concatenate([[0], np.cumsum(lead)])[offsets]
-    counts = np.diff(at)
-    tags = np.zeros(len(chars), np.int8)
-    first, text = window_table(counts)
-    last = at[1:][text]
-    padded = np.concatenate([chars, [256]])
-    for k in range(0, len(first), 8192):
-        f, e, b = first[k : k + 8192], last[k : k + 8192], at[:-1][text[k : k + 8192]]
-        place = f[:, None] + np.arange(WINDOW)
-        inside = place < e[:, None]
-        found = tagger.decode(padded[np.where(inside, place, len(chars))])
-        # The middle of a window decides; at a text's ends its outer part does too.
-        own = inside & ((np.arange(WINDOW) >= MARGIN) | (f == b)[:, None]) & ((np.arange(WINDOW) < WINDOW - MARGIN) | (f + WINDOW >= e)[:, None])
-        some = own & (found > 0)
-        tags[place[some]] = found[some]
-    return tags
+    return tagger.paths(averaged_scores(tagger, raw[lead].astype(np.int64), at), at)
 
 
 def spans_of(tagger: Tagger, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[list, list]]:

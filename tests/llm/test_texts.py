@@ -362,18 +362,75 @@ def test_added_spans_measured(spark):
     assert recall >= 0.6 and precision >= 0.9
 
 
-def test_windows_cover_all():
-    for n in (0, 1, 255, 256, 257, 480, 481, 2000):
-        first, _ = pii.window_table(np.array([n]))
-        if n == 0:
-            assert not len(first)
-            continue
-        own = np.zeros(n, int)
-        for f in first.tolist():
-            lo = f if f == 0 else f + pii.MARGIN
-            hi = n if f + pii.WINDOW >= n else f + pii.WINDOW - pii.MARGIN
-            own[lo:hi] += 1
-        assert (own >= 1).all() and (own[:-1] <= 2).all()
+def plain_path(tagger, chars):
+    """One Viterbi pass over a whole text, place by place, on scores averaged over its windows."""
+    n, trans = len(chars), tagger.p["T"].astype(float)
+    total, weight, first = np.zeros((n, tagger.tags)), np.zeros(n), 0
+    while True:
+        own = np.full(pii.WINDOW, 256)
+        own[: len(chars[first : first + pii.WINDOW])] = chars[first : first + pii.WINDOW]
+        w = np.ones(pii.WINDOW)
+        if first:
+            w[: pii.SHARED] = np.arange(1, pii.SHARED + 1) / (pii.SHARED + 1)
+        if first + pii.WINDOW < n:
+            w[-pii.SHARED :] = np.arange(pii.SHARED, 0, -1) / (pii.SHARED + 1)
+        e, held = tagger.emissions(own[:, None])[:, 0], min(pii.WINDOW, n - first)
+        total[first : first + held] += (w[:, None] * e)[:held]
+        weight[first : first + held] += w[:held]
+        if first + pii.WINDOW >= n:
+            break
+        first += pii.STEP
+    assert np.abs(weight - 1).max() < 1e-6  # every character is read, in one window or two
+    best, back = total[0], []
+    for t in range(1, n):
+        given = best[:, None] + trans
+        back.append(given.argmax(0))
+        best = given.max(0) + total[t]
+    path = [int(best.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+def test_windows_are_reconciled_over_whole_texts(tagger):
+    rng = random.Random(8)
+    long = " ".join(rng.choice(["kolem", "lino", "+4420712345678", "a@b.co", "1.2.3.4", "4111 1111 1111 1111", "é", "77777777"]) for _ in range(900))
+    texts = ["", "a", "+", long, long[:255], long[:256], long[:257], long[:480], long[:481], "9" * 3000, "merrick lino " * 60, "x@y.z"]
+    raw = [t.encode() for t in texts]
+    tags = pii.decode_chunk(tagger, np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    at = 0
+    for t, r in zip(texts, raw):
+        chars = np.array([b for b in r if b & 0xC0 != 0x80])
+        assert tags[at : at + len(t)].tolist() == (plain_path(tagger, chars) if len(t) else [])
+        at += len(t)
+    assert at == len(tags) and len(set(tags.tolist())) > 2
+
+
+def test_paths_of_any_scores():
+    """Blocks, runs and bounds against the plain pass, with scores near nought, where little is certain."""
+    from quantaloom.llm import lstm_crf
+
+    rng = np.random.default_rng(5)
+    for k in range(12):
+        tagger = lstm_crf.Tagger(4)
+        tagger.p["T"] = (rng.normal(size=(4, 4)) * (1 + k % 3)).astype(np.float32)
+        sizes = rng.integers(0, 160, 12)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        d = (rng.normal(size=(offsets[-1], 4)) * 2 - (k % 4)).astype(np.float32)
+        d[:, 0] = 0
+        found = tagger.paths(d, offsets)
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            if a == b:
+                continue
+            best, back, trans = d[a].astype(float), [], tagger.p["T"].astype(float)
+            for t in range(a + 1, b):
+                given = best[:, None] + trans
+                back.append(given.argmax(0))
+                best = given.max(0) + d[t]
+            path = [int(best.argmax())]
+            for x in reversed(back):
+                path.append(int(x[path[-1]]))
+            assert found[a:b].tolist() == path[::-1]
 
 
 def test_tagger_learns_and_decodes_the_best_path():
