@@ -1,7 +1,8 @@
 """Vector compressors: what is stored of a vector, and the vector back from it.
 
 A dense vector keeps a narrow bin for each entry; a sparse one keeps, for each group of bins, a min-max sketch and the
-delta-coded keys. Both keep the quantizer, which is as long as its bins. Vectors are long, (key, value).
+delta-coded keys. Both keep the quantizer, which is as long as its bins. Vectors are long, (key, value). Any number of
+vectors (vec, key, value) are coded in the same jobs and stored in the same tables, their quantizers as rows.
 """
 
 from __future__ import annotations
@@ -9,10 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import sparse_add
+from ..sources.shared import cut
 from ..sources.text import narrow_bins, save, wide_bins
 from . import delta, minmax, quantize
 from .codecs import payload_bytes
@@ -114,3 +116,92 @@ def compress_sparse(df: DataFrame, kind: str = "quantile", bins: int = 256, grou
     cells, sizes = minmax.build(pairs, q.zero, rows, ratio)
     stretch = F.col("group").cast("long") * (1 << PLACES) + F.expr(f"key div {STRETCH}")
     return SparseVector(cells, sizes, delta.encode(delta.gaps(pairs.select(stretch.alias("group"), "key"))), q, rows)
+
+
+# ---------------------------------------------------------------- many vectors in one table
+
+def _fitted(df: DataFrame, kind: str, bins: int) -> DataFrame:
+    return cut(quantize.fit_by(kind, df, "value", "vec", bins).withColumn("scale", F.lit(1.0)))
+
+
+def _decoded(rows: DataFrame, quantizers: DataFrame) -> DataFrame:
+    """(vec, key, value) of (vec, key, bin)."""
+    value = quantize.decoded_in(F.col("bin"), F.col("splits"), F.col("least"), F.col("greatest")) * F.col("scale")
+    return rows.join(quantizers, "vec").select("vec", "key", value.alias("value"))
+
+
+class _Vectors:
+    """What both kinds of coded vectors do."""
+
+    def summed(self) -> DataFrame:
+        """(key, value): the sum of all vectors, scales included."""
+        return self.decompress().groupBy("key").agg(F.sum("value").alias("value"))
+
+    def save(self, path: str) -> None:
+        for name in self.TABLES:
+            save(getattr(self, name), f"{path}/{name}")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, bins: int, **settings):
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in cls.TABLES), bins, **settings)
+
+
+@dataclass(frozen=True)
+class DenseVectors(_Vectors):
+    """Narrow entries (vec, key, bin), and a row for each quantizer."""
+
+    TABLES = ("entries", "quantizers")
+    entries: DataFrame
+    quantizers: DataFrame
+    bins: int
+
+    def decompress(self) -> DataFrame:
+        return _decoded(wide_bins(self.entries, self.bins), self.quantizers)
+
+    def times(self, by: Column) -> DenseVectors:
+        """Scales each vector by an expression of ``vec``."""
+        return DenseVectors(self.entries, self.quantizers.withColumn("scale", F.col("scale") * by), self.bins)
+
+
+def compress_dense_many(df: DataFrame, kind: str = "quantile", bins: int = 256) -> DenseVectors:
+    q = _fitted(df, kind, bins)
+    rows = df.join(q, "vec").select("vec", "key", quantize.bin_in(F.col("value"), F.col("splits"), bins).alias("bin"))
+    return DenseVectors(narrow_bins(rows, bins), q, bins)
+
+
+@dataclass(frozen=True)
+class SparseVectors(_Vectors):
+    """Cells, sizes and delta-coded keys of all vectors by (vec, group); bins count from each vector's zero bin."""
+
+    TABLES = ("cells", "sizes", "keys", "quantizers")
+    cells: DataFrame
+    sizes: DataFrame
+    keys: DataFrame
+    quantizers: DataFrame
+    bins: int
+    rows: int = 2
+
+    def decompress(self) -> DataFrame:
+        names = F.split("group", "/")
+        keys = delta.decode(self.keys).select(F.struct(names[0].cast("long").alias("vec"), names[1].cast("int").alias("group")).alias("group"), "key")
+        both = lambda df: df.select(F.struct("vec", "group").alias("group"), *(c for c in df.columns if c not in ("vec", "group")))
+        back = minmax.restore(keys, both(self.cells), both(self.sizes), 0, self.rows).select("group.vec", "key", "bin")
+        zero = quantize.zero_in(F.col("splits"), F.col("least"), F.col("greatest"))
+        return _decoded(back.join(self.quantizers.select("vec", zero.alias("zero")), "vec").select("vec", "key", (F.col("bin") + F.col("zero")).alias("bin")), self.quantizers)
+
+    def times(self, by: Column) -> SparseVectors:
+        """Scales each vector by an expression of ``vec``."""
+        return SparseVectors(self.cells, self.sizes, self.keys, self.quantizers.withColumn("scale", F.col("scale") * by), self.bins, self.rows)
+
+
+def compress_sparse_many(df: DataFrame, kind: str = "quantile", bins: int = 256, groups: int = 8, rows: int = 2, ratio: float = 0.3) -> SparseVectors:
+    """Keys must be different within a vector."""
+    q = _fitted(df, kind, bins)
+    zero = quantize.zero_in(F.col("splits"), F.col("least"), F.col("greatest"))
+    known = q.select("vec", "splits", zero.alias("zero"), minmax.group_edges_in(zero, F.size("splits") + 1, groups).alias("edges"))
+    binned = df.join(known, "vec").withColumn("bin", quantize.bin_in(F.col("value"), F.col("splits"), bins))
+    pairs = cut(binned.select("vec", minmax.group_of(F.col("bin"), F.col("edges")).alias("group"), "key", (F.col("bin") - F.col("zero")).alias("bin")))
+    cells, sizes = minmax.build(pairs.select(F.struct("vec", "group").alias("group"), "key", "bin"), 0, rows, ratio)
+    apart = lambda df: df.select("group.vec", "group.group", *(c for c in df.columns if c != "group"))
+    stretch = F.concat_ws("/", "vec", "group", F.expr(f"key div {STRETCH}"))
+    return SparseVectors(apart(cells), apart(sizes), delta.encode(delta.gaps(pairs.select(stretch.alias("group"), "key"))), q, bins, rows)

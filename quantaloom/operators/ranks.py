@@ -39,25 +39,25 @@ def cumulative(df: DataFrame, value: str, sums: dict[str, Column] | None = None,
     return placed.select("v", "n", *sums, *before, F.lit(offsets["n"][-1]).cast("long").alias("total")).withColumn("before", F.col("before").cast("long"))
 
 
-def cumulative_by(df: DataFrame, value: str, by: str, sums: dict[str, Column] | None = None, bucket_values: int = BUCKET_VALUES) -> DataFrame:
-    """The same within each group of ``by``, all groups in the same jobs: also ``nth``, the distinct values of the group before v.
+def cumulative_by(df: DataFrame, value: str, by: str, sums: dict[str, Column] | None = None, bucket_values: int = BUCKET_VALUES, name: str = "n") -> DataFrame:
+    """The same within each group of ``by``, all groups in the same jobs: also ``nth``, the distinct values of the group before v. Rows are counted as ``name``.
 
     Rows are dealt by group and bucket; a group whose values are many has as many buckets as its share of them asks for.
     """
     sums = sums or {}
-    counted = cut(df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("n"), *(F.sum(c).alias(k) for k, c in sums.items())))
+    counted = cut(df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias(name), *(F.sum(c).alias(k) for k, c in sums.items())))
     rows, cuts = counted.count(), []
     if rows > bucket_values:
         buckets = min(BUCKETS, -(-rows // bucket_values))
         cuts = sorted(set(counted.agg(F.percentile_approx(F.col("v").cast("double"), [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]))
     placed = counted.withColumns({"bucket": reached(F.col("v").cast("double"), cuts) if cuts else F.lit(0), "nth": F.lit(1).cast("long")})
-    names = ["n", "nth", *sums]
+    names = [name, "nth", *sums]
     held = placed.groupBy(by, "bucket").agg(*(F.sum(k).alias(k) for k in names))  # a row for each group and bucket
     earlier, whole = Window.partitionBy(by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(by)
-    starts = held.select(by, "bucket", *(F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"{k}_start") for k in names), F.sum("n").over(whole).alias("total"), F.sum("nth").over(whole).alias("distinct"))
+    starts = held.select(by, "bucket", *(F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"{k}_start") for k in names), F.sum(name).over(whole).alias("total"), F.sum("nth").over(whole).alias("distinct"))
     inside = Window.partitionBy(by, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    before = [(F.col(f"{k}_start") + F.coalesce(F.sum(k).over(inside), F.lit(0))).alias({"n": "before", "nth": "nth"}.get(k, f"{k}_before")) for k in names]
-    return placed.join(starts, [by, "bucket"]).select(by, "v", "n", *sums, *before, "total", "distinct")
+    before = [(F.col(f"{k}_start") + F.coalesce(F.sum(k).over(inside), F.lit(0))).alias({name: "before", "nth": "nth"}.get(k, f"{k}_before")) for k in names]
+    return placed.join(starts, [by, "bucket"]).select(by, "v", name, *sums, *before, "total", "distinct")
 
 
 def with_splits(ranked: DataFrame, parts: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import glm
 from ..sources import text
+from ..sources.shared import Scratch, cut
 from ..streaming.windows import window_sketches
 from .registry import query, table
 
@@ -19,6 +20,17 @@ def parse_libsvm_roundtrip(spark, d):
     return rows.select(F.col("val")[0].cast("long").alias("id"), "label", F.explode(F.arrays_zip(F.slice("idx", 2, 2).alias("i"), F.slice("val", 2, 2).alias("v"))).alias("p")).select("id", "label", F.col("p.i").alias("key"), F.col("p.v").alias("value"))
 
 
+@query("text_source_load", "SELECT CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE -1.0 END AS label, k AS key, count(*) AS n, round(sum(CASE k WHEN 1 THEN o_custkey::DOUBLE ELSE round(o_totalprice, 2) END), 1) AS total FROM orders, (SELECT unnest([1, 7]) AS k) GROUP BY 1, 2")
+def text_source_load(spark, d):
+    """Lines written as text files, loaded in partitions of their own number."""
+    line = F.concat_ws(" ", F.when(F.col("o_orderstatus") == "F", "1").otherwise("0"), F.concat(F.lit("1:"), F.col("o_custkey")), F.concat(F.lit("7:"), F.round("o_totalprice", 2)))
+    with Scratch(spark) as scratch:
+        table(spark, d, "orders").select(line).write.text(f"{scratch.folder}/lines")
+        rows = text.load(spark, f"{scratch.folder}/lines", "libsvm", 6)
+        found = rows.select("label", F.explode(F.arrays_zip("idx", "val")).alias("p")).groupBy("label", F.col("p.idx").alias("key")).agg(F.count("*").alias("n"), F.round(F.sum("p.val"), 1).alias("total"))
+        return cut(found)  # the lines go
+
+
 @query("parse_csv_dense", "SELECT c_custkey AS id, CASE WHEN abs(c_nationkey - 1) > 1e-8 THEN -1.0::DOUBLE ELSE 1.0 END AS label, c_acctbal AS value FROM customer")
 def parse_csv_dense(spark, d):
     lines = table(spark, d, "customer").select(F.concat_ws(",", "c_nationkey", "c_custkey", "c_acctbal").alias("value"))

@@ -197,3 +197,22 @@ _HUFFMAN = (
 def huffman_total_bits(spark, d):
     rows = _quantities(spark, d)
     return huffman.total_bits(rows, "q", huffman.fit(rows, "q"))
+
+
+def _parts(spark, d):
+    return table(spark, d, "lineitem").select(F.expr("l_orderkey div 512").alias("group"), "l_orderkey", "l_linenumber", F.col("l_partkey").alias("q"))
+
+
+@query("huffman_table_total_bits", _HUFFMAN.replace("l_quantity::BIGINT", "l_partkey"))
+def huffman_table_total_bits(spark, d):
+    """Codes that stay a table: the driver holds lengths by count alone."""
+    rows = _parts(spark, d)
+    return huffman.total_bits(rows, "q", huffman.fit(rows, "q", most=100))
+
+
+@query("huffman_table_roundtrip", "SELECT l_orderkey // 512 AS \"group\", l_partkey AS value, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def huffman_table_roundtrip(spark, d):
+    rows = _parts(spark, d)
+    code = huffman.fit(rows, "q", most=100)
+    back = huffman.unpack(huffman.pack(rows, "group", "l_orderkey", "q", code), "group", code)
+    return back.groupBy("group", "value").agg(F.count("*").alias("n"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import losses
 from ..functions.hashes import hashed_sql
 from ..functions.vectors import constant, dot
-from ..operators import glm, metrics, params
-from ..sources.shared import Scratch
+from ..operators import compressors, glm, metrics, params
+from ..sources.shared import Scratch, cut
 from .registry import merging_sql, query, table
 
 DIM = 64
@@ -345,10 +345,10 @@ def _thin(spark, d):
     return table(spark, d, "lineitem").groupBy((F.col("l_linenumber") % 4).cast("int").alias("worker"), (3 * F.col("l_partkey")).alias("key")).agg((F.sum("l_quantity").cast("double") - 75).alias("g"))
 
 
-def _sketch_by_worker_sql(bins: int = 64, groups: int = 8, ratio: float = 0.3) -> str:
+def _sketch_by_worker_sql(bins: int = 64, groups: int = 8, ratio: float = 0.3, source: str = _THIN, end: str = "SELECT back.worker, back.key, round(d, 6) AS g FROM back JOIN mid ON mid.worker = back.worker AND mid.bin = back.bin") -> str:
     hashed = [f"SELECT kd.worker, kd.g, kd.key, kd.bin, {i} AS row, ((h.hash % s.cols) + s.cols) % s.cols AS cell FROM keyed kd JOIN sizes s ON s.worker = kd.worker AND s.g = kd.g JOIN ({hashed_sql(n, 'keys', 'key', 1 << 40).replace('AS hash', 'AS unused, x AS hash')}) h ON h.key = kd.key" for i, n in enumerate(("bj", "mix64"))]
     return (
-        "WITH " + _THIN + f"sp AS MATERIALIZED (SELECT DISTINCT worker, g AS v FROM (SELECT worker, g, row_number() OVER (PARTITION BY worker ORDER BY g) - 1 AS r, count(*) OVER (PARTITION BY worker) AS n FROM g) o JOIN (SELECT unnest(range(1, {bins})) AS i) e ON o.r = (o.n * e.i) // {bins}), "
+        "WITH " + source + f"sp AS MATERIALIZED (SELECT DISTINCT worker, g AS v FROM (SELECT worker, g, row_number() OVER (PARTITION BY worker ORDER BY g) - 1 AS r, count(*) OVER (PARTITION BY worker) AS n FROM g) o JOIN (SELECT unnest(range(1, {bins})) AS i) e ON o.r = (o.n * e.i) // {bins}), "
         "lim AS MATERIALIZED (SELECT worker, min(g) AS lo, max(g) AS hi FROM g GROUP BY worker), "
         "mid AS MATERIALIZED (SELECT worker, row_number() OVER w - 1 AS bin, 0.5::DOUBLE * (coalesce(lag(b) OVER w, lo) + b) AS d FROM (SELECT worker, v AS b, 0 AS k FROM sp UNION ALL SELECT worker, hi, 1 FROM lim) JOIN lim USING (worker) WINDOW w AS (PARTITION BY worker ORDER BY k, b)), "
         "z AS MATERIALIZED (SELECT worker, CASE WHEN any_value(lo) > 0 THEN 0 WHEN any_value(hi) < 0 THEN count(*) ELSE count(*) FILTER (v < 0) END AS zero, count(*) + 1 AS bins FROM sp JOIN lim USING (worker) GROUP BY worker), "
@@ -357,9 +357,8 @@ def _sketch_by_worker_sql(bins: int = 64, groups: int = 8, ratio: float = 0.3) -
         f"keyed AS MATERIALIZED (SELECT kb.worker, key, bin, (SELECT count(*) FROM (SELECT unnest(range(0, {groups - 1})) AS i) e WHERE f.first + e.i * f.span <= kb.bin) AS g FROM kb JOIN f ON f.worker = kb.worker), "
         f"sizes AS MATERIALIZED (SELECT worker, g, ceil(count(*) * {ratio}::DOUBLE)::BIGINT AS cols FROM keyed GROUP BY 1, 2), keys AS MATERIALIZED (SELECT DISTINCT key FROM g), h AS MATERIALIZED ({' UNION ALL '.join(hashed)}), "
         "cells AS MATERIALIZED (SELECT worker, g, row, cell, bin FROM (SELECT h.*, row_number() OVER (PARTITION BY h.worker, g, row, cell ORDER BY abs(bin - zero), key) AS o FROM h JOIN z ON z.worker = h.worker) WHERE o = 1), "
-        "back AS MATERIALIZED (SELECT worker, key, bin FROM (SELECT h.worker, h.key, c.bin, row_number() OVER (PARTITION BY h.worker, h.key ORDER BY abs(c.bin - zero) DESC, h.row) AS o FROM h JOIN cells c ON c.worker = h.worker AND c.g = h.g AND c.row = h.row AND c.cell = h.cell JOIN z ON z.worker = h.worker) WHERE o = 1) "
-        "SELECT back.worker, back.key, round(d, 6) AS g FROM back JOIN mid ON mid.worker = back.worker AND mid.bin = back.bin"
-    )
+        "back AS MATERIALIZED (SELECT worker, key, bin FROM (SELECT h.worker, h.key, c.bin, row_number() OVER (PARTITION BY h.worker, h.key ORDER BY abs(c.bin - zero) DESC, h.row) AS o FROM h JOIN cells c ON c.worker = h.worker AND c.g = h.g AND c.row = h.row AND c.cell = h.cell JOIN z ON z.worker = h.worker) WHERE o = 1) " + end
+    )
 
 
 @query("sparse_gradient_sketch", _sketch_by_worker_sql())
@@ -369,6 +368,32 @@ def sparse_gradient_sketch(spark, d):
     return g.select("worker", "key", F.round("g", 6).alias("g"))
 
 
+# ---------------------------------------------------------------- many coded vectors
+
+#: A vector for each supplier.
+_MANY = "g AS MATERIALIZED (SELECT l_suppkey AS worker, 3 * l_partkey AS key, sum(l_quantity)::DOUBLE - 20 AS g FROM lineitem GROUP BY 1, 2), "
+
+
+def _many(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("vec"), (3 * F.col("l_partkey")).alias("key")).agg((F.sum("l_quantity").cast("double") - 20).alias("value"))
+
+
+@query("many_sparse_vectors", _sketch_by_worker_sql(16, source=_MANY, end="SELECT back.worker AS vec, back.key, round(d * (1 - 2 * (back.worker % 2)), 6) AS value FROM back JOIN mid ON mid.worker = back.worker AND mid.bin = back.bin"))
+def many_sparse_vectors(spark, d):
+    """All suppliers' vectors in the same tables, those of odd numbers scaled by -1."""
+    coded = compressors.compress_sparse_many(_many(spark, d), bins=16).times(1.0 - 2 * (F.col("vec") % 2))
+    return coded.decompress().select("vec", "key", F.round("value", 6).alias("value"))
+
+
+@query("many_dense_vectors_sum", _sketch_by_worker_sql(16, source=_MANY, end="SELECT key, round(sum(d), 4) AS value FROM kb JOIN mid ON mid.worker = kb.worker AND mid.bin = kb.bin GROUP BY key"))
+def many_dense_vectors_sum(spark, d):
+    """The sum of all suppliers' coded vectors, stored and opened again."""
+    with Scratch(spark) as scratch:
+        compressors.compress_dense_many(_many(spark, d), bins=16).save(f"{scratch.folder}/vectors")
+        found = compressors.DenseVectors.open(spark, f"{scratch.folder}/vectors", 16).summed()
+        return cut(found.select("key", F.round("value", 4).alias("value")))  # the tables go
+
+
 @query("gradient_sum_with_idle_worker", _grad_sql("logistic", False, True) + "SELECT key, round(sum(g) / 5, 9) AS g FROM g GROUP BY key")
 def gradient_sum_with_idle_worker(spark, d):
     """A worker without rows has no gradient, which counts as zero in the mean over five workers."""

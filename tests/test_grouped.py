@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantaloom.functions import vectors
-from quantaloom.operators import codecs, glm, order, params, quantize, ranks
+from quantaloom.operators import codecs, compressors, glm, order, params, quantize, ranks
 from quantaloom.sources.shared import Scratch
 
 
@@ -190,3 +190,24 @@ def test_places_are_a_permutation(spark, n):
             assert abs(np.corrcoef(np.arange(n), ranks_)[0, 1]) < 0.1 and (np.diff(ranks_) == 1).sum() < 10
     if n == 1000:
         assert got != {r.pos: r.place for r in order.shuffled_places(df, "pos", n, 7).collect()}
+
+
+def test_a_thousand_vectors_in_one_table(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    n = 1000
+    rows = pd.DataFrame({"vec": np.repeat(np.arange(n), 12), "key": np.concatenate([rng.choice(2**40, 12, replace=False) for _ in range(n)]), "value": rng.normal(size=12 * n)})
+    rows.loc[rows["vec"] == 7, "value"] = 3.0
+    df = spark.createDataFrame(rows).repartition(4)
+    for many, one, kind in ((compressors.compress_dense_many, compressors.compress_dense, compressors.DenseVectors), (compressors.compress_sparse_many, compressors.compress_sparse, compressors.SparseVectors)):
+        many(df, bins=8).times(F.when(F.col("vec") == 3, -2.0).otherwise(1.0)).save(str(tmp_path / kind.__name__))
+        coded = kind.open(spark, str(tmp_path / kind.__name__), 8)
+        back = {(r.vec, r.key): r.value for r in coded.decompress().collect()}
+        assert set(back) == set(zip(rows["vec"].tolist(), rows["key"].tolist()))
+        for v in (0, 3, 7, 999):
+            alone = {r.key: r.value for r in one(df.where(F.col("vec") == v).select("key", "value"), bins=8).times(-2.0 if v == 3 else 1.0).decompress().collect()}
+            assert {k: x for (u, k), x in back.items() if u == v} == alone
+        total = {r.key: r.value for r in coded.summed().collect()}
+        want = {}
+        for (_, k), x in back.items():
+            want[k] = want.get(k, 0.0) + x
+        assert total == pytest.approx(want)
