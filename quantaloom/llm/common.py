@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut, shared_checkpoint_dir  # noqa: F401
@@ -32,3 +34,16 @@ def chunks_by_weight(weights, most: int) -> Iterator[slice]:
         total += w
     if start < len(weights):
         yield slice(start, len(weights))
+
+
+def learned(rows: DataFrame, learn: Callable[[pa.Table], object]) -> object:
+    """What ``learn`` makes of a bounded sample of rows, in a task, so that the driver holds the model alone; a lost executor costs a retry."""
+    schema = pa.schema([(f.name, pa.string() if f.dataType.simpleString() == "string" else pa.int64()) for f in rows.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else schema.empty_table()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(table))], pa.binary())], ["model"])
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found[0]) if found else learn(schema.empty_table())

@@ -1,9 +1,9 @@
 """Personal data: fixed patterns, and spans decoded by a character-level BiLSTM-CRF.
 
-The tagger (lstm_crf.py) is trained on the driver from labelled spans: stretches of a bounded sample of texts with their
+The tagger (lstm_crf.py) is trained in a task from labelled spans: stretches of a bounded sample of texts with their
 base spans, and with examples put in: spans of the patterns' forms, of forms that the patterns miss (spelt-out
 addresses, numbers without a plus sign in groups, other separators), and look-alikes that are no personal data
-(versions, prices, dates, codes). The stretches are drawn in tasks from whole texts, so what the driver gets is bounded
+(versions, prices, dates, codes). The stretches are drawn from whole texts, so what that task gets is bounded
 whatever the length of texts. The tagger then reads every character of every text in overlapping windows. Where windows
 overlap, their scores are averaged by place, each with less weight towards its end, and one Viterbi pass over the whole
 text decides every character.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import CONTINUATION, CodePoints, merged
-from .common import small_batches
+from .common import learned, small_batches
 from .lstm_crf import SHARED, STEP, WINDOW, Tagger
 from .shingles import text_chunks
 
@@ -195,8 +195,8 @@ def train(stretches: list[tuple[str, int]], steps: int = STEPS, seed: int = 6, b
     return tagger
 
 
-def sample_stretches(docs: DataFrame, most: int = SAMPLE, seed: int = 17, id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
-    """Stretches of the ``most`` different rows with the smallest seeded hashes; the driver gets nothing longer."""
+def _drawn(docs: DataFrame, most: int, seed: int, id: str, text: str) -> DataFrame:
+    """(h, stretch, at) of the ``most`` different rows with the smallest seeded hashes, ``STRETCHES`` of each."""
     rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.lit(seed), id, text).alias("h"), F.col(text).alias("text"))
     share = min(1.0, (most + 8 * most**0.5 + 20) / max(1, docs.count()))  # enough rows but with a chance below 1e-14
     some = rows.where(F.col("h") < int(share * 2**64) - 2**63) if share < 1 else rows
@@ -208,11 +208,25 @@ def sample_stretches(docs: DataFrame, most: int = SAMPLE, seed: int = 17, id: st
 
     small_batches(docs.sparkSession)
     drawn = some.mapInArrow(run, "h long, stretch string, at int").groupBy("h").agg(F.slice(F.array_sort(F.collect_set(F.struct("stretch", "at"))), 1, STRETCHES).alias("s"))
-    return [(x["stretch"], x["at"]) for r in drawn.orderBy("h").limit(most).collect() for x in r["s"]]
+    return drawn.orderBy("h").limit(most).select("h", F.explode("s").alias("s")).select("h", "s.stretch", F.col("s.at").cast("long").alias("at"))
+
+
+def _in_order(drawn: pa.Table) -> list[tuple[str, int]]:
+    return [(x["stretch"], x["at"]) for x in drawn.sort_by([("h", "ascending"), ("stretch", "ascending"), ("at", "ascending")]).to_pylist()]
+
+
+def sample_stretches(docs: DataFrame, most: int = SAMPLE, seed: int = 17, id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
+    """Stretches of a bounded sample of whole texts."""
+    return learned(_drawn(docs, most, seed, id, text), _in_order)
+
+
+def _trained(drawn: pa.Table) -> Tagger:
+    return train(_in_order(drawn))
 
 
-def fit(docs: DataFrame, **names) -> Tagger:
-    return train(sample_stretches(docs, **names))
+def fit(docs: DataFrame, most: int = SAMPLE, seed: int = 17, id: str = "doc_id", text: str = "text") -> Tagger:
+    """The tagger is trained in a task."""
+    return learned(_drawn(docs, most, seed, id, text), _trained)
 
 
 # ---------------------------------------------------------------- decoding

@@ -1,6 +1,6 @@
 """Toxicity scores of whole texts by a recurrent network over all overlapping windows.
 
-The network (see gru.py) is trained on the driver, in numpy, from a bounded sample of labelled texts: the SAMPLE rows
+The network (see gru.py) is trained in one task, in numpy, from a bounded sample of labelled texts: the SAMPLE rows
 with the smallest seeded hashes of their ids, or as many first ones of these as have SAMPLE_BYTES of text in all.
 Labels are of whole texts, so training goes by turns: the present network picks the strongest windows of each toxic
 text, and learns from those and from windows of the other texts. The first choice goes by the words and beginnings of
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import learned, small_batches
 from .gru import GRAMS, PARTS, STATE, WINDOW, WORD_DIM, WORDS, Network, Spelling, sigmoid, windows_of, word_rows
 from .shingles import text_chunks, words
 
@@ -38,14 +38,27 @@ LEAST_WINDOWS = 6000
 THRESHOLD = 0.3
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = SAMPLE, seed: int = 13, id: str = "doc_id", text: str = "text", label: str = "toxic"):
-    """(texts, labels) of at most ``most`` labelled rows for whose id ``allowed`` holds."""
-    known = labels.select(F.col(id).alias("id"), F.col(label).alias("y")).where("id is not null and y is not null").where(allowed).groupBy("id").agg(F.max("y").alias("y"))
+def labelled_rows(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = SAMPLE, seed: int = 13, id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """(id, text, y) of at most ``most`` labelled rows for whose id ``allowed`` holds."""
+    known = labels.select(F.col(id).alias("id"), F.col(label).alias("y")).where("id is not null and y is not null").where(allowed).groupBy("id").agg(F.max("y").cast("long").alias("y"))
     picked = known.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(most)  # bounded, so it may be broadcast
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
     so_far = F.sum(F.coalesce(F.octet_length("text").cast("long"), F.lit(0))).over(Window.orderBy(F.xxhash64(F.lit(seed), "id"), "id"))  # of SAMPLE rows at most
-    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).select("id", "text", "y").toPandas().sort_values("id")
-    return pa.array(rows["text"].tolist(), pa.string()), rows["y"].to_numpy().astype(np.float32)
+    return rows.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).select(F.col("id").cast("long").alias("id"), "text", "y")
+
+
+def _texts_and_labels(sample: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    sample = sample.sort_by("id")
+    return pa.array(sample.column("text").to_pylist(), pa.string()), sample.column("y").to_numpy().astype(np.float32)
+
+
+def _of_sample(sample: pa.Table) -> Network:
+    return train(*_texts_and_labels(sample))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, **names) -> tuple[pa.Array, np.ndarray]:
+    """(texts, labels) of ``labelled_rows``."""
+    return learned(labelled_rows(docs, labels, allowed, **names), _texts_and_labels)
 
 
 class _Sample:
@@ -210,8 +223,9 @@ def train(texts: pa.Array, y: np.ndarray, turns: int = TURNS, seed: int = 3) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, **names) -> Network:
+    """The network is trained in a task."""
     small_batches(docs.sparkSession)
-    return train(*labelled_sample(docs, labels, F.lit(True) if allowed is None else allowed, **names))
+    return learned(labelled_rows(docs, labels, F.lit(True) if allowed is None else allowed, **names), _of_sample)
 
 
 def score(docs: DataFrame, net: Network, id: str = "doc_id", text: str = "text") -> DataFrame:
