@@ -187,7 +187,8 @@ def _decided(docs: DataFrame, sources, id: str, text: str, weights: Callable[[li
     inside = rows.where("bucket = edge").withColumn("past", F.sum("size").over(Window.partitionBy("sources", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)))
     inside = inside.withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.coalesce("past", F.lit(0))))).drop("past")
     taken = outside.unionByName(inside).select("row" if whole_rows else "id", "size", "sources", (F.col("passes") * F.col("size") + F.col("more")).cast("long").alias("taken"))
-    return taken, spark.createDataFrame([(s, sizes[s], target[s]) for s in names], "source string, source_size long, target double")
+    table = spark.createDataFrame([(s, sizes[s], target[s]) for s in names], "source string, source_size long, target double")
+    return taken, F.broadcast(table) if len(names) <= BROADCAST_PATTERNS else table
 
 
 def mix(docs: DataFrame, sources=None, id: str = "doc_id", text: str = "text", weights: Callable[[list], dict] = cycling_weights, most: int = 3, seed: int = 7) -> tuple[DataFrame, DataFrame]:

@@ -114,7 +114,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_mixing")
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, sources = mixing.mix(table(spark, sf_dir, "documents"))
-    rows = taken.withColumn("source_", F.col("sources")[0]).join(F.broadcast(sources), F.col("source_").eqNullSafe(F.col("source")))
+    rows = taken.withColumn("source_", F.col("sources")[0]).join(sources, F.col("source_").eqNullSafe(F.col("source")))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
