@@ -113,7 +113,8 @@ class Held:
     """Rows stored by worker and stretch of positions; a batch reads the stretches that it touches."""
 
     def __init__(self, spark: SparkSession, path: str, kinds: StructType, width: int, sizes: dict[int, int]):
-        self.spark, self.path, self.kinds, self.width, self.sizes = spark, path, kinds, width, sizes
+        self.spark, self.width, self.sizes = spark, width, sizes
+        self._rows = spark.read.schema(kinds).parquet(path)  # files are listed once
 
     @classmethod
     def store(cls, rows: DataFrame, path: str, ratio: float) -> Held:
@@ -128,7 +129,7 @@ class Held:
         return found
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(self.kinds).parquet(self.path)
+        return self._rows
 
     def batch(self, b: int, ratio: float) -> DataFrame:
         """The same rows as ``batch`` of all of them."""
@@ -237,18 +238,19 @@ def with_l2(gradients: DataFrame, weights, l2: float) -> DataFrame:
     return gradients.join(table, "key").withColumn("g", F.col("g") + l2_pull(F.col("w"), l2)).select(*gradients.columns)
 
 
-def coded(gradients: DataFrame, s: Settings, dim: int | None = None) -> DataFrame:
+def coded(gradients: DataFrame, s: Settings, dim: int | None = None, stored: bool = False) -> DataFrame:
     """Each worker's gradient after coding and decoding; all workers' in the same jobs, however many there are.
 
     A gradient with all ``dim`` keys is dense; by default there are as many as the greatest key asks for. A dense one keeps
-    its quantile bins under ``sketch``, a sparse one puts them into a grouped min-max sketch.
+    its quantile bins under ``sketch``, a sparse one puts them into a grouped min-max sketch. ``stored``: gradients come from a
+    table that is written, so they aren't written again.
     """
     g = gradients.select("worker", "key", F.col("g").cast("double").alias("g"))
     if s.codec == "none":
         return g
     if s.codec == "float":
         return g.withColumn("g", F.col("g").cast("float").cast("double"))
-    g = cut(g)  # read by the fit and by the coding
+    g = g if stored else cut(g)  # read by the fit and by the coding
     if s.codec == "fixed_point":
         norm = g.groupBy("worker").agg(F.sqrt(F.sum(F.col("g") * F.col("g"))).alias("norm"))
         code = codecs.fixed_code(F.col("g"), F.col("norm"), s.bits, codecs.rounding_bit(F.col("key")))
@@ -374,7 +376,7 @@ def train(model, held: Held, valid: DataFrame, s: Settings, scratch: Scratch, pa
                 continue
             losses.append((epoch, b, total[LOSS] / total[ROWS] + model.penalty()))
             g = gradients_of(sums, model.dim if "idx" in rows.columns else None)
-            model.step(summed(coded(model.with_l2(g), s, model.dim), s.workers), epoch, b == s.batches - 1)
+            model.step(summed(coded(model.with_l2(g), s, model.dim, stored=True), s.workers), epoch, b == s.batches - 1)
         checked = model.scored(valid)
         found = metrics.confusion(checked, loss(F.col("score"), F.col("y"))).first()
         auc = metrics.auc(checked).first()["auc"] if found["n"] else None

@@ -50,8 +50,8 @@ def label_sign(spark, d):
 
 @query("hash_split_counts", "SELECT count(*) FILTER (o_orderkey * 7919 % 1000 >= 250) AS train, count(*) FILTER (o_orderkey * 7919 % 1000 < 250) AS valid FROM orders")
 def hash_split_counts(spark, d):
-    slot = F.pmod(F.col("o_orderkey") * 7919, F.lit(1000))
-    return table(spark, d, "orders").agg(F.count_if(slot >= 250).alias("train"), F.count_if(slot < 250).alias("valid"))
+    train, valid = glm.split(table(spark, d, "orders"), "o_orderkey", 0.25)
+    return train.agg(F.count("*").alias("train")).join(F.broadcast(valid.agg(F.count("*").alias("valid"))))  # a row each
 
 
 _CURSOR = "WITH r AS (SELECT o_orderkey AS id, o_orderkey % 4 AS worker, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY o_orderkey % 4) AS size FROM orders) "

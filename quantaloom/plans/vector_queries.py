@@ -117,6 +117,16 @@ def quantiles_by_flag_sketch(spark, d):
     return quantiles.sketches(table(spark, d, "lineitem"), "l_quantity", ["l_returnflag"]).select("l_returnflag", "n", F.kll_sketch_get_quantile_double("sketch", F.lit(0.5)).alias("median"))
 
 
+@query("quantiles_by_flag_bound", "SELECT l_returnflag, count(*) AS n, true AS within FROM lineitem GROUP BY 1")
+def quantiles_by_flag_bound(spark, d):
+    """Whether the ranks of each group's approximate median enclose a half, within 0.02."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
+    found = quantiles.sketches(rows, "l_extendedprice", ["l_returnflag"], 512).select("l_returnflag", F.kll_sketch_get_quantile_double("sketch", F.lit(0.5)).alias("q"))
+    met = rows.join(F.broadcast(found), "l_returnflag")  # a row for each flag
+    x, q, n = F.col("l_extendedprice"), F.col("q"), F.count("*")
+    return met.groupBy("l_returnflag").agg(n.alias("n"), ((F.count_if(x < q) <= 0.52 * n) & (F.count_if(x <= q) >= 0.48 * n)).alias("within"))
+
+
 # ---------------------------------------------------------------- quantizers
 
 def _split_sql(source: str, value: str, bins: int) -> str:
