@@ -149,3 +149,34 @@ def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 3.0])], "vec_id long, embedding array<double>")
     got = permutation_index.search(df, df.where("vec_id = 0"), k=20).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(1, 1.0), (2, 0.0)]
+
+
+def test_permutation_index_of_many_blocks_and_a_hot_group(spark, monkeypatch):
+    """Queries go to every block, and a large group of equal and near rows is dealt over blocks, against brute force."""
+    monkeypatch.setattr(permutation_index, "BLOCK", 90)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(900, 12))
+    x[200:500] = x[1]
+    x[500:620] = x[1] + rng.normal(size=(120, 12)) * 0.01
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(900)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in permutation_index.search(df, df.where("vec_id % 20 = 0"), k=20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(range(0, 900, 20))
+    found = 0
+    for q, own in got.items():
+        own = sorted(own)
+        score = {j: float(np.dot(x[q], x[j])) for j in range(900) if j != q}
+        assert [k for k, _, _ in own] == list(range(1, 21)) and all(abs(score[j] - s) < 1e-9 for _, j, s in own)
+        assert [(-round(s, 9), j) for _, j, s in own] == sorted((-round(s, 9), j) for _, j, s in own)
+        least = sorted(score.values())[-20]
+        found += sum(s >= least - 1e-9 for _, _, s in own)
+    assert found >= 0.9 * 20 * len(got)
+
+
+def test_models_are_learned_in_a_task(spark):
+    from quantaloom.llm.common import learned
+
+    df = spark.range(1000).selectExpr("id", "cast(id as string) as t").repartition(7)
+    assert learned(df, lambda t: (len(t), sum(t.column("id").to_pylist()), t.schema.names)) == (1000, 499_500, ["id", "t"])
+    assert learned(df.where("false"), lambda t: (len(t), t.schema.names)) == (0, ["id", "t"])
