@@ -99,13 +99,12 @@ class Tagger:
         return states
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """Scores (place, tag, window) over those of tag 0, for characters (window, place)."""
-        weights = np.ascontiguousarray(self.p["O"].T)
+        """Scores (place, tag but 0, window) over those of tag 0, for characters (window, place)."""
+        weights = np.ascontiguousarray((self.p["O"][:, 1:] - self.p["O"][:, :1]).T)
         part = np.ascontiguousarray(x.T, dtype=np.intp)
         e = np.matmul(weights[:, :STATE], self._read(part, "f"))
         e += np.matmul(weights[:, STATE:], self._read(part, "b"))
-        e += self.p["c"][:, None]
-        e -= e[:, :1].copy()
+        e += (self.p["c"][1:] - self.p["c"][0])[:, None]
         return e
 
     def open_places(self, d: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -115,30 +114,33 @@ class Tagger:
         exits behind it comes from running sums and running maxima; places where it stays below nought have tag 0.
         """
         t = self.p["T"].astype(np.float64)
-        over, e = t - t[0, 0], d[:, 1:].astype(np.float64)
-        enter, inside = (e + over[0, 1:]).max(1), (e + over[1:, 1:].max(0)).max(1)
-        leave = np.full(len(d), over[1:, 0].max())
+        over = t - t[0, 0]
+        enter, inside = ((d + shift.astype(np.float32)[:, None]).max(0).astype(np.float64) for shift in (over[0, 1:], over[1:, 1:].max(0)))
+        leave = np.full(d.shape[1], over[1:, 0].max())
         begin, end = offsets[:-1][np.diff(offsets) > 0], offsets[1:][np.diff(offsets) > 0]
-        enter[begin], leave[end - 1] = e[begin].max(1), np.maximum(0, leave[end - 1])
+        enter[begin], leave[end - 1] = d[:, begin].max(0), np.maximum(0, leave[end - 1])
         inside[begin] = -1e6  # nothing passes from text to text
         gained = np.cumsum(inside)
-        best = np.maximum.accumulate(enter - gained) + np.maximum.accumulate((gained + leave)[::-1])[::-1]
-        return np.flatnonzero(best >= -1e-3)
+        enter -= gained
+        leave += gained
+        best = np.maximum.accumulate(enter) + np.maximum.accumulate(leave[::-1])[::-1]
+        return np.flatnonzero(best >= -1e-2)
 
     def paths(self, d: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The best tags of whole texts with scores (place, tag) over those of tag 0, texts one after the other.
+        """The best tags of whole texts with scores (tag but 0, place) over those of tag 0, texts one after the other.
 
         Runs of open places are cut into blocks. The best way through a block is found for every tag before it, all blocks
         side by side; ways are then chained over the blocks of a run, and followed back.
         """
-        out = np.zeros(len(d), np.int8)
-        places = self.open_places(d, offsets) if len(d) else np.zeros(0, np.int64)
+        out = np.zeros(d.shape[1], np.int8)
+        places = self.open_places(d, offsets) if d.shape[1] else np.zeros(0, np.int64)
         if not len(places):
             return out
         text = np.searchsorted(offsets, places, "right") - 1
         begin = np.flatnonzero(np.concatenate([[True], (np.diff(places) > 1) | (np.diff(text) > 0)]))
         length = np.diff(np.append(begin, len(places)))
-        trans, e, k = self.p["T"].astype(np.float64), d[places].astype(np.float64), self.tags
+        trans, k = self.p["T"].astype(np.float64), self.tags
+        e = np.concatenate([np.zeros((len(places), 1)), d[:, places].T], axis=1)
         # blocks, the longest first
         many = -(-length // BLOCK)
         run = np.repeat(np.arange(len(begin)), many)
@@ -186,7 +188,7 @@ class Tagger:
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Tags (window, place) for characters (window, place), each window a text."""
-        d = self.scores(x).transpose(2, 0, 1).reshape(-1, self.tags)
+        d = self.scores(x).transpose(1, 2, 0).reshape(self.tags - 1, -1)
         return self.paths(d, np.arange(len(x) + 1) * x.shape[1]).reshape(x.shape)
 
     # ------------------------------------------------------------ training

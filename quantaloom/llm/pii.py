@@ -263,23 +263,22 @@ def window_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def averaged_scores(tagger: Tagger, chars: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Scores (character, tag) over those of tag 0 of texts one after the other, averaged over their windows."""
+    """Scores (tag but 0, character) over those of tag 0 of texts one after the other, averaged over their windows."""
     first, text = window_table(np.diff(at))
     begin, end = at[:-1][text], at[1:][text]
     padded = np.concatenate([chars, [256]])
-    total = np.zeros((len(chars) + 1, tagger.tags), np.float32)
-    ramp = np.ones(WINDOW, np.float32)
-    ramp[:SHARED] = np.arange(1, SHARED + 1, dtype=np.float32) / (SHARED + 1)  # with its mirror image it makes one
-    for k in range(0, len(first), 4096):
-        f, b, e = first[k : k + 4096], begin[k : k + 4096], end[k : k + 4096]
+    total = np.zeros((tagger.tags - 1, len(chars)), np.float32)
+    ramp = np.arange(1, SHARED + 1, dtype=np.float32) / (SHARED + 1)  # with its mirror image it makes one
+    for k in range(0, len(first), 2048):
+        f, b, e = first[k : k + 2048], begin[k : k + 2048], end[k : k + 2048]
         place = f[:, None] + np.arange(WINDOW)
         place = np.where(place < e[:, None], place, len(chars))
-        scores = tagger.scores(padded[place]).transpose(2, 0, 1)
-        weight = np.where((f == b)[:, None], 1, ramp) * np.where((f + WINDOW >= e)[:, None], 1, ramp[::-1])
-        for turn in (0, 1):  # no two windows of a turn share a place
-            own = (f - b) // STEP % 2 == turn
-            total[place[own]] += weight[own][:, :, None] * scores[own]
-    return total[:-1]
+        scores = np.ascontiguousarray(tagger.scores(padded[place]).transpose(2, 1, 0))
+        scores[f > b, :, :SHARED] *= ramp
+        scores[f + WINDOW < e, :, -SHARED:] *= ramp[::-1]
+        for window, start, size in zip(scores, f.tolist(), np.minimum(WINDOW, e - f).tolist(), strict=True):
+            total[:, start : start + size] += window[:, :size]
+    return total
 
 
 def decode_chunk(tagger: Tagger, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
