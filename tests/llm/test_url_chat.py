@@ -45,6 +45,14 @@ def test_equal_rules_block(spark):
     assert url_filter.url_filter(pages, rules).first().verdict == "block"
 
 
+def test_rules_are_the_contracts(spark, tmp_path):
+    assert [f"{a} {h}{p}" for h, p, a in RULES] == ["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/"]
+    urls = ["http://net/de/", "http://a.net/de/8", "http://example.net/de/7", "http://example.net/de/8"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id, r.rule, r.verdict) for r in queries.QUERIES["op1_url_filter"](spark, str(tmp_path)).collect())
+    assert got == [(0, "net/de/", "allow"), (1, "net/de/", "allow"), (2, "net/de/", "allow"), (3, "example.net/de/8", "block")]
+
+
 @pytest.mark.parametrize("name", ["op1_url_filter", "op2_chat_format"])
 def test_queries_equal_sql(spark, name):
     sf = "/root/testdata/sf0.001"
