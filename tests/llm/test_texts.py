@@ -194,6 +194,16 @@ def test_secret_base_spans(spark, docs, empty):
     assert secret_scan.scan_digests(empty).count() == 0
 
 
+def test_secret_counts(spark, docs):
+    rows = frame(spark, docs)
+    more = [f"{HEX} token=abcdefgh {HEX} secret:12345678", "AKIAABCDEFGHIJKL AKIAABCDEFGHIJKL passwd=abcdefgh"]
+    rows = rows.unionByName(spark.createDataFrame([(200 + i, t, 0, "s") for i, t in enumerate(more)], rows.schema))
+    kinds = ("assign", "access", "hex")
+    want = [(str(r.doc_id), *(sum(s.startswith(f"{k}:") for s in base7(r.text or "").split(",")) for k in kinds)) for r in rows.collect()]
+    got = [(str(r.doc_id), r.n_assign, r.n_access, r.n_hex) for r in secret_scan.scan_digests(rows).collect()]
+    assert sorted(got) == sorted(want) and ("200", 2, 0, 2) in got and ("201", 1, 2, 0) in got
+
+
 def test_battery_in_plain_words():
     rng = random.Random(40)
     for _ in range(200):
