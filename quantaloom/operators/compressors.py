@@ -203,5 +203,7 @@ def compress_sparse_many(df: DataFrame, kind: str = "quantile", bins: int = 256,
     pairs = cut(binned.select("vec", minmax.group_of(F.col("bin"), F.col("edges")).alias("group"), "key", (F.col("bin") - F.col("zero")).alias("bin")))
     cells, sizes = minmax.build(pairs.select(F.struct("vec", "group").alias("group"), "key", "bin"), 0, rows, ratio)
     apart = lambda df: df.select("group.vec", "group.group", *(c for c in df.columns if c != "group"))
-    stretch = F.concat_ws("/", "vec", "group", F.expr(f"key div {STRETCH}"))
-    return SparseVectors(apart(cells), apart(sizes), delta.encode(delta.gaps(pairs.select(stretch.alias("group"), "key"))), q, bins, rows)
+    # Only vectors of more keys than a stretch may have are cut by key: the others would fall into as many stretches as keys where these lie far apart.
+    long = pairs.groupBy("vec").agg(F.count("*").alias("n")).where(F.col("n") > STRETCH).select("vec", F.lit(True).alias("long"))  # a row for each STRETCH rows at most
+    stretch = F.concat_ws("/", "vec", "group", F.when(F.col("long"), F.expr(f"key div {STRETCH}")).otherwise(0))
+    return SparseVectors(apart(cells), apart(sizes), delta.encode(delta.gaps(pairs.join(F.broadcast(long), "vec", "left").select(stretch.alias("group"), "key"))), q, bins, rows)

@@ -211,3 +211,17 @@ def test_a_thousand_vectors_in_one_table(spark, tmp_path):
         for (_, k), x in back.items():
             want[k] = want.get(k, 0.0) + x
         assert total == pytest.approx(want)
+
+
+def test_far_keys_of_a_vector_share_a_stretch(spark, monkeypatch):
+    """A stretch of few keys isn't cut where they lie far apart; a vector of more keys than a stretch may have still is."""
+    rows = [(v, 70_000 * k, 1.0 + k % 3) for v in range(3) for k in range(12)] + [(9, k, 1.0 + k % 3) for k in range(40)]
+    df = spark.createDataFrame(rows, "vec long, key long, value double")
+    coded = compressors.compress_sparse_many(df, bins=4)
+    groups = coded.sizes.where("vec < 9").count()
+    assert coded.keys.where("not group like '9/%'").count() == groups < 36
+    assert sorted((r.vec, r.key) for r in coded.decompress().collect()) == [(v, k) for v, k, _ in rows]
+    monkeypatch.setattr(compressors, "STRETCH", 16)
+    cut = compressors.compress_sparse_many(df, bins=4)
+    assert cut.keys.where("group like '9/%'").agg({"n": "max"}).first()[0] <= 16 and cut.keys.where("not group like '9/%'").count() == groups
+    assert sorted((r.vec, r.key) for r in cut.decompress().collect()) == [(v, k) for v, k, _ in rows]
