@@ -21,7 +21,8 @@ at least the threshold. The steps:
    unless its ends are in one component of the route already, and only edges that join two components go on: fewer than
    the route has classes.
 5. Hot tokens, those of more than BLOCK classes. Classes with such a token among their 16 go by their 48 lowest hashes as
-   well, since a pair that shares a rarer token is compared there. Whoever has at most a third hot tokens among the 48
+   well, since a pair that shares a rarer token is compared there. Hot tokens are counted first; then one pass makes the
+   rows by token of all classes, 16 or 48 each, however many of them have a hot one. Whoever has at most a third hot tokens among the 48
    needs no more: a linked pair shares 17 or more of the 48 lowest of its union but with a chance below 1e-9. The rest,
    mostly copies of one passage or one large group of near copies, meets in hot routes: by bands of size (linked sets
    are of one band or of neighbours), and in blocks of BLOCK classes, or fewer if their sets are large. First each block is compared with itself; blocks
@@ -331,13 +332,39 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, width: in
     return found.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _with_tokens(classes: DataFrame, sketch: Column, own: str, hot: str) -> DataFrame:
-    """``classes`` with those of their sketch tokens that 2 to BLOCK classes have, and those that more have."""
-    tokens = classes.select("id", F.explode(sketch).alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+def _holding(column: Column, wanted: DataFrame) -> Column:
+    """Whether an array of tokens has one of the table's; true, where that is too long to be sent to all tasks."""
+    n = wanted.count()
+    if not n or n > BROADCAST_IDS:
+        return F.lit(n > 0)
+    sent = wanted.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["token"].to_numpy(np.int64)))
+
+    @F.pandas_udf("boolean")
+    def holds(held: pd.Series) -> pd.Series:
+        flat, size = np.concatenate([np.zeros(0, np.int64), *held]), held.map(len).to_numpy(np.int64)
+        hit = sent.value[np.minimum(np.searchsorted(sent.value, flat), len(sent.value) - 1)] == flat
+        return pd.Series(np.bincount(np.repeat(np.arange(len(size)), size), hit, len(size)) > 0)
+
+    return holds(column)
+
+
+def _shared_tokens(classes: DataFrame) -> DataFrame:
+    """(id, own, hot, own2, hot2) of classes that share a token: those of the SKETCH lowest that 2 to BLOCK classes have, and those that more have.
+
+    own2 and hot2 are the same of the DEEP lowest among the classes that have a hot token, and empty for others. One pass
+    makes the rows of both: SKETCH of a class, DEEP of one with a hot token.
+    """
+    lowest = F.slice("sketch", 1, SKETCH)
+    hot = cut(classes.select(F.explode(lowest).alias("token")).groupBy("token").count().where(F.col("count") > BLOCK).select("token"))
+    taken = F.when(F.col("deep"), F.col("sketch")).otherwise(lowest)
+    tokens = classes.withColumn("deep", _holding(lowest, hot)).select("id", "deep", F.posexplode(taken).alias("place", "token"))
+    tokens = tokens.select("id", "token", (F.col("deep").cast("int") + (F.col("place") >= SKETCH).cast("int")).alias("kind"))  # 0, 1: of the SKETCH lowest; 1, 2: of a class with a hot token
+    early, deep = F.col("kind") < 2, F.col("kind") > 0
+    counts = tokens.groupBy("token").agg(F.count_if(early).alias("c"), F.count_if(deep).alias("c2")).where("c > 1 or c2 > 1")
     some = lambda test: F.sort_array(F.collect_list(F.when(test, F.col("token"))))
-    found = tokens.join(shared, "token").groupBy("id").agg(some(F.col("c") <= BLOCK).alias(own), some(F.col("c") > BLOCK).alias(hot))
-    return classes.join(found, "id") if own == "own" else classes.join(found, "id", "left").withColumns({k: F.coalesce(k, F.array().cast("array<long>")) for k in (own, hot)})
+    two = lambda c: (F.col(c) > 1) & (F.col(c) <= BLOCK)
+    found = tokens.join(counts, "token").where((early & (F.col("c") > 1)) | (deep & (F.col("c2") > 1)))
+    return found.groupBy("id").agg(some(early & two("c")).alias("own"), some(early & (F.col("c") > BLOCK)).alias("hot"), some(deep & two("c2")).alias("own2"), some(deep & (F.col("c2") > BLOCK)).alias("hot2"))
 
 
 def _among(column: str, wanted: DataFrame) -> Column:
@@ -377,7 +404,7 @@ def _grouped(docs: DataFrame, num: int, den: int, width: int, id: str, text: str
         sets = texts.join(near, "doc").select("text", "digest", "id").mapInArrow(lambda it: _set_rows(it, width), "id long, tokens binary")  # a repeated id repeats edges, no more
         return cut(dealt(kept.join(cut(sets), "id")).mapInArrow(lambda it: _edges(it, num, den), "a long, b long"))
 
-    members = _with_tokens(full, F.slice("sketch", 1, SKETCH), "own", "hot")
+    members = full.join(cut(_shared_tokens(full)), "id")
     row = ["id", F.col("id").alias("comp"), "n", "bitmap"]
     smaller = lambda tokens: F.filter(tokens, lambda x: x < F.col("token"))
     flat = lambda df, under, part: df.select("id", "comp", "n", "bitmap", under.alias("below"), "token", part.cast("long").alias("part"), F.col("side") if "side" in df.columns else F.lit(0).alias("side"))
@@ -395,7 +422,6 @@ def _grouped(docs: DataFrame, num: int, den: int, width: int, id: str, text: str
     deep = cut(members.where(F.size("hot") > 0))
     hot = None
     if not deep.isEmpty():
-        deep = cut(_with_tokens(deep, F.col("sketch"), "own2", "hot2"))
         routes = routes.union(flat(deep.select(*row, "own", "own2", F.explode("own2").alias("token")), F.concat("own", smaller("own2")), F.lit(-2)))
         hot = cut(deep.where(3 * F.size("hot2") > F.size("sketch")).select(*row, "own", F.array_sort("hot").alias("hot")))
         first = banded(hot, F.slice("hot", 1, FIRST_ROUTES))

@@ -98,6 +98,65 @@ def test_rows_stay_in_proportion():
     assert all((max(a, b), min(a, b)) in linked for e in edges for a, b in zip(*(c.to_pylist() for c in e.columns), strict=True))
 
 
+def rows_made(spark, since: int, of: str) -> dict[str, int]:
+    """Output rows of the Generate nodes over this column in executions after the given one, by description."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, rows = spark._jsparkSession.sharedState().statusStore(), {}
+    known = store.executionsList()
+    for i in (known.apply(k).executionId() for k in range(known.size())):
+        nodes, values = store.planGraph(i).allNodes(), store.executionMetrics(i)
+        for node in (nodes.apply(k) for k in range(nodes.size()) if i > since):
+            if node.name() == "Generate" and of in node.desc():
+                for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        rows[m.accumulatorId()] = re.sub(r"#\d+L?", "", node.desc()), int(values.apply(m.accumulatorId()).replace(",", ""))
+    out = collections.Counter()
+    for desc, n in rows.values():
+        out[desc] += n
+    return out
+
+
+def last_execution(spark) -> int:
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    known = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return max((known.apply(k).executionId() for k in range(known.size())), default=-1)
+
+
+def passages(times: int):
+    """One passage that more than 16 texts have, ten that so many have at five times the size only, near copies, and texts with nothing in common."""
+    rng = random.Random(4)
+    w = lambda n: [str(rng.randrange(10**7)) for _ in range(n)]
+    texts = [w(70) for _ in range(100 * times)]
+    for n in (20, *[10] * 10):
+        passage = w(30)
+        texts += [passage + w(40) for _ in range(n * times)]
+        texts.append([*texts[-1], "end"])
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_rows_by_token_grow_with_the_input(spark, monkeypatch):
+    """Tokens that become hot as the input grows don't make a step of their own that grows faster."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 16)
+    made = []
+    for times in (1, 5):
+        rows, since = passages(times), last_execution(spark)
+        sizes, roots = jaccard_truth(rows)
+        got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (sizes[i], roots[i]) for i, _ in rows}
+        made.append(rows_made(spark, since, "sketch"))
+    small, large = made
+    assert small and set(small) == set(large) and all(large[k] < 10 * small[k] for k in small), made
+
+
+def test_too_many_hot_tokens_to_send(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 16)
+    monkeypatch.setattr(ngram_jaccard, "BROADCAST_IDS", 0)
+    rows = passages(1)
+    sizes, roots = jaccard_truth(rows)
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (sizes[i], roots[i]) for i, _ in rows}
+
+
 def test_large_sets_link(spark):
     rng = random.Random(8)
     w = [str(rng.randrange(10**7)) for _ in range(6000)]
